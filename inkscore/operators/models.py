@@ -24,6 +24,9 @@ from ..functions import tokens as tk
 from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources.schemas import TARGETS
 
+# Spark solves the normal equations up to this many features.
+NORMAL_EQUATION_LIMIT = 4096
+
 FoldModels = dict[tuple[str, int], PipelineModel]
 
 
@@ -70,7 +73,8 @@ def fit_stage1(train: DataFrame, config: RunConfig, targets: Sequence[str] = TAR
                     labelCol=target,
                     predictionCol=f"{target}_pred",
                     regParam=config.regularisation,
-                    solver="l-bfgs",
+                    # One pass over the data while the normal equations stay small.
+                    solver="normal" if config.hash_features <= NORMAL_EQUATION_LIMIT else "l-bfgs",
                     maxIter=20,
                 )
                 fitted[(target, fold)] = PipelineModel([weighting, regressor.fit(ready)])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import tokens as tk
-from ..session import materialise
+from ..session import materialise, spread
 from .joins import lookup_join
 
 # Correctable words: runs of plain letters, as a single-language alphabet has them.
@@ -73,21 +73,25 @@ def oov_words(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> Dat
 
 
 def _deletions(word: Column, distance: int) -> Column:
-    """The word and everything reachable by up to ``distance`` deletions."""
+    """The word and everything reachable by deleting one or (``distance`` 2) two letters."""
+    n = F.length(word)
 
-    def drop_each(w: Column) -> Column:
-        places = F.when(F.length(w) > 0, F.sequence(F.lit(1), F.length(w))).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            places,
-            lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, F.length(w))),
+    def each(first: Column, body) -> Column:
+        places = F.when(first <= n, F.sequence(first, n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, body)
+
+    def drop_one(i: Column) -> Column:
+        return F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, n))
+
+    def drop_two(i: Column) -> Column:
+        # Letters i and j + 1 go; j = n stands for letter i alone.
+        return each(
+            i,
+            lambda j: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, j - i), F.substr(word, j + 2, n)),
         )
 
-    reached = F.array(word)
-    layer = reached
-    for _ in range(distance):
-        layer = F.array_distinct(F.flatten(F.transform(layer, drop_each)))
-        reached = F.concat(reached, layer)
-    return F.array_distinct(reached)
+    shorter = each(F.lit(1), drop_one) if distance == 1 else F.flatten(each(F.lit(1), drop_two))
+    return F.array_distinct(F.concat(F.array(word), shorter))
 
 
 def _segments(word: Column, distance: int, shifts: bool) -> Column:
@@ -152,10 +156,12 @@ def correction_candidates(oov: DataFrame, vocabulary: DataFrame, distance: int =
     entries = vocabulary.where(F.regexp_like("word", F.lit(rf"^{LETTER_RUN}$"))).select(
         F.col("word").alias("candidate"), "freq"
     )
+    entries = spread(entries, "candidate")
     reach = entries.select(
         F.explode(F.sequence(F.length("candidate") - distance, F.length("candidate") + distance)).alias("size")
     ).distinct()
     eligible = oov.select("word", F.length("word").alias("size")).join(reach, "size", "left_semi").select("word")
+    eligible = spread(eligible, "word")
 
     pairs = _keyed_pairs(
         eligible.where(F.length("word") <= LONG_WORD + distance).select(
@@ -181,7 +187,7 @@ def correction_candidates(oov: DataFrame, vocabulary: DataFrame, distance: int =
 
 
 def _keyed_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.join(right, "key").select("word", "candidate", "freq")
+    return spread(left, "key").join(spread(right, "key"), "key").select("word", "candidate", "freq")
 
 
 def best_candidates(candidates: DataFrame) -> DataFrame:

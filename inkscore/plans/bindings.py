@@ -100,8 +100,9 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, first = F.length("word"), F.ascii("word")
     return words.select(
         "word",
-        (F.pmod(size * 7 + first, F.lit(21)) / 10.0 - 1.0).cast("double").alias("polarity"),
-        (F.pmod(size + first, F.lit(11)) / 10.0).cast("double").alias("subjectivity"),
+        # eighths add up without rounding, in any order
+        (F.pmod(size * 7 + first, F.lit(17)) / 8.0 - 1.0).cast("double").alias("polarity"),
+        (F.pmod(size + first, F.lit(9)) / 8.0).cast("double").alias("subjectivity"),
         (F.pmod(size * 5 + first, F.lit(9)) - 4.0).cast("double").alias("valence"),
     )
 

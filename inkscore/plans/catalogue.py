@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,21 +25,27 @@ from . import training
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-TEXT, PROMPT = F.col("text"), F.col("prompt_text")
 
-# A lexicon of words that are frequent in the test texts.
+def text() -> Column:
+    return F.col("text")
+
+
+def passage() -> Column:
+    return F.col("prompt_text")
+
+# A lexicon of words that are frequent in the test texts; eighths add up without rounding.
 SAMPLE_LEXICON = Lexicon(
     (
-        ("the", 0.1, 0.2, 0.5),
-        ("of", -0.2, 0.3, -0.7),
-        ("and", 0.3, 0.4, 1.1),
-        ("that", -0.4, 0.5, -1.3),
-        ("with", 0.5, 0.6, 1.9),
-        ("for", -0.6, 0.7, -2.1),
-        ("de", 0.7, 0.8, 2.3),
-        ("la", -0.8, 0.9, -2.5),
-        ("der", 0.9, 1.0, 2.9),
-        ("und", -1.0, 0.1, -3.1),
+        ("the", 0.125, 0.25, 0.5),
+        ("of", -0.25, 0.375, -0.75),
+        ("and", 0.375, 0.5, 1.125),
+        ("that", -0.5, 0.625, -1.25),
+        ("with", 0.625, 0.75, 1.875),
+        ("for", -0.75, 0.875, -2.125),
+        ("de", 0.875, 1.0, 2.25),
+        ("la", -1.0, 0.125, -2.5),
+        ("der", 1.0, 0.25, 2.875),
+        ("und", -0.125, 0.375, -3.125),
     )
 )
 OPTIONS = {name: ft.FeatureOptions(feature_set=name, lexicon=SAMPLE_LEXICON) for name in ft.FEATURE_SETS}
@@ -62,8 +68,9 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[r6(F.col(f"`{n}`"), n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
-def per_answer(*columns: Column) -> Query:
-    return lambda spark, sf: b.summaries(spark, sf).select("student_id", *columns)
+def per_answer(columns: Callable[[], Sequence[Column]]) -> Query:
+    """Row-local columns of every answer; columns can only be made once a session is active."""
+    return lambda spark, sf: b.summaries(spark, sf).select("student_id", *columns())
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,8 +79,8 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def tokenised_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Passage tokens are made once per passage, before the join."""
-    passages = b.prompts(spark, sf).select("prompt_id", tk.tokens(PROMPT).alias("p_tokens"))
-    answers = b.summaries(spark, sf).select("student_id", "prompt_id", tk.tokens(TEXT).alias("tokens"))
+    passages = b.prompts(spark, sf).select("prompt_id", tk.tokens(passage()).alias("p_tokens"))
+    answers = b.summaries(spark, sf).select("student_id", "prompt_id", tk.tokens(text()).alias("tokens"))
     return joins.join_prompt(answers, passages)
 
 
@@ -100,7 +107,7 @@ def feature_cache(spark, sf):
     path = scratch_path(spark, "feature-cache")
     counted = b.summaries(spark, sf).select(
         "student_id",
-        tk.token_length(TEXT).alias("summary_length"),
+        tk.token_length(text()).alias("summary_length"),
         F.pmod(F.col("student_id").cast("bigint"), F.lit(4)).cast("int").alias("fold"),
     )
     tables.write_features(counted, path)
@@ -173,7 +180,7 @@ def model_input_text(spark, sf):
 
 @query
 def truncate_tokens(spark, sf):
-    kept = b.summaries(spark, sf).select("student_id", tk.truncate(tk.tokens(TEXT), 512).alias("kept"))
+    kept = b.summaries(spark, sf).select("student_id", tk.truncate(tk.tokens(text()), 512).alias("kept"))
     return kept.select("student_id", long_size(F.col("kept")).alias("n_kept"), F.try_element_at("kept", F.lit(-1)).alias("last_token"))
 
 
@@ -197,12 +204,12 @@ def drop_pred_column(spark, sf):
 
 @query
 def join_prompt(spark, sf):
-    return pairs(spark, sf).select("student_id", "prompt_id", "prompt_title", "prompt_question", tk.num_chars(PROMPT).alias("prompt_chars"))
+    return pairs(spark, sf).select("student_id", "prompt_id", "prompt_title", "prompt_question", tk.num_chars(passage()).alias("prompt_chars"))
 
 
 @query
 def concat_columns(spark, sf):
-    return joins.expand_struct(per_answer(rd.counts(TEXT).alias("counts"))(spark, sf), "counts")
+    return joins.expand_struct(per_answer(lambda: [rd.counts(text()).alias("counts")])(spark, sf), "counts")
 
 
 @query
@@ -221,8 +228,8 @@ def oov_words(spark, sf):
 
 @query
 def in_prompt_words(spark, sf):
-    passages = b.prompts(spark, sf).select("prompt_id", F.array_distinct(tk.spaced_words(PROMPT)).alias("p_words"))
-    answers = b.summaries(spark, sf).select("student_id", "prompt_id", tk.spaced_words(TEXT).alias("words"))
+    passages = b.prompts(spark, sf).select("prompt_id", F.array_distinct(tk.spaced_words(passage())).alias("p_words"))
+    answers = b.summaries(spark, sf).select("student_id", "prompt_id", tk.spaced_words(text()).alias("words"))
     joined = joins.join_prompt(answers, passages)
     return joined.select("student_id", F.explode(F.array_intersect("words", "p_words")).alias("word"))
 
@@ -316,14 +323,14 @@ def inverse_rmse_weights(spark, sf):
 
 @query
 def tag_histogram(spark, sf):
-    tagged = b.summaries(spark, sf).select("student_id", tagging.tags(tk.tokens(TEXT)).alias("tags"))
+    tagged = b.summaries(spark, sf).select("student_id", tagging.tags(tk.tokens(text())).alias("tags"))
     counted = tagged.select("student_id", F.size("tags").alias("n_tags"), F.inline(ov.bag(F.col("tags"))))
     return counted.select("student_id", F.col("term").alias("tag"), "n", r6(ratio(F.col("n"), F.col("n_tags")), "share"))
 
 
 @query
 def char_histogram(spark, sf):
-    marks = b.summaries(spark, sf).select("student_id", F.explode(tk.char_ratios(TEXT)).alias("mark", "share"))
+    marks = b.summaries(spark, sf).select("student_id", F.explode(tk.char_ratios(text())).alias("mark", "share"))
     return rounded(marks)
 
 
@@ -345,10 +352,8 @@ def group_kfold(spark, sf):
 
 @query
 def distinct_count(spark, sf):
-    return per_answer(
-        tk.distinct_count(tk.spaced_words(TEXT)).alias("distinct_words"),
-        tk.distinct_count(tk.tokens(TEXT)).alias("distinct_tokens"),
-    )(spark, sf)
+    return per_answer(lambda: [tk.distinct_count(tk.spaced_words(text())).alias("distinct_words"),
+        tk.distinct_count(tk.tokens(text())).alias("distinct_tokens")])(spark, sf)
 
 
 # ---- token sets --------------------------------------------------------------------------------
@@ -366,7 +371,7 @@ def word_overlap(spark, sf):
 
 @query
 def ngrams(spark, sf):
-    made = b.summaries(spark, sf).select("student_id", tk.tokens(TEXT).alias("tokens"))
+    made = b.summaries(spark, sf).select("student_id", tk.tokens(text()).alias("tokens"))
     made = made.select("student_id", *[tk.ngrams(F.col("tokens"), n).alias(f"g{n}") for n in (2, 3)])
     return made.select(
         "student_id",
@@ -377,9 +382,9 @@ def ngrams(spark, sf):
 
 
 def ngram_table(spark, sf) -> DataFrame:
-    passages = b.prompts(spark, sf).select("prompt_id", tk.tokens(PROMPT).alias("p"))
+    passages = b.prompts(spark, sf).select("prompt_id", tk.tokens(passage()).alias("p"))
     passages = passages.select("prompt_id", *[F.array_distinct(tk.ngrams(F.col("p"), n)).alias(f"p{n}") for n in (2, 3)])
-    answers = b.summaries(spark, sf).select("student_id", "prompt_id", tk.tokens(TEXT).alias("t"))
+    answers = b.summaries(spark, sf).select("student_id", "prompt_id", tk.tokens(text()).alias("t"))
     answers = answers.select("student_id", "prompt_id", "t", tk.ngrams(F.col("t"), 2).alias("g2"))
     joined = joins.join_prompt(answers, passages)
     return joined.select(
@@ -412,7 +417,7 @@ def jaccard(spark, sf):
 
 @query
 def quotes_overlap(spark, sf):
-    return b.quoting_summaries(spark, sf).select("student_id", ov.quoted_in(TEXT, PROMPT).alias("quotes_count"))
+    return b.quoting_summaries(spark, sf).select("student_id", ov.quoted_in(text(), passage()).alias("quotes_count"))
 
 
 @query
@@ -425,41 +430,35 @@ def entity_overlap(spark, sf):
 
 @query
 def tokens(spark, sf):
-    made = b.summaries(spark, sf).select("student_id", tk.tokens(TEXT).alias("t"))
+    made = b.summaries(spark, sf).select("student_id", tk.tokens(text()).alias("t"))
     return made.select("student_id", long_size(F.col("t")).alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
-QUERIES["token_length"] = per_answer(tk.token_length(TEXT).alias("summary_length"))
-QUERIES["ws_words"] = per_answer(long_size(tk.spaced_words(TEXT)).alias("word_count"))
-QUERIES["char_counts"] = per_answer(
-    tk.count_char(TEXT, ",").alias("comma_count"),
-    tk.count_char(TEXT, ";").alias("semicolon_count"),
-    tk.count_char(TEXT, "!").alias("exclamation_count"),
-    tk.count_char(TEXT, "?").alias("question_count"),
-)
-QUERIES["sentence_pieces"] = per_answer(tk.sentence_pieces(TEXT).alias("sentence_length"))
-QUERIES["space_pieces"] = per_answer(tk.space_pieces(TEXT).alias("word_count2"))
-QUERIES["vocab_richness"] = per_answer(tk.distinct_count(tk.spaced_words(TEXT)).alias("vocabulary_richness"))
-QUERIES["num_unq_words"] = per_answer(tk.distinct_space_pieces(TEXT).alias("num_unq_words"))
-QUERIES["num_chars"] = per_answer(tk.num_chars(TEXT).alias("num_chars"))
-QUERIES["avg_word_length"] = per_answer(
-    r6(tk.average_word_length(TEXT, long_size(tk.spaced_words(TEXT))), "avg_word_length")
-)
-QUERIES["punctuation_sum"] = per_answer(r6(tk.punctuation_share(TEXT), "punctuation_sum"))
-QUERIES["sentences"] = per_answer(rd.sentences(TEXT).alias("sentences"))
-QUERIES["syllables"] = per_answer(rd.syllables(TEXT).alias("syllables"))
-QUERIES["difficult_words"] = per_answer(
-    rd.long_words(TEXT).alias("count_difficult_words"), rd.long_words(TEXT, 4).alias("at_least_4")
-)
-QUERIES["pos_mean"] = per_answer(r6(tagging.mean_tag_share(tagging.distinct_tags(tk.tokens(TEXT))), "pos_mean"))
+QUERIES["token_length"] = per_answer(lambda: [tk.token_length(text()).alias("summary_length")])
+QUERIES["ws_words"] = per_answer(lambda: [long_size(tk.spaced_words(text())).alias("word_count")])
+QUERIES["char_counts"] = per_answer(lambda: [tk.count_char(text(), ",").alias("comma_count"),
+    tk.count_char(text(), ";").alias("semicolon_count"),
+    tk.count_char(text(), "!").alias("exclamation_count"),
+    tk.count_char(text(), "?").alias("question_count")])
+QUERIES["sentence_pieces"] = per_answer(lambda: [tk.sentence_pieces(text()).alias("sentence_length")])
+QUERIES["space_pieces"] = per_answer(lambda: [tk.space_pieces(text()).alias("word_count2")])
+QUERIES["vocab_richness"] = per_answer(lambda: [tk.distinct_count(tk.spaced_words(text())).alias("vocabulary_richness")])
+QUERIES["num_unq_words"] = per_answer(lambda: [tk.distinct_space_pieces(text()).alias("num_unq_words")])
+QUERIES["num_chars"] = per_answer(lambda: [tk.num_chars(text()).alias("num_chars")])
+QUERIES["avg_word_length"] = per_answer(lambda: [r6(tk.average_word_length(text(), long_size(tk.spaced_words(text()))), "avg_word_length")])
+QUERIES["punctuation_sum"] = per_answer(lambda: [r6(tk.punctuation_share(text()), "punctuation_sum")])
+QUERIES["sentences"] = per_answer(lambda: [rd.sentences(text()).alias("sentences")])
+QUERIES["syllables"] = per_answer(lambda: [rd.syllables(text()).alias("syllables")])
+QUERIES["difficult_words"] = per_answer(lambda: [rd.long_words(text()).alias("count_difficult_words"), rd.long_words(text(), 4).alias("at_least_4")])
+QUERIES["pos_mean"] = per_answer(lambda: [r6(tagging.mean_tag_share(tagging.distinct_tags(tk.tokens(text()))), "pos_mean")])
 
 
 def readability(formula: Callable[[Column], Column], name: str) -> Query:
     """The formula for every answer and every passage."""
 
     def run(spark, sf):
-        answers = b.summaries(spark, sf).select(F.lit("answer").alias("side"), F.col("student_id").alias("id"), rd.counts(TEXT).alias("c"))
-        passages = b.prompts(spark, sf).select(F.lit("passage").alias("side"), F.col("prompt_id").alias("id"), rd.counts(PROMPT).alias("c"))
+        answers = b.summaries(spark, sf).select(F.lit("answer").alias("side"), F.col("student_id").alias("id"), rd.counts(text()).alias("c"))
+        passages = b.prompts(spark, sf).select(F.lit("passage").alias("side"), F.col("prompt_id").alias("id"), rd.counts(passage()).alias("c"))
         return answers.unionByName(passages).select("side", "id", r6(formula(F.col("c")), name))
 
     return run
@@ -478,15 +477,15 @@ def clean_text(spark, sf):
 
 @query
 def length_ratio(spark, sf):
-    passages = b.prompts(spark, sf).select("prompt_id", tk.token_length(PROMPT).alias("p"))
-    answers = b.summaries(spark, sf).select("student_id", "prompt_id", tk.token_length(TEXT).alias("n"))
+    passages = b.prompts(spark, sf).select("prompt_id", tk.token_length(passage()).alias("p"))
+    answers = b.summaries(spark, sf).select("student_id", "prompt_id", tk.token_length(text()).alias("n"))
     return joins.join_prompt(answers, passages).select("student_id", r6(ratio(F.col("n"), F.col("p")), "length_ratio"))
 
 
 @query
 def keyword_density(spark, sf):
-    passages = b.prompts(spark, sf).select("prompt_id", F.array_distinct(tk.spaced_words(PROMPT)).alias("p_words"))
-    answers = b.summaries(spark, sf).select("student_id", "prompt_id", tk.spaced_words(TEXT).alias("words"))
+    passages = b.prompts(spark, sf).select("prompt_id", F.array_distinct(tk.spaced_words(passage())).alias("p_words"))
+    answers = b.summaries(spark, sf).select("student_id", "prompt_id", tk.spaced_words(text()).alias("words"))
     covered = ov.covered_words(F.col("words"), F.col("p_words"))
     return joins.join_prompt(answers, passages).select(
         "student_id", r6(ov.keyword_density(covered, long_size(F.col("words"))), "keyword_density")
@@ -495,7 +494,7 @@ def keyword_density(spark, sf):
 
 @query
 def token_tags(spark, sf):
-    return per_answer(F.array_join(tagging.tags(tk.tokens(TEXT)), " ").alias("tags"))(spark, sf)
+    return per_answer(lambda: [F.array_join(tagging.tags(tk.tokens(text())), " ").alias("tags")])(spark, sf)
 
 
 @query
@@ -511,14 +510,14 @@ def valence_scores(spark, sf):
 
 @query
 def expand_struct(spark, sf):
-    passages = b.prompts(spark, sf).select("prompt_id", SAMPLE_LEXICON.valence(tk.terms(PROMPT)).alias("scores"))
+    passages = b.prompts(spark, sf).select("prompt_id", SAMPLE_LEXICON.valence(tk.terms(passage())).alias("scores"))
     return rounded(joins.expand_struct(passages, "scores", "_prompt"))
 
 
 @query
 def tfidf_similarity(spark, sf):
-    passages = b.prompts(spark, sf).select("prompt_id", ov.bag(tk.terms(PROMPT)).alias("p_terms"))
-    answers = b.summaries(spark, sf).select("student_id", "prompt_id", ov.bag(tk.terms(TEXT)).alias("terms"))
+    passages = b.prompts(spark, sf).select("prompt_id", ov.bag(tk.terms(passage())).alias("p_terms"))
+    answers = b.summaries(spark, sf).select("student_id", "prompt_id", ov.bag(tk.terms(text())).alias("terms"))
     both = joins.join_prompt(answers, passages)
     both = both.select("*", ov.common_terms(F.col("terms"), F.col("p_terms")).alias("common"))
     return both.select(
@@ -576,13 +575,13 @@ def feature_build(spark, sf):
 def train_table(spark, sf) -> DataFrame:
     """Scored answers with basic features and folds; the texts stand in for the fixed texts."""
     made = ft.text_features(b.scored_summaries(spark, sf), b.prompts(spark, sf), OPTIONS["basic"])
-    made = made.withColumns({"fixed_summary_text": TEXT, "splling_err_num": F.lit(0).cast("bigint")})
+    made = made.withColumns({"fixed_summary_text": text(), "splling_err_num": F.lit(0).cast("bigint")})
     return folds.group_kfold(made, "prompt_id", QUICK.n_splits, spread_by="student_id")
 
 
 def test_table(spark, sf) -> DataFrame:
     made = ft.text_features(b.unscored_summaries(spark, sf), b.prompts(spark, sf), OPTIONS["basic"])
-    return made.withColumns({"fixed_summary_text": TEXT, "splling_err_num": F.lit(0).cast("bigint")})
+    return made.withColumns({"fixed_summary_text": text(), "splling_err_num": F.lit(0).cast("bigint")})
 
 
 @query
@@ -737,5 +736,5 @@ def full_run(spark, sf):
     """Folds, stage one, stacking, stage two and the averaged predictions for unscored answers."""
     quick = RunConfig(boost_rounds=3, hash_features=1024, parallelism=8)
     train = ft.text_features(b.scored_summaries(spark, sf), b.prompts(spark, sf), OPTIONS["basic"])
-    train = train.withColumns({"fixed_summary_text": TEXT, "splling_err_num": F.lit(0).cast("bigint")})
+    train = train.withColumns({"fixed_summary_text": text(), "splling_err_num": F.lit(0).cast("bigint")})
     return training.run(train, test_table(spark, sf), quick, "basic")["submission"]

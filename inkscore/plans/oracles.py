@@ -129,8 +129,8 @@ def greedy(source: str, ctes: str = "") -> str:
 LEXICON = r"""
 lexicon AS (
   SELECT word,
-         ((length(word) * 7 + ord(word)) % 21) / 10.0 - 1.0 AS polarity,
-         ((length(word) + ord(word)) % 11) / 10.0 AS subjectivity,
+         ((length(word) * 7 + ord(word)) % 17) / 8.0 - 1.0 AS polarity,
+         ((length(word) + ord(word)) % 9) / 8.0 AS subjectivity,
          ((length(word) * 5 + ord(word)) % 9) - 4.0 AS valence
   FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS word FROM benchmark)),
 found AS (

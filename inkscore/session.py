@@ -47,6 +47,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all task slots ahead of steps that multiply rows or burn CPU.
+
+    A partition count given in numbers is kept by adaptive execution, which would
+    otherwise merge the partitions of a table that is still small at this point.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
+
+
 def _width(field: T.StructField):
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.StringType):
