@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
-from itertools import groupby
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,56 +13,52 @@ from .lets import let, ratio, total
 Entry = tuple[str, float, float, float]
 
 
+def _quoted(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class Lexicon:
     """Entries (word, polarity, subjectivity, valence) held as literals of the plan.
 
     Membership is a hashed set test on each word. Only the few words that are in
-    the lexicon go on to the score lookup, which is a CASE over sets of words
-    sharing one score.
+    the lexicon go on to the score lookup.
     """
 
     def __init__(self, entries: Iterable[Entry] = fv.BUILTIN_LEXICON):
-        self.entries = {word: (p, s, v) for word, p, s, v in entries}
+        self.entries = {word: (float(p), float(s), float(v)) for word, p, s, v in entries}
 
-    def _known(self, words: Column) -> Column:
+    def known(self, words: Column) -> Column:
+        """The words that are in the lexicon, repeats kept."""
         return F.filter(words, lambda w: w.isin(list(self.entries)))
 
     def _score(self, word: Column, position: int) -> Column:
-        by_score: Mapping[float, list[str]] = {
-            score: [w for _, w in pairs]
-            for score, pairs in groupby(
-                sorted((scores[position], w) for w, scores in self.entries.items()), key=lambda p: p[0]
-            )
-        }
-        case = None
-        for score, members in by_score.items():
-            hit = word.isin(members)
-            case = F.when(hit, F.lit(score)) if case is None else case.when(hit, F.lit(score))
-        return F.lit(0.0) if case is None else case.otherwise(F.lit(0.0))
+        """Score of a known word, from a constant map."""
+        words = ", ".join(_quoted(w) for w in self.entries)
+        scores = ", ".join(f"{scores[position]!r}D" for scores in self.entries.values())
+        table = f"map_from_arrays(array({words}), array({scores}))" if self.entries else "cast(map() AS map<string, double>)"
+        return F.coalesce(F.try_element_at(F.expr(table), word), F.lit(0.0))
 
-    def polarity(self, lowered_words: Column) -> Column:
-        """Struct of mean polarity and mean subjectivity of the known words, 0 without any."""
+    def polarity(self, known: Column) -> Column:
+        """Struct of mean polarity and mean subjectivity of the ``known`` words, 0 without any."""
 
-        def means(known: Column) -> Column:
-            def mean(position: int) -> Column:
-                scores = F.transform(known, lambda w: self._score(w, position))
-                return F.when(
-                    known.isNotNull(), F.coalesce(ratio(total(scores, F.lit(0.0)), F.size(known)), F.lit(0.0))
-                )
+        def mean(position: int) -> Column:
+            scores = F.transform(known, lambda w: self._score(w, position))
+            return F.when(known.isNotNull(), F.coalesce(ratio(total(scores, F.lit(0.0)), F.size(known)), F.lit(0.0)))
 
-            return F.struct(mean(0).alias("polarity"), mean(1).alias("subjectivity"))
+        return F.struct(mean(0).alias("polarity"), mean(1).alias("subjectivity"))
 
-        return let(self._known(lowered_words), means)
+    def valence(self, known: Column, n_words: Column) -> Column:
+        """Struct of negative, neutral and positive shares and the compound score.
 
-    def valence(self, lowered_words: Column) -> Column:
-        """Struct of negative, neutral and positive shares and the compound score."""
-        scores = F.transform(self._known(lowered_words), lambda w: self._score(w, 2))
+        ``n_words`` counts all words of the text; those without a score are neutral.
+        """
+        scores = F.transform(known, lambda w: self._score(w, 2))
 
         def shares(hits: Column) -> Column:
             return valence_struct(
                 positive=total(F.transform(F.filter(hits, lambda v: v > 0), lambda v: v + 1.0), F.lit(0.0)),
                 negative=total(F.transform(F.filter(hits, lambda v: v < 0), lambda v: 1.0 - v), F.lit(0.0)),
-                neutral=(F.size(lowered_words) - F.size(F.filter(hits, lambda v: v != 0))).cast("double"),
+                neutral=(n_words - F.size(F.filter(hits, lambda v: v != 0))).cast("double"),
                 valence=total(hits, F.lit(0.0)),
             )
 

@@ -18,14 +18,13 @@ from .lets import let, long_size, ratio, total
 STOP, CONTENT = "stop", "content"
 
 
-def stop_word_overlap(left: Column, right: Column, keep: str = STOP) -> Column:
-    """Distinct common tokens among stop words only, or with stop words removed.
+def stop_word_overlap(common: Column, keep: str = STOP) -> Column:
+    """How many of the distinct ``common`` tokens are stop words, or are not.
 
     The comparison is case-sensitive. ``keep='stop'`` is the default.
     """
     if keep not in (STOP, CONTENT):
         raise ValueError(f"keep must be {STOP!r} or {CONTENT!r}")
-    common = F.array_intersect(left, right)
     chosen = (lambda w: w.isin(fv.STOP_WORDS)) if keep == STOP else (lambda w: ~w.isin(fv.STOP_WORDS))
     return long_size(F.filter(common, chosen))
 
@@ -40,8 +39,9 @@ def overlap_ratio(common: Column, length: Column, n: int) -> Column:
     return ratio(common, length - (n - 1))
 
 
-def jaccard(left: Column, right: Column) -> Column:
-    return ratio(F.size(F.array_intersect(left, right)), F.size(F.array_union(left, right)))
+def jaccard(common: Column, left: Column, right: Column) -> Column:
+    """From the common elements of two arrays of distinct elements."""
+    return ratio(F.size(common), F.size(left) + F.size(right) - F.size(common))
 
 
 def quoted_in(text: Column, passage: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import takewhile
+from itertools import groupby, takewhile
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,11 +30,22 @@ def _hit(kind: str, values: Sequence[str], token: Column, lowered: Column) -> Co
     raise ValueError(f"unknown rule kind {kind!r}")
 
 
+def _ends_like(lowered: Column, suffixes: Sequence[str]) -> Column:
+    """Necessary condition for any of the suffixes: its last two letters (or its only one)."""
+    short = {s for s in suffixes if len(s) == 1}
+    pairs = {s[-2:] for s in suffixes if len(s) > 1 and s[-1] not in short}
+    hit = F.right(lowered, F.lit(2)).isin(sorted(pairs)) if pairs else F.lit(False)
+    for s in sorted(short):
+        hit = hit | F.endswith(lowered, F.lit(s))
+    return hit
+
+
 def tag(token: Column, rules: Sequence[tuple] = TAG_RULES, default: str = DEFAULT_TAG) -> Column:
     """Tag of one token; the first matching rule decides.
 
-    A leading block of word lists sits behind one hashed membership test, so that
-    a token in none of them skips the block.
+    A leading block of word lists sits behind one hashed membership test, and each
+    run of suffix rules behind a test of the last letters, so that most tokens skip
+    them whole.
     """
     lists = list(takewhile(lambda rule: rule[0] == "word", rules))
     others = rules[len(lists) :]
@@ -47,7 +58,13 @@ def tag(token: Column, rules: Sequence[tuple] = TAG_RULES, default: str = DEFAUL
                 case = F.when(hit, F.lit(name)) if case is None else case.when(hit, F.lit(name))
             return otherwise if case is None else case.otherwise(otherwise)
 
-        rest = first_of(others, F.lit(default))
+        rest = F.lit(default)
+        for kind, block in reversed([(k, list(g)) for k, g in groupby(others, key=lambda rule: rule[0])]):
+            decided = first_of(block, rest)
+            if kind == "suffix":
+                suffixes = [v for _, values, _ in block for v in values]
+                decided = F.when(_ends_like(lowered, suffixes), decided).otherwise(rest)
+            rest = decided
         if not lists:
             return rest
         listed = lowered.isin([w for _, values, _ in lists for w in values])
@@ -61,8 +78,8 @@ def tags(token_array: Column, rules: Sequence[tuple] = TAG_RULES) -> Column:
 
 
 def distinct_tags(token_array: Column, rules: Sequence[tuple] = TAG_RULES) -> Column:
-    """The tags that occur; a tag depends on the token alone, so each token is tagged once."""
-    return F.array_distinct(tags(F.array_distinct(token_array), rules))
+    """The tags that occur. A tag depends on the token alone, so distinct tokens will do."""
+    return F.array_distinct(tags(token_array, rules))
 
 
 def mean_tag_share(tag_array: Column) -> Column:

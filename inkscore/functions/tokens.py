@@ -65,10 +65,9 @@ def num_chars(text: Column) -> Column:
     return F.length(text).cast("bigint")
 
 
-def average_word_length(text: Column, word_count: Column) -> Column:
-    """Characters outside whitespace per word; NULL for a text without words."""
-    inked = F.length(F.regexp_replace(text, F.lit(rf"[{fv.SPACE}]+"), F.lit("")))
-    return ratio(inked, word_count)
+def average_word_length(words: Column) -> Column:
+    """Characters per word of an array of words; NULL for a text without words."""
+    return ratio(F.length(F.array_join(words, "")), F.size(words))
 
 
 def punctuation_share(text: Column) -> Column:

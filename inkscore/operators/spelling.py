@@ -103,20 +103,23 @@ def _segments(word: Column, distance: int, shifts: bool) -> Column:
     lengths and places in question.
     """
     parts = 2 * distance + 1
-    moved = range(-distance, distance + 1) if shifts else (0,)
-    keys = []
-    for grow in moved:
-        length = F.length(word) + grow
-        for k in range(parts):
-            start = F.floor(length * k / parts).cast("int")
-            stop = F.floor(length * (k + 1) / parts).cast("int")
-            for shift in moved:
-                first = start + 1 + shift
-                part = F.when(first >= 1, F.substr(word, first, stop - start))
-                keys.append(
-                    F.concat_ws(":", length.cast("string"), F.lit(str(k)), part)
-                )
-    return F.array_distinct(F.array(*keys))
+    moves = F.sequence(F.lit(-distance), F.lit(distance)) if shifts else F.array(F.lit(0))
+
+    def key(length: Column, k: Column, shift: Column) -> Column:
+        start = F.floor(length * k / parts).cast("int")
+        stop = F.floor(length * (k + 1) / parts).cast("int")
+        first = start + 1 + shift
+        part = F.when(first >= 1, F.substr(word, first, stop - start)).otherwise(F.lit(""))
+        return F.concat_ws(":", length.cast("string"), k.cast("string"), part)
+
+    def of_length(length: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.transform(moves, lambda m: key(length, k, m))
+            )
+        )
+
+    return F.array_distinct(F.flatten(F.transform(moves, lambda grow: of_length(F.length(word) + grow))))
 
 
 def _swaps(word: Column) -> Column:
@@ -135,15 +138,26 @@ def _swaps(word: Column) -> Column:
     )
 
 
+def _letters(word: Column) -> Column:
+    """The word's letters in order; swaps leave it as it is."""
+    return F.array_join(F.sort_array(F.split(word, "")), "")
+
+
 def within(word: Column, candidate: Column, distance: int) -> Column:
-    """At most ``distance`` inserted, deleted, replaced or swapped letters (1 or 2)."""
+    """At most ``distance`` inserted, deleted, replaced or swapped letters (1 or 2).
+
+    Swaps are tried only where the letters of both words allow them: all equal for
+    swaps alone, one exchanged, added or missing for a swap and another edit.
+    """
     close = F.levenshtein(word, candidate, distance) >= 0
+    same_letters = _letters(word) == _letters(candidate)
     if distance == 1:
-        return close | F.array_contains(_swaps(word), candidate)
+        return close | (same_letters & F.array_contains(_swaps(word), candidate))
+    alike = F.levenshtein(_letters(word), _letters(candidate), 2) >= 0
     swap_then_edit = F.exists(_swaps(word), lambda s: F.levenshtein(s, candidate, 1) >= 0)
     edit_then_swap = F.exists(_swaps(candidate), lambda s: F.levenshtein(word, s, 1) >= 0)
     two_swaps = F.arrays_overlap(_swaps(word), _swaps(candidate))
-    return close | swap_then_edit | edit_then_swap | two_swaps
+    return close | (alike & (swap_then_edit | edit_then_swap)) | (same_letters & two_swaps)
 
 
 def correction_candidates(oov: DataFrame, vocabulary: DataFrame, distance: int = 1) -> DataFrame:
@@ -231,18 +245,19 @@ def apply_corrections(
     # Bounded by the distinct words of one document.
     per_doc = hits.groupBy(key).agg(F.collect_list(F.struct("word", "correction")).alias("_pairs"))
     pieces = F.regexp_extract_all(text, F.lit(rf"{LETTER_RUN}|[^a-zA-Z]+"), F.lit(0))
-    fixes = F.col("_fixes")
+    fixes, misspelt = F.col("_fixes"), F.col("_misspelt")
 
     def fix(piece: Column) -> Column:
-        correction = F.try_element_at(fixes, F.lower(piece))
-        return F.coalesce(_with_case_of(piece, correction), piece)
+        # Cheap tests first: spaces and most marks sort before the letters.
+        hit = (F.ascii(piece) > 64) & F.array_contains(misspelt, F.lower(piece))
+        return F.when(hit, _with_case_of(piece, F.try_element_at(fixes, F.lower(piece)))).otherwise(piece)
 
     rewritten = F.when(fixes.isNull(), F.col(text)).otherwise(F.array_join(F.transform(pieces, fix), ""))
     return (
         docs.join(per_doc, key, "left")
-        .withColumn("_fixes", F.map_from_entries("_pairs"))
+        .withColumns({"_fixes": F.map_from_entries("_pairs"), "_misspelt": F.transform("_pairs", lambda p: p["word"])})
         .withColumn(out, rewritten)
-        .drop("_pairs", "_fixes")
+        .drop("_pairs", "_fixes", "_misspelt")
     )
 
 

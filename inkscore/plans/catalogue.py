@@ -78,10 +78,10 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tokenised_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Passage tokens are made once per passage, before the join."""
-    passages = b.prompts(spark, sf).select("prompt_id", tk.tokens(passage()).alias("p_tokens"))
-    answers = b.summaries(spark, sf).select("student_id", "prompt_id", tk.tokens(text()).alias("tokens"))
-    return joins.join_prompt(answers, passages)
+    """Distinct tokens of both sides and what they share; passages are cut before the join."""
+    passages = b.prompts(spark, sf).select("prompt_id", F.array_distinct(tk.tokens(passage())).alias("p_tokens"))
+    answers = b.summaries(spark, sf).select("student_id", "prompt_id", F.array_distinct(tk.tokens(text())).alias("tokens"))
+    return joins.join_prompt(answers, passages).withColumn("common", F.array_intersect("tokens", "p_tokens"))
 
 
 # ---- sources and sinks -------------------------------------------------------------------------
@@ -361,11 +361,10 @@ def distinct_count(spark, sf):
 
 @query
 def word_overlap(spark, sf):
-    left, right = F.col("tokens"), F.col("p_tokens")
     return tokenised_pairs(spark, sf).select(
         "student_id",
-        ov.stop_word_overlap(left, right).alias("stop_overlap"),
-        ov.stop_word_overlap(left, right, ov.CONTENT).alias("content_overlap"),
+        ov.stop_word_overlap(F.col("common")).alias("stop_overlap"),
+        ov.stop_word_overlap(F.col("common"), ov.CONTENT).alias("content_overlap"),
     )
 
 
@@ -412,7 +411,8 @@ def ngram_overlap_ratio(spark, sf):
 
 @query
 def jaccard(spark, sf):
-    return tokenised_pairs(spark, sf).select("student_id", r6(ov.jaccard(F.col("tokens"), F.col("p_tokens")), "jaccard"))
+    share = ov.jaccard(F.col("common"), F.col("tokens"), F.col("p_tokens"))
+    return tokenised_pairs(spark, sf).select("student_id", r6(share, "jaccard"))
 
 
 @query
@@ -445,12 +445,12 @@ QUERIES["space_pieces"] = per_answer(lambda: [tk.space_pieces(text()).alias("wor
 QUERIES["vocab_richness"] = per_answer(lambda: [tk.distinct_count(tk.spaced_words(text())).alias("vocabulary_richness")])
 QUERIES["num_unq_words"] = per_answer(lambda: [tk.distinct_space_pieces(text()).alias("num_unq_words")])
 QUERIES["num_chars"] = per_answer(lambda: [tk.num_chars(text()).alias("num_chars")])
-QUERIES["avg_word_length"] = per_answer(lambda: [r6(tk.average_word_length(text(), long_size(tk.spaced_words(text()))), "avg_word_length")])
+QUERIES["avg_word_length"] = per_answer(lambda: [r6(tk.average_word_length(tk.spaced_words(text())), "avg_word_length")])
 QUERIES["punctuation_sum"] = per_answer(lambda: [r6(tk.punctuation_share(text()), "punctuation_sum")])
 QUERIES["sentences"] = per_answer(lambda: [rd.sentences(text()).alias("sentences")])
 QUERIES["syllables"] = per_answer(lambda: [rd.syllables(text()).alias("syllables")])
 QUERIES["difficult_words"] = per_answer(lambda: [rd.long_words(text()).alias("count_difficult_words"), rd.long_words(text(), 4).alias("at_least_4")])
-QUERIES["pos_mean"] = per_answer(lambda: [r6(tagging.mean_tag_share(tagging.distinct_tags(tk.tokens(text()))), "pos_mean")])
+QUERIES["pos_mean"] = per_answer(lambda: [r6(tagging.mean_tag_share(tagging.distinct_tags(F.array_distinct(tk.tokens(text())))), "pos_mean")])
 
 
 def readability(formula: Callable[[Column], Column], name: str) -> Query:
@@ -510,7 +510,9 @@ def valence_scores(spark, sf):
 
 @query
 def expand_struct(spark, sf):
-    passages = b.prompts(spark, sf).select("prompt_id", SAMPLE_LEXICON.valence(tk.terms(passage())).alias("scores"))
+    terms = b.prompts(spark, sf).select("prompt_id", tk.terms(passage()).alias("terms"))
+    known = terms.withColumn("known", SAMPLE_LEXICON.known(F.col("terms")))
+    passages = known.select("prompt_id", SAMPLE_LEXICON.valence(F.col("known"), F.size("terms")).alias("scores"))
     return rounded(joins.expand_struct(passages, "scores", "_prompt"))
 
 

@@ -75,7 +75,7 @@ def passage_side(prompts: DataFrame, options: FeatureOptions) -> DataFrame:
     if options.feature_set == "basic":
         return base.select(*columns).drop("_p_tokens", "_p_terms_list")
     base = base.select(
-        "*", rd.counts(text).alias("_p_counts"), options.lexicon.valence(terms).alias("_p_valence")
+        "*", rd.counts(text).alias("_p_counts"), options.lexicon.valence(options.lexicon.known(terms), F.size(terms)).alias("_p_valence")
     )
     columns += [
         F.array_distinct(tk.spaced_words(text)).alias("_p_words"),
@@ -94,6 +94,7 @@ def answer_side(summaries: DataFrame, options: FeatureOptions) -> DataFrame:
     tokens, words, terms = F.col("_tokens"), F.col("_words"), F.col("_terms_list")
     base = summaries.select("*", tk.tokens(text).alias("_tokens"))
     columns = ["*", long_size(tokens).alias("summary_length"), tk.ngrams(tokens, 2).alias("_bigrams")]
+    base = base.select("*", F.array_distinct(tokens).alias("_unigrams"))
     if options.feature_set == "basic":
         return base.select(*columns)
     base = base.select(
@@ -105,8 +106,12 @@ def answer_side(summaries: DataFrame, options: FeatureOptions) -> DataFrame:
     base = base.select(
         "*",
         long_size(words).alias("word_count"),
-        options.lexicon.polarity(terms).alias("_polarity"),
-        options.lexicon.valence(terms).alias("_valence"),
+        options.lexicon.known(terms).alias("_known"),
+    )
+    base = base.select(
+        "*",
+        options.lexicon.polarity(F.col("_known")).alias("_polarity"),
+        options.lexicon.valence(F.col("_known"), F.size(terms)).alias("_valence"),
     )
     counts = F.col("_counts")
     columns += [
@@ -117,12 +122,12 @@ def answer_side(summaries: DataFrame, options: FeatureOptions) -> DataFrame:
         tk.space_pieces(text).alias("word_count2"),
         tk.distinct_space_pieces(text).alias("num_unq_words"),
         tk.num_chars(text).alias("num_chars"),
-        tk.average_word_length(text, F.col("word_count")).alias("avg_word_length"),
+        tk.average_word_length(words).alias("avg_word_length"),
         tk.count_char(text, ",").alias("comma_count"),
         tk.count_char(text, ";").alias("semicolon_count"),
         tk.count_char(text, "!").alias("exclamation_count"),
         tk.count_char(text, "?").alias("question_count"),
-        tagging.mean_tag_share(tagging.distinct_tags(tokens)).alias("pos_mean"),
+        tagging.mean_tag_share(tagging.distinct_tags(F.col("_unigrams"))).alias("pos_mean"),
         tk.punctuation_share(text).alias("punctuation_sum"),
         F.col("_polarity.polarity").alias("sentiment_polarity"),
         F.col("_polarity.subjectivity").alias("sentiment_subjectivity"),
@@ -137,9 +142,10 @@ def answer_side(summaries: DataFrame, options: FeatureOptions) -> DataFrame:
 def pair_side(joined: DataFrame, options: FeatureOptions) -> DataFrame:
     """Features of answer and passage together."""
     length, tokens, bigrams = F.col("summary_length"), F.col("_tokens"), F.col("_bigrams")
-    stage = joined.select(
+    stage = joined.select("*", F.array_intersect(F.col("_unigrams"), F.col("_p_unigrams")).alias("_common"))
+    stage = stage.select(
         "*",
-        ov.stop_word_overlap(tokens, F.col("_p_unigrams"), options.keep).alias("word_overlap_count"),
+        ov.stop_word_overlap(F.col("_common"), options.keep).alias("word_overlap_count"),
         ov.common_count(bigrams, F.col("_p_bigrams")).alias("bigram_overlap_count"),
         ov.common_count(tk.widen(bigrams, tokens, 3), F.col("_p_trigrams")).alias("trigram_overlap_count"),
         ov.quoted_in(F.col("text"), F.col("prompt_text")).alias("quotes_count"),
@@ -159,7 +165,7 @@ def pair_side(joined: DataFrame, options: FeatureOptions) -> DataFrame:
     columns += [
         ratio(length, F.col("prompt_length")).alias("length_ratio"),
         ov.keyword_density(F.col("_covered"), F.col("word_count")).alias("keyword_density"),
-        ov.jaccard(tokens, F.col("_p_unigrams")).alias("jaccard_similarity"),
+        ov.jaccard(F.col("_common"), F.col("_unigrams"), F.col("_p_unigrams")).alias("jaccard_similarity"),
         ov.tfidf_cosine(F.col("_terms"), F.col("_p_terms"), F.col("_common_terms")).alias("text_similarity"),
     ]
     return stage.select(*columns)
