@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def sql_text(value: str) -> str:
+    """A string as a SQL literal, for expressions over long word lists.
+
+    Such an expression is handed over as one text; made of Columns it would cost
+    a round trip to the JVM for every word.
+    """
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_list(values: Iterable[str]) -> str:
+    return ", ".join(sql_text(v) for v in values)
+
+
 def long_size(array: Column) -> Column:
     return F.size(array).cast("bigint")
 

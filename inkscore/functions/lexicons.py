@@ -8,15 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .lets import let, ratio, total
+from .lets import let, ratio, sql_list, total
 
 Entry = tuple[str, float, float, float]
 
 
-def _quoted(word: str) -> str:
-    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 class Lexicon:
     """Entries (word, polarity, subjectivity, valence) held as literals of the plan.
 
@@ -27,13 +23,13 @@ class Lexicon:
     def __init__(self, entries: Iterable[Entry] = fv.BUILTIN_LEXICON):
         self.entries = {word: (float(p), float(s), float(v)) for word, p, s, v in entries}
 
-    def known(self, words: Column) -> Column:
-        """The words that are in the lexicon, repeats kept."""
-        return F.filter(words, lambda w: w.isin(list(self.entries)))
+    def known(self, word_column: str) -> Column:
+        """The words of that array column that are in the lexicon, repeats kept."""
+        return F.expr(f"filter({word_column}, w -> w IN ({sql_list(self.entries) or 'NULL'}))")
 
     def _score(self, word: Column, position: int) -> Column:
         """Score of a known word, from a constant map."""
-        words = ", ".join(_quoted(w) for w in self.entries)
+        words = sql_list(self.entries)
         scores = ", ".join(f"{scores[position]!r}D" for scores in self.entries.values())
         table = f"map_from_arrays(array({words}), array({scores}))" if self.entries else "cast(map() AS map<string, double>)"
         return F.coalesce(F.try_element_at(F.expr(table), word), F.lit(0.0))

@@ -13,20 +13,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .lets import let, long_size, ratio, total
+from .lets import let, long_size, ratio, sql_list, total
 
 STOP, CONTENT = "stop", "content"
 
 
-def stop_word_overlap(common: Column, keep: str = STOP) -> Column:
-    """How many of the distinct ``common`` tokens are stop words, or are not.
+def stop_word_overlap(common_column: str, keep: str = STOP) -> Column:
+    """How many of the distinct common tokens in that column are stop words, or are not.
 
     The comparison is case-sensitive. ``keep='stop'`` is the default.
     """
     if keep not in (STOP, CONTENT):
         raise ValueError(f"keep must be {STOP!r} or {CONTENT!r}")
-    chosen = (lambda w: w.isin(fv.STOP_WORDS)) if keep == STOP else (lambda w: ~w.isin(fv.STOP_WORDS))
-    return long_size(F.filter(common, chosen))
+    test = "IN" if keep == STOP else "NOT IN"
+    return long_size(F.expr(f"filter({common_column}, w -> w {test} ({sql_list(fv.STOP_WORDS)}))"))
 
 
 def common_count(left: Column, right: Column) -> Column:

@@ -323,7 +323,8 @@ def inverse_rmse_weights(spark, sf):
 
 @query
 def tag_histogram(spark, sf):
-    tagged = b.summaries(spark, sf).select("student_id", tagging.tags(tk.tokens(text())).alias("tags"))
+    cut = b.summaries(spark, sf).select("student_id", tk.tokens(text()).alias("t"))
+    tagged = cut.select("student_id", tagging.tags("t").alias("tags"))
     counted = tagged.select("student_id", F.size("tags").alias("n_tags"), F.inline(ov.bag(F.col("tags"))))
     return counted.select("student_id", F.col("term").alias("tag"), "n", r6(ratio(F.col("n"), F.col("n_tags")), "share"))
 
@@ -363,8 +364,8 @@ def distinct_count(spark, sf):
 def word_overlap(spark, sf):
     return tokenised_pairs(spark, sf).select(
         "student_id",
-        ov.stop_word_overlap(F.col("common")).alias("stop_overlap"),
-        ov.stop_word_overlap(F.col("common"), ov.CONTENT).alias("content_overlap"),
+        ov.stop_word_overlap("common").alias("stop_overlap"),
+        ov.stop_word_overlap("common", ov.CONTENT).alias("content_overlap"),
     )
 
 
@@ -450,7 +451,6 @@ QUERIES["punctuation_sum"] = per_answer(lambda: [r6(tk.punctuation_share(text())
 QUERIES["sentences"] = per_answer(lambda: [rd.sentences(text()).alias("sentences")])
 QUERIES["syllables"] = per_answer(lambda: [rd.syllables(text()).alias("syllables")])
 QUERIES["difficult_words"] = per_answer(lambda: [rd.long_words(text()).alias("count_difficult_words"), rd.long_words(text(), 4).alias("at_least_4")])
-QUERIES["pos_mean"] = per_answer(lambda: [r6(tagging.mean_tag_share(tagging.distinct_tags(F.array_distinct(tk.tokens(text())))), "pos_mean")])
 
 
 def readability(formula: Callable[[Column], Column], name: str) -> Query:
@@ -494,7 +494,14 @@ def keyword_density(spark, sf):
 
 @query
 def token_tags(spark, sf):
-    return per_answer(lambda: [F.array_join(tagging.tags(tk.tokens(text())), " ").alias("tags")])(spark, sf)
+    cut = b.summaries(spark, sf).select("student_id", tk.tokens(text()).alias("t"))
+    return cut.select("student_id", F.array_join(tagging.tags("t"), " ").alias("tags"))
+
+
+@query
+def pos_mean(spark, sf):
+    cut = b.summaries(spark, sf).select("student_id", F.array_distinct(tk.tokens(text())).alias("t"))
+    return cut.select("student_id", r6(tagging.mean_tag_share(tagging.distinct_tags("t")), "pos_mean"))
 
 
 @query
@@ -511,7 +518,7 @@ def valence_scores(spark, sf):
 @query
 def expand_struct(spark, sf):
     terms = b.prompts(spark, sf).select("prompt_id", tk.terms(passage()).alias("terms"))
-    known = terms.withColumn("known", SAMPLE_LEXICON.known(F.col("terms")))
+    known = terms.withColumn("known", SAMPLE_LEXICON.known("terms"))
     passages = known.select("prompt_id", SAMPLE_LEXICON.valence(F.col("known"), F.size("terms")).alias("scores"))
     return rounded(joins.expand_struct(passages, "scores", "_prompt"))
 

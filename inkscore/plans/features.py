@@ -75,7 +75,7 @@ def passage_side(prompts: DataFrame, options: FeatureOptions) -> DataFrame:
     if options.feature_set == "basic":
         return base.select(*columns).drop("_p_tokens", "_p_terms_list")
     base = base.select(
-        "*", rd.counts(text).alias("_p_counts"), options.lexicon.valence(options.lexicon.known(terms), F.size(terms)).alias("_p_valence")
+        "*", rd.counts(text).alias("_p_counts"), options.lexicon.valence(options.lexicon.known("_p_terms_list"), F.size(terms)).alias("_p_valence")
     )
     columns += [
         F.array_distinct(tk.spaced_words(text)).alias("_p_words"),
@@ -106,7 +106,7 @@ def answer_side(summaries: DataFrame, options: FeatureOptions) -> DataFrame:
     base = base.select(
         "*",
         long_size(words).alias("word_count"),
-        options.lexicon.known(terms).alias("_known"),
+        options.lexicon.known("_terms_list").alias("_known"),
     )
     base = base.select(
         "*",
@@ -127,7 +127,7 @@ def answer_side(summaries: DataFrame, options: FeatureOptions) -> DataFrame:
         tk.count_char(text, ";").alias("semicolon_count"),
         tk.count_char(text, "!").alias("exclamation_count"),
         tk.count_char(text, "?").alias("question_count"),
-        tagging.mean_tag_share(tagging.distinct_tags(F.col("_unigrams"))).alias("pos_mean"),
+        tagging.mean_tag_share(tagging.distinct_tags("_unigrams")).alias("pos_mean"),
         tk.punctuation_share(text).alias("punctuation_sum"),
         F.col("_polarity.polarity").alias("sentiment_polarity"),
         F.col("_polarity.subjectivity").alias("sentiment_subjectivity"),
@@ -145,7 +145,7 @@ def pair_side(joined: DataFrame, options: FeatureOptions) -> DataFrame:
     stage = joined.select("*", F.array_intersect(F.col("_unigrams"), F.col("_p_unigrams")).alias("_common"))
     stage = stage.select(
         "*",
-        ov.stop_word_overlap(F.col("_common"), options.keep).alias("word_overlap_count"),
+        ov.stop_word_overlap("_common", options.keep).alias("word_overlap_count"),
         ov.common_count(bigrams, F.col("_p_bigrams")).alias("bigram_overlap_count"),
         ov.common_count(tk.widen(bigrams, tokens, 3), F.col("_p_trigrams")).alias("trigram_overlap_count"),
         ov.quoted_in(F.col("text"), F.col("prompt_text")).alias("quotes_count"),

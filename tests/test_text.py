@@ -60,11 +60,12 @@ def test_clean_text_order_of_steps(value):
 
 def test_stop_words_are_kept_by_default_and_case_matters(value):
     left, right = ["The", "the", "dog", "of"], ["the", "dog", "THE"]
-    common = F.array_intersect(T, P)
-    assert value(ov.stop_word_overlap(common), t=left, p=right) == 1
-    assert value(ov.stop_word_overlap(common, "content"), t=left, p=right) == 1
+    common = sorted(set(left) & set(right))
+    assert value(ov.stop_word_overlap("t"), t=common) == 1
+    assert value(ov.stop_word_overlap("t", "content"), t=common) == 1
+    assert value(ov.stop_word_overlap("t"), t=["don't", "dont", "The"]) == 1
     with pytest.raises(ValueError):
-        ov.stop_word_overlap(common, "other")
+        ov.stop_word_overlap("t", "other")
 
 
 @pytest.mark.parametrize("length,n,expected", [(0, 2, 0.0), (1, 2, None), (2, 3, None), (5, 2, 0.0)])
@@ -133,15 +134,15 @@ def test_readability_counts(value, text):
 def test_tags_first_rule_wins(value):
     tokens = ["The", "quickly", "running", "Dogs", "dogs", "glass", "42", "!", "must", "Paris", "help"]
     expected = ["DT", "RB", "VBG", "NNP", "NNS", "NN", "CD", "PUNCT", "MD", "NNP", "NN"]
-    assert value(tagging.tags(T), t=tokens) == expected
-    assert value(tagging.mean_tag_share(tagging.distinct_tags(T)), t=tokens) == pytest.approx(1 / len(set(expected)))
-    assert value(tagging.mean_tag_share(tagging.distinct_tags(T)), t=[]) is None
+    assert value(tagging.tags("t"), t=tokens) == expected
+    assert value(tagging.mean_tag_share(tagging.distinct_tags("t")), t=tokens) == pytest.approx(1 / len(set(expected)))
+    assert value(tagging.mean_tag_share(tagging.distinct_tags("t")), t=[]) is None
 
 
 def test_lexicon_scores(value):
     lexicon = Lexicon()
     words = ["a", "good", "day", "not", "bad", "good"]
-    known = lexicon.known(T)
+    known = lexicon.known("t")
     p = value(lexicon.polarity(known), t=words)
     assert (p["polarity"], p["subjectivity"]) == (pytest.approx((0.7 - 0.7 + 0.7) / 3), pytest.approx((0.6 + 0.667 + 0.6) / 3))
     v = value(lexicon.valence(known, F.size(T)), t=words)
