@@ -16,7 +16,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
@@ -34,8 +34,9 @@ def in_parallel(jobs: Sequence[Callable[[], Any]], width: int) -> list:
     """Run Spark-submitting callables concurrently, results in order."""
     if not jobs:
         return []
+    wrap = inheritable_thread_target(SparkSession.active())
     with ThreadPool(min(width, len(jobs))) as pool:
-        return pool.map(lambda job: inheritable_thread_target(job)(), jobs)
+        return pool.map(lambda job: job(), [wrap(job) for job in jobs])
 
 
 def by_fold(df: DataFrame, label: str) -> DataFrame:

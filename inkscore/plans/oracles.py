@@ -484,6 +484,13 @@ UNION ALL SELECT student_id, 'wording', wording FROM truth""",
 FROM embeddings""",
 }
 
+ORACLES["feature_build"] = f"""
+SELECT e.*, s.spelling_errors AS splling_err_num, a.fixed_summary_text, t.prompt_id, t.text, t.content, t.wording
+FROM ({ORACLES['features_enriched']}) e
+JOIN ({ORACLES['spelling_errors']}) s USING (student_id)
+JOIN ({ORACLES['autocorrect']}) a USING (student_id)
+JOIN (WITH {TEXTS} SELECT student_id, prompt_id, text, content, wording FROM summaries JOIN truth USING (student_id)) t USING (student_id)"""
+
 
 def _settings() -> str:
     from dataclasses import asdict
