@@ -216,11 +216,13 @@ def corrections(oov: DataFrame, vocabulary: DataFrame, max_distance: int = 2) ->
 
     Words with a candidate one edit away never look further.
     """
+    # Every table here is read more than once; none may reach back to the corpus.
+    oov = materialise(oov, "oov")
     found = best_candidates(correction_candidates(oov, vocabulary, 1))
     if max_distance == 1:
         return found
     found = materialise(found, "corrections-1")
-    rest = oov.join(found, "word", "left_anti")
+    rest = materialise(oov.join(found, "word", "left_anti"), "oov-2")
     return found.unionByName(best_candidates(correction_candidates(rest, vocabulary, max_distance)))
 
 

@@ -16,7 +16,7 @@ from ..functions.cleaning import clean_text as clean_column
 from ..functions.lets import long_size, ratio
 from ..functions.lexicons import Lexicon
 from ..operators import blend, folds, joins, lexicon_join, metrics, models, scoring, spelling
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources import schemas, tables
 from . import bindings as b
 from . import features as ft
@@ -242,7 +242,8 @@ def labels_preds_align(spark, sf):
 @query
 def correction_candidates(spark, sf):
     known = b.dictionary(spark, sf)
-    return spelling.correction_candidates(spelling.oov_words(b.summaries(spark, sf), known), known, 1)
+    unknown = materialise(spelling.oov_words(b.summaries(spark, sf), known), "oov")
+    return spelling.correction_candidates(unknown, known, 1)
 
 
 # ---- aggregates --------------------------------------------------------------------------------

@@ -44,6 +44,7 @@ def run(train: DataFrame, test: DataFrame, config: RunConfig, feature_set: str =
     ``train`` and ``test`` are feature tables; ``train`` also has the targets.
     """
     train = materialise(folds.group_kfold(train, "prompt_id", config.n_splits, spread_by="student_id"), "train")
+    test = materialise(test, "test")
     table1, text_models = stage1(train, config)
     stage1_oof = materialise(models.predict_held_out(table1, text_models, config), "stage1-oof")
     test1 = models.predict_mean(stage1_table(test, config, ["student_id"]), text_models, config)
@@ -80,6 +81,7 @@ def search_stacked(
     ``features`` carries folds and targets. Each trial costs targets x folds fits,
     so only the trials that lead by blend error are refitted.
     """
+    features = materialise(features, "search-features")
     leading = blend.best_trials(blend.search_weights(gram_cells, trials), k).collect()
     names = tuple(f"{t}_pred" for t in TARGETS)
     rows = []
