@@ -166,16 +166,18 @@ def correction_candidates(oov: DataFrame, vocabulary: DataFrame, distance: int =
     Both sides are keyed by their deletion neighbourhoods and joined on equality,
     so no word is compared with the whole dictionary. Unknown words whose length
     is out of reach of every dictionary word are discarded before they are keyed.
+    Both inputs are read several times and should be written tables.
     """
+    rows = max(oov.count(), vocabulary.count())
     entries = vocabulary.where(F.regexp_like("word", F.lit(rf"^{LETTER_RUN}$"))).select(
         F.col("word").alias("candidate"), "freq"
     )
-    entries = spread(entries, "candidate")
+    entries = spread(entries, "candidate", rows=rows)
     reach = entries.select(
         F.explode(F.sequence(F.length("candidate") - distance, F.length("candidate") + distance)).alias("size")
     ).distinct()
     eligible = oov.select("word", F.length("word").alias("size")).join(reach, "size", "left_semi").select("word")
-    eligible = spread(eligible, "word")
+    eligible = spread(eligible, "word", rows=rows)
 
     pairs = _keyed_pairs(
         eligible.where(F.length("word") <= LONG_WORD + distance).select(
@@ -184,6 +186,7 @@ def correction_candidates(oov: DataFrame, vocabulary: DataFrame, distance: int =
         entries.where(F.length("candidate") <= LONG_WORD).select(
             "candidate", "freq", F.explode(_deletions(F.col("candidate"), distance)).alias("key")
         ),
+        rows,
     ).unionByName(
         _keyed_pairs(
             eligible.where(F.length("word") > LONG_WORD - distance).select(
@@ -192,6 +195,7 @@ def correction_candidates(oov: DataFrame, vocabulary: DataFrame, distance: int =
             entries.where(F.length("candidate") > LONG_WORD).select(
                 "candidate", "freq", F.explode(_segments(F.col("candidate"), distance, False)).alias("key")
             ),
+            rows,
         )
     )
     near = pairs.where(F.abs(F.length("word") - F.length("candidate")) <= distance).where(
@@ -200,8 +204,8 @@ def correction_candidates(oov: DataFrame, vocabulary: DataFrame, distance: int =
     return near.groupBy("word", "candidate").agg(F.max("freq").alias("freq"))
 
 
-def _keyed_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    return spread(left, "key").join(spread(right, "key"), "key").select("word", "candidate", "freq")
+def _keyed_pairs(left: DataFrame, right: DataFrame, rows: int) -> DataFrame:
+    return spread(left, "key", rows=rows).join(spread(right, "key", rows=rows), "key").select("word", "candidate", "freq")
 
 
 def best_candidates(candidates: DataFrame) -> DataFrame:

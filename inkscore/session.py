@@ -47,15 +47,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over all task slots ahead of steps that multiply rows or burn CPU.
+def spread(df: DataFrame, *keys: str, rows: int, rows_per_task: int = 5000) -> DataFrame:
+    """Hash rows over enough tasks ahead of steps that multiply rows or burn CPU.
 
-    A partition count given in numbers is kept by adaptive execution, which would
-    otherwise merge the partitions of a table that is still small at this point.
+    ``rows`` is the known size of the table that drives the step. The session's
+    shuffle partitions are the ceiling, its task slots the floor. A partition count
+    given in numbers is kept by adaptive execution, which would otherwise merge the
+    partitions of a table that is still small at this point.
     """
     spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(parts, *keys)
+    slots = spark.sparkContext.defaultParallelism
+    ceiling = max(int(spark.conf.get("spark.sql.shuffle.partitions")), slots)
+    return df.repartition(max(slots, min(ceiling, -(-rows // rows_per_task))), *keys)
 
 
 def _width(field: T.StructField):
