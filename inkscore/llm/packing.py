@@ -134,7 +134,7 @@ def plan(counts: dict[int, int], capacity: int) -> Plan:
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, rows_per_bucket: int = 200_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, rows_per_bucket: int = 20_000) -> DataFrame:
     """``pieces`` (a written table: doc_id, piece, start, length and more) with a ``sequence_id`` and ``offset`` for each row.
 
     Pieces are ranked among those of equal length within buckets of about ``rows_per_bucket`` rows, dealt by document

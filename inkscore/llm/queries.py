@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkscore.llm.decontamination import contamination
+from inkscore.llm.ngram_join import similar_components
 from inkscore.llm.packing import pack_documents
 from inkscore.llm.token_counts import count_tokens
 
@@ -12,15 +14,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' words inside windows of ten words of any benchmark item."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document."""
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share at least 80 % of their five-word shingles."""
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 1024 ids."""
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_token_counts, op10_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op7_benchmark_decontamination,
+        op8_token_counts,
+        op9_ngram_jaccard_join,
+        op10_best_fit_packing,
+    )
+}
 ORACLES: dict[str, str] = {}
