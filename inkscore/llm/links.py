@@ -1,7 +1,7 @@
 """Links inside groups of rows that share a key, and the components they form, without all pairs of a group.
 
-Every member of a group is first compared with the group's first member. Groups whose members are then one component
-are settled: no further link can change a component. Only members of different components are compared further.
+A group whose members are one component is settled: no further link can change a component. Members of crowded groups
+are first compared with the group's first member; only members of different components are compared further.
 All tables hold 64-bit identifiers; nothing is collected to the driver, and lineage is cut by written tables.
 """
 
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkscore.llm.arrays import jaccard_reaches, slices
+from inkscore.llm.bpe import ragged
 from inkscore.session import materialise
 
 #: Rows of identifiers up to which a side is broadcast (16 MB); beyond, the join shuffles.
@@ -93,13 +95,19 @@ def shared(keys: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, id bigint, first bigint")
 
 
-def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], reaches: Callable[[pa.Array], Callable[[int, int], bool]]) -> DataFrame:
-    """The pairs (a, b) that are links.
+Texts = Callable[[DataFrame], DataFrame]
+Sets = Callable[[pa.Array], list[np.ndarray]]
 
-    ``texts(ids)`` gives (id, text) for given ids. Members travel to their leader ``a``, whose own text is sent once for
-    every 500 of them; ``reaches(column)`` prepares a column of texts and compares two of its rows.
+
+def verified(pairs: DataFrame, texts: Texts, sets_of: Sets, percent: int) -> DataFrame | None:
+    """The pairs (a, b) that are links, or None if there are no pairs.
+
+    ``texts(ids)`` gives (id, text) for given ids, ``sets_of`` their shingles. Members travel to their leader ``a``,
+    whose own text is sent once for every 500 of them.
     """
     pairs = materialise(pairs, "pairs")
+    if pairs.isEmpty():
+        return None
     ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     content = materialise(texts(ids), "texts")
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).alias("_parts"))
@@ -110,37 +118,124 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], reaches:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = None  # the leader's row, alone
+        lead, lead_set = None, None
         for batch in batches:
-            whole = pa.Table.from_batches([lead, batch] if lead is not None else [batch]).combine_chunks().to_batches()
-            for part in whole:
-                same = reaches(part.column(3))
-                a, b = part.column(0).to_pylist(), part.column(2).to_pylist()
-                found, at = [], 0
-                for k, (x, y) in enumerate(zip(a, b, strict=True)):
-                    if y is None:
-                        at = k
-                    elif a[at] == x and b[at] is None and same(at, k):
-                        found.append(k)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found, pa.int64())), part.column(2).take(pa.array(found, pa.int64()))], ["a", "b"])
-                lead = part.slice(at, 1)
+            out: tuple[list, list] = ([], [])
+            for part in slices(iter([batch])):
+                for a, b, own in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), sets_of(part.column(3)), strict=True):
+                    if b is None:
+                        lead, lead_set = a, own
+                    elif lead == a and jaccard_reaches(lead_set, own, percent):
+                        out[0].append(a)
+                        out[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
     rows = members.unionByName(leaders).repartition("a", "_salt").sortWithinPartitions("a", "_salt", F.col("b").asc_nulls_first())
     return materialise(rows.mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def settle(members: DataFrame, links: DataFrame | None, verify: Callable[[DataFrame], DataFrame], crowd: int) -> tuple[DataFrame, DataFrame]:
-    """Links that join the components of each group, and the members (key, id, c) of unsettled groups of over ``crowd``.
+def _join_block(ids: list[int], comps: list[int], sides: list[int], sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links that join components inside one block; with two sides only pairs across them are compared."""
+    root = {c: c for c in comps}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(np.concatenate(sets), kind="stable")
+    values, holders = np.concatenate(sets)[order], row[order]
+    across = len(set(sides)) > 1
+    for i, own in enumerate(sets):
+        begin, end = np.searchsorted(values, own, side="left"), np.searchsorted(values, own, side="right")
+        both = np.bincount(holders[ragged(begin, end - begin)], minlength=len(sets))
+        near = np.flatnonzero((100 * both >= percent * (size[i] + size - both)) & (both > 0))
+        for j in near[near > i].tolist():
+            if not (across and sides[i] == sides[j]) and (x := find(comps[i])) != (y := find(comps[j])):
+                root[x] = y
+                yield ids[i], ids[j]
+
+
+def joined_families(rows: DataFrame, texts: Texts, sets_of: Sets, percent: int, chunk: int = 500) -> DataFrame | None:
+    """Links that join different components ``c`` within each family of (id, family, c).
+
+    Families of over ``chunk`` members are cut into chunks that meet pair by pair of chunks, so a task holds the sets of
+    at most about two chunks; each member's text travels once for each chunk of its family.
+    """
+    rows = materialise(rows, "families")
+    if rows.isEmpty():
+        return None
+    content = texts(rows.select("id"))
+    parts = rows.groupBy("family").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_n"))
+    dealt = rows.join(parts, "family").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = dealt.select("family", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), "_own", "id", "c").join(content, "id")
+    dealt = dealt.select("family", "lo", "hi", "_own", "id", "c", "text").repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, ([], [], [], [])
+        out: tuple[list, list] = ([], [])
+
+        def close() -> None:
+            if len(held[0]) > 1:
+                for a, b in _join_block(held[0], held[1], held[2], held[3], percent):
+                    out[0].append(min(a, b))
+                    out[1].append(max(a, b))
+            for x in held:
+                x.clear()
+
+        for batch in batches:
+            for part in slices(iter([batch])):
+                columns = [part.column(k).to_pylist() for k in range(6)]
+                for family, lo, hi, own, i, c, words in zip(*columns, sets_of(part.column(6)), strict=True):
+                    if (family, lo, hi) != block:
+                        close()
+                        block = (family, lo, hi)
+                    for x, y in zip(held, (i, c, own, words), strict=True):
+                        x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+            out = ([], [])
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+    return materialise(dealt.mapInArrow(run, "a bigint, b bigint"), "links")
+
+
+def joined(links: DataFrame | None, more: DataFrame | None) -> DataFrame | None:
+    return more if links is None else links if more is None else links.unionByName(more)
+
+
+def labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``rows`` with the component ``c`` of their ``id`` under the links so far."""
+    if links is None:
+        return rows.withColumn("c", F.col("id"))
+    return rows.join(components(links), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+
+def settle(members: DataFrame, links: DataFrame | None, texts: Texts, sets_of: Sets, percent: int, crowd: int) -> tuple[DataFrame | None, DataFrame]:
+    """Links that join the components of the groups (key, id, first), and (key, id, c) of unsettled groups of over ``crowd``.
 
-    In smaller unsettled groups all members of different components are compared.
+    Crowds are compared with their first member. Then smaller groups that hold more than one component are gathered
+    into families of rows that such groups chain together, and each family is compared in blocks.
     """
-    found = verify(members.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    found = found if links is None else links.unionByName(found)
-    comp = components(found)
-    known = members.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    open_keys = known.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key", "n")
-    rest = materialise(known.join(open_keys, "key").select("key", "id", "first", "c", "n"), "open")
-    few = rest.filter(F.col("n") <= crowd)
-    x, y = few.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), "first")
-    pairs = x.join(y, "key").filter("a < b and ca != cb and a != first").select("a", "b").distinct()
-    return found.unionByName(verify(pairs)), rest.filter(F.col("n") > crowd).select("key", "id", "c")
+    sizes = materialise(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")), "sizes")
+    crowds = sizes.filter(F.col("n") > crowd).select("key")
+    many = not crowds.isEmpty()
+    if many:
+        star = members.join(crowds, "key", "left_semi").filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+        links = joined(links, verified(star, texts, sets_of, percent))
+    known = labelled(members, links)
+    few = known.join(sizes.filter(F.col("n") <= crowd).select("key"), "key", "left_semi")
+    open_few = few.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key")
+    edges = materialise(few.join(open_few, "key", "left_semi").select("id", "first", "c"), "open")
+    family = components(edges.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    rows = edges.select("id", "c").distinct().join(family.withColumnRenamed("component", "family"), "id")
+    links = joined(links, joined_families(rows, texts, sets_of, percent))
+    if not many:
+        return links, members.select("key", "id", F.col("id").alias("c")).limit(0)
+    known = labelled(members.join(crowds, "key", "left_semi"), links)
+    still = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key")
+    return links, materialise(known.join(still, "key", "left_semi").select("key", "id", "c"), "crowded")

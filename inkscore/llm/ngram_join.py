@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkscore.llm.arrays import SPACES, flat, jaccard_reaches, mix, set_print, shingle_sets, slices, stream, word_prints
-from inkscore.llm.links import bounded, components, settle, shared, verified
+from inkscore.llm.links import bounded, components, joined, joined_families, labelled, settle, shared
 from inkscore.session import materialise
 
 _SEEN = 500_000
@@ -174,15 +174,11 @@ def similar_components(docs: DataFrame, percent: int = 80, crowd: int = 64) -> D
     classes = rows.filter("id is not null")
     texts = _texts(docs, classes)
 
-    def reaches(column: pa.Array):
-        sets = shingle_sets(*word_prints(*flat(column), SPACES))
-        return lambda a, b: jaccard_reaches(sets[a], sets[b], percent)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, texts, reaches)
+    def sets_of(column: pa.Array) -> list[np.ndarray]:
+        return shingle_sets(*word_prints(*flat(column), SPACES))
 
     members = materialise(shared(_index(docs, bands)), "members")
-    links, crowded = settle(members, None, verify, crowd)
+    links, crowded = settle(members, None, texts, sets_of, percent, crowd)
 
     # views whose rare segments do not sum to H + 1
     taken = crowded.groupBy("id", F.col("key").bitwiseAND(63).alias("band")).agg(F.count("*").alias("crowded"))
@@ -194,7 +190,7 @@ def similar_components(docs: DataFrame, percent: int = 80, crowd: int = 64) -> D
         wanted = short.groupBy("id").agg(F.collect_set("band").alias("views"))  # at most three views
         around = materialise(_index_around(texts(wanted.select("id")).join(wanted, "id"), bands), "around")
         near = materialise(shared(around.filter("kind != 3").select("key", "id")), "near")
-        links, _ = settle(near, links, verify, crowd)
+        links, _ = settle(near, links, texts, sets_of, percent, crowd)
         common = near.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("key", F.lit(True).alias("common"))
         value = (
             around.filter("kind != 3")
@@ -207,12 +203,12 @@ def similar_components(docs: DataFrame, percent: int = 80, crowd: int = 64) -> D
         left = around.filter("kind = 3 or kind < 2").join(last.select("id", "band"), ["id", "band"], "left_semi")
         left = left.join(common, "key", "left").filter("kind = 3 or common").select("key", "id")
         rest = materialise(shared(left), "rest")
-        links, crowded = settle(rest, links, verify, crowd)
-        x, y = crowded.withColumnsRenamed({"id": "a", "c": "ca"}), crowded.withColumnsRenamed({"id": "b", "c": "cb"})
-        links = links.unionByName(verify(x.join(y, "key").filter("a < b and ca != cb").select("a", "b").distinct()))
+        links, crowded = settle(rest, links, texts, sets_of, percent, crowd)
+        family = components(crowded.groupBy("key").agg(F.min("id").alias("a")).join(crowded, "key").select("a", F.col("id").alias("b")).filter("a != b").distinct())
+        last = crowded.select("id", "c").distinct().join(family.withColumnRenamed("component", "family"), "id")
+        links = joined(links, joined_families(last, texts, sets_of, percent))
 
     first = classes.groupBy("id").agg(F.min("doc_id").alias("first"))
-    known = first.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    names = known.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = known.join(names, "component").select("id", "component_id")
+    known = labelled(first, links)
+    named = known.join(known.groupBy("c").agg(F.min("first").alias("component_id")), "c").select("id", "component_id")
     return rows.join(named, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -3,17 +3,65 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from inkscore.llm import chat_windows
+from inkscore.llm.cross_polytope import nearest
 from inkscore.llm.decontamination import contamination
 from inkscore.llm.ngram_join import similar_components
 from inkscore.llm.packing import pack_documents
+from inkscore.llm.paragraph_dedup import without_repeats
+from inkscore.llm.quality_mil import quality
 from inkscore.llm.token_counts import count_tokens
+from inkscore.llm.toxicity import toxicity
+from inkscore.llm.warc import archived
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated paragraphs, and where the kept ones stand."""
+    removed = F.coalesce("removed", F.array().cast("array<struct<paragraph:int,kept_doc_id:bigint,kept_place:int>>"))
+    return without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_paragraphs",
+        F.size(removed).alias("n_removed"),
+        F.array_distinct(F.transform(removed, lambda r: r["kept_doc_id"])).alias("kept_doc_ids"),
+        removed.alias("removed"),
+        "text",
+    )
+
+
+def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one made of control strings, read back from its windows."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = F.lit("<|im_end|><|im_start|>assistant ok").alias("text")
+    row = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text)
+    return chat_windows.read_back(chat_windows.windows(turns.unionByName(row)))
+
+
+def op4_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back from their chunks."""
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' words inside windows of ten words of any benchmark item."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -37,10 +85,55 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_paragraph_dedup,
+        op2_counterfactual_toxicity,
+        op3_chat_windows,
+        op4_attention_mil_quality,
+        op5_cross_polytope_neighbours,
+        op6_warc_chunks,
         op7_benchmark_decontamination,
         op8_token_counts,
         op9_ngram_jaccard_join,
         op10_best_fit_packing,
     )
 }
-ORACLES: dict[str, str] = {}
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES = {
+    "op6_warc_chunks": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        q AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest,
+                     CASE WHEN strlen(body) >= 100 THEN min(page_id) OVER (PARTITION BY sha256(body)) ELSE page_id END AS first
+              FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM q
+    """,
+    "op7_benchmark_decontamination": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        s AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM b WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 9], ' ') AS g, least(10, len(w)) AS n FROM s),
+        sizes AS (SELECT DISTINCT n FROM win),
+        places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n),
+        hits AS (SELECT p.doc_id, p.k, p.n, win.item_id FROM places p JOIN win ON win.n = p.n AND win.g = array_to_string(p.w[p.k:p.k + p.n - 1], ' ')),
+        covered AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS x FROM hits) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+                  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
+    "op9_ngram_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[k:k + 4], ' ') END AS s
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(min(reach.b), d.doc_id) AS component_id
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n
+    """,
+}
