@@ -215,27 +215,29 @@ def labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     return rows.join(components(links), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
-def settle(members: DataFrame, links: DataFrame | None, texts: Texts, sets_of: Sets, percent: int, crowd: int) -> tuple[DataFrame | None, DataFrame]:
+def settle(
+    members: DataFrame, links: DataFrame | None, texts: Texts, sets_of: Sets, percent: int, crowd: int, spare: DataFrame | None = None
+) -> tuple[DataFrame | None, DataFrame]:
     """Links that join the components of the groups (key, id, first), and (key, id, c) of unsettled groups of over ``crowd``.
 
-    Crowds are compared with their first member. Then smaller groups that hold more than one component are gathered
-    into families of rows that such groups chain together, and each family is compared in blocks.
+    Members are compared with their group's first one. In groups of at most ``crowd`` that still hold more than one
+    component, members of different components are compared. ``spare`` (id, band, spare) says how many groups of a band,
+    the low six bits of a key, a row shares at least with any row it is linked with; other pairs are not compared.
     """
-    sizes = materialise(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")), "sizes")
-    crowds = sizes.filter(F.col("n") > crowd).select("key")
-    many = not crowds.isEmpty()
-    if many:
-        star = members.join(crowds, "key", "left_semi").filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-        links = joined(links, verified(star, texts, sets_of, percent))
+    band = F.col("key").bitwiseAND(63).alias("band")
+    star = members.filter("id != first").groupBy(F.col("first").alias("a"), F.col("id").alias("b"), band).agg(F.count("*").alias("n"))
+    if spare is not None:  # no more than a head start: pairs with few groups in common wait
+        star = star.join(spare.withColumnRenamed("id", "b"), ["b", "band"], "left").filter(F.col("n") >= F.coalesce(F.col("spare") / 2, F.lit(1)))
+    links = joined(links, verified(star.select("a", "b").distinct(), texts, sets_of, percent))
     known = labelled(members, links)
-    few = known.join(sizes.filter(F.col("n") <= crowd).select("key"), "key", "left_semi")
-    open_few = few.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key")
-    edges = materialise(few.join(open_few, "key", "left_semi").select("id", "first", "c"), "open")
-    family = components(edges.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    rows = edges.select("id", "c").distinct().join(family.withColumnRenamed("component", "family"), "id")
-    links = joined(links, joined_families(rows, texts, sets_of, percent))
-    if not many:
-        return links, members.select("key", "id", F.col("id").alias("c")).limit(0)
-    known = labelled(members.join(crowds, "key", "left_semi"), links)
-    still = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key")
-    return links, materialise(known.join(still, "key", "left_semi").select("key", "id", "c"), "crowded")
+    still = known.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key", "n")
+    rest = materialise(known.join(still, "key").select("key", "id", "c", "n"), "open")
+    few = rest.filter(F.col("n") <= crowd)
+    x, y = few.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
+    pairs = x.join(y, "key").filter("a < b and ca != cb").groupBy("a", "b", band).agg(F.count("*").alias("n"))
+    if spare is not None:
+        for end in ("a", "b"):
+            pairs = pairs.join(spare.withColumnsRenamed({"id": end, "spare": f"s{end}"}), [end, "band"], "left")
+        pairs = pairs.filter(F.col("n") >= F.greatest(F.coalesce("sa", F.lit(1)), F.coalesce("sb", F.lit(1))))
+    links = joined(links, verified(pairs.select("a", "b").distinct(), texts, sets_of, percent))
+    return links, rest.filter(F.col("n") > crowd).select("key", "id", "c")

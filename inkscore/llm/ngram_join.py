@@ -9,7 +9,8 @@ Values are allocated to segments by cost. Rare subsets get 1 (equal subsets meet
 documents have, and empty ones, cost most and get 0, which the slack pays for. A document whose remaining segments
 sum to less than H + 1 is indexed anew under its subsets and their one-deletion neighbourhoods: segments whose keys
 are all rare then get 2 (subsets that differ by one shingle meet), others 1 or 0. Only documents that fall short even
-so meet in their crowded and empty segments too. Nothing is skipped: each similar pair meets at some key, or its ends
+so meet in their crowded and empty segments too. What a document's rare segments sum to beyond H is also the number of
+rare subsets that it shares with any similar one: pairs with fewer in common are dropped before their texts travel. Nothing is skipped: each similar pair meets at some key, or its ends
 are already in one component. Candidates are verified on their full sets.
 
 Shingles and sets are compared by 64-bit fingerprints. Documents with equal sets are one class and are compared once.
@@ -166,7 +167,7 @@ def _texts(docs: DataFrame, classes: DataFrame):
     return get
 
 
-def similar_components(docs: DataFrame, percent: int = 80, crowd: int = 64) -> DataFrame:
+def similar_components(docs: DataFrame, percent: int = 80, crowd: int = 24) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) for each row of (doc_id, text)."""
     bands = Bands(percent)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -178,11 +179,16 @@ def similar_components(docs: DataFrame, percent: int = 80, crowd: int = 64) -> D
         return shingle_sets(*word_prints(*flat(column), SPACES))
 
     members = materialise(shared(_index(docs, bands)), "members")
-    links, crowded = settle(members, None, texts, sets_of, percent, crowd)
+    # by view, the rare segments beyond the H that a linked document may not share
+    common = members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("key")
+    taken = members.join(common, "key", "left_semi").groupBy("id", F.col("key").bitwiseAND(63).alias("band")).agg(F.count("*").alias("crowded"))
+    views = classes.dropDuplicates(["id"]).select("id", F.explode("views").alias("v")).select("id", "v.*")
+    ours = views.join(members.select("id").distinct(), "id", "left_semi").join(taken, ["id", "band"], "left")
+    spare = materialise(ours.select("id", "band", (F.col("filled") - F.coalesce("crowded", F.lit(0)) - F.col("need") + 1).alias("spare")), "spare")
+    links, crowded = settle(members, None, texts, sets_of, percent, crowd, spare)
 
-    # views whose rare segments do not sum to H + 1
+    # views of which that leaves nothing, counting crowds of more than one component
     taken = crowded.groupBy("id", F.col("key").bitwiseAND(63).alias("band")).agg(F.count("*").alias("crowded"))
-    views = classes.dropDuplicates(["id"]).select("id", F.explode("views").alias("v")).select("id", "v.*")
     short = materialise(
         views.join(taken, ["id", "band"], "left").filter(F.col("filled") - F.coalesce("crowded", F.lit(0)) < F.col("need")).select("id", "band", "need"), "short"
     )
