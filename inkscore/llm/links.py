@@ -8,6 +8,7 @@ All tables hold 64-bit identifiers; nothing is collected to the driver, and line
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,22 +38,19 @@ def components(edges: DataFrame) -> DataFrame:
     def canonical(df: DataFrame) -> DataFrame:
         return df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    def stars(df: DataFrame) -> bool:
+        """Whether every node points to one root that points nowhere."""
+        n, ends = df.agg(F.count("*"), F.count_distinct("u")).first()
+        return n == ends and df.join(df.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
     now = materialise(canonical(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
-    seen = state(now)
-    while seen[0]:
+    while not stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(small, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialise(canonical(down.unionByName(small.withColumnRenamed("m", "v"))), "edges")
-        before, seen = seen, state(after)
-        if seen == before:
-            break
-        now = after
+        now = materialise(canonical(down.unionByName(small.withColumnRenamed("m", "v"))), "edges")
     roots = now.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
@@ -204,21 +202,31 @@ def joined_families(rows: DataFrame, texts: Texts, sets_of: Sets, percent: int,
     return materialise(dealt.mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def joined(links: DataFrame | None, more: DataFrame | None) -> DataFrame | None:
-    return more if links is None else links if more is None else links.unionByName(more)
+@dataclass
+class Links:
+    """The links found so far, and their components once they are asked for."""
 
+    edges: DataFrame | None = None
+    _components: DataFrame | None = None
 
-def labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``rows`` with the component ``c`` of their ``id`` under the links so far."""
-    if links is None:
-        return rows.withColumn("c", F.col("id"))
-    return rows.join(components(links), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    def add(self, more: DataFrame | None) -> None:
+        if more is not None and not more.isEmpty():
+            self.edges = more if self.edges is None else self.edges.unionByName(more)
+            self._components = None
+
+    def label(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the component ``c`` of their ``id``."""
+        if self.edges is None:
+            return rows.withColumn("c", F.col("id"))
+        if self._components is None:
+            self._components = components(self.edges)
+        return rows.join(self._components, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
 def settle(
-    members: DataFrame, links: DataFrame | None, texts: Texts, sets_of: Sets, percent: int, crowd: int, spare: DataFrame | None = None
-) -> tuple[DataFrame | None, DataFrame]:
-    """Links that join the components of the groups (key, id, first), and (key, id, c) of unsettled groups of over ``crowd``.
+    members: DataFrame, links: Links, texts: Texts, sets_of: Sets, percent: int, crowd: int, spare: DataFrame | None = None
+) -> DataFrame:
+    """Adds links that join the components of the groups (key, id, first); gives (key, id, c) of unsettled groups of over ``crowd``.
 
     Members are compared with their group's first one. In groups of at most ``crowd`` that still hold more than one
     component, members of different components are compared. ``spare`` (id, band, spare) says how many groups of a band,
@@ -228,8 +236,8 @@ def settle(
     star = members.filter("id != first").groupBy(F.col("first").alias("a"), F.col("id").alias("b"), band).agg(F.count("*").alias("n"))
     if spare is not None:  # no more than a head start: pairs with few groups in common wait
         star = star.join(spare.withColumnRenamed("id", "b"), ["b", "band"], "left").filter(F.col("n") >= F.coalesce(F.col("spare") / 2, F.lit(1)))
-    links = joined(links, verified(star.select("a", "b").distinct(), texts, sets_of, percent))
-    known = labelled(members, links)
+    links.add(verified(star.select("a", "b").distinct(), texts, sets_of, percent))
+    known = links.label(members)
     still = known.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key", "n")
     rest = materialise(known.join(still, "key").select("key", "id", "c", "n"), "open")
     few = rest.filter(F.col("n") <= crowd)
@@ -239,5 +247,5 @@ def settle(
         for end in ("a", "b"):
             pairs = pairs.join(spare.withColumnsRenamed({"id": end, "spare": f"s{end}"}), [end, "band"], "left")
         pairs = pairs.filter(F.col("n") >= F.greatest(F.coalesce("sa", F.lit(1)), F.coalesce("sb", F.lit(1))))
-    links = joined(links, verified(pairs.select("a", "b").distinct(), texts, sets_of, percent))
-    return links, rest.filter(F.col("n") > crowd).select("key", "id", "c")
+    links.add(verified(pairs.select("a", "b").distinct(), texts, sets_of, percent))
+    return rest.filter(F.col("n") > crowd).select("key", "id", "c")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkscore.llm.arrays import SPACES, flat, jaccard_reaches, mix, set_print, shingle_sets, slices, stream, word_prints
-from inkscore.llm.links import bounded, components, joined, joined_families, labelled, settle, shared
+from inkscore.llm.links import Links, bounded, components, joined_families, settle, shared
 from inkscore.session import materialise
 
 _SEEN = 500_000
@@ -185,7 +185,8 @@ def similar_components(docs: DataFrame, percent: int = 80, crowd: int = 24) -> D
     views = classes.dropDuplicates(["id"]).select("id", F.explode("views").alias("v")).select("id", "v.*")
     ours = views.join(members.select("id").distinct(), "id", "left_semi").join(taken, ["id", "band"], "left")
     spare = materialise(ours.select("id", "band", (F.col("filled") - F.coalesce("crowded", F.lit(0)) - F.col("need") + 1).alias("spare")), "spare")
-    links, crowded = settle(members, None, texts, sets_of, percent, crowd, spare)
+    links = Links()
+    crowded = settle(members, links, texts, sets_of, percent, crowd, spare)
 
     # views of which that leaves nothing, counting crowds of more than one component
     taken = crowded.groupBy("id", F.col("key").bitwiseAND(63).alias("band")).agg(F.count("*").alias("crowded"))
@@ -196,7 +197,7 @@ def similar_components(docs: DataFrame, percent: int = 80, crowd: int = 24) -> D
         wanted = short.groupBy("id").agg(F.collect_set("band").alias("views"))  # at most three views
         around = materialise(_index_around(texts(wanted.select("id")).join(wanted, "id"), bands), "around")
         near = materialise(shared(around.filter("kind != 3").select("key", "id")), "near")
-        links, _ = settle(near, links, texts, sets_of, percent, crowd)
+        settle(near, links, texts, sets_of, percent, crowd)
         common = near.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("key", F.lit(True).alias("common"))
         value = (
             around.filter("kind != 3")
@@ -209,12 +210,12 @@ def similar_components(docs: DataFrame, percent: int = 80, crowd: int = 24) -> D
         left = around.filter("kind = 3 or kind < 2").join(last.select("id", "band"), ["id", "band"], "left_semi")
         left = left.join(common, "key", "left").filter("kind = 3 or common").select("key", "id")
         rest = materialise(shared(left), "rest")
-        links, crowded = settle(rest, links, texts, sets_of, percent, crowd)
+        crowded = settle(rest, links, texts, sets_of, percent, crowd)
         family = components(crowded.groupBy("key").agg(F.min("id").alias("a")).join(crowded, "key").select("a", F.col("id").alias("b")).filter("a != b").distinct())
         last = crowded.select("id", "c").distinct().join(family.withColumnRenamed("component", "family"), "id")
-        links = joined(links, joined_families(last, texts, sets_of, percent))
+        links.add(joined_families(last, texts, sets_of, percent))
 
     first = classes.groupBy("id").agg(F.min("doc_id").alias("first"))
-    known = labelled(first, links)
+    known = links.label(first)
     named = known.join(known.groupBy("c").agg(F.min("first").alias("component_id")), "c").select("id", "component_id")
     return rows.join(named, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
