@@ -16,11 +16,14 @@ _fallback: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only where the cluster names none (a local session) a temporary folder is used.
+    A local session that names none gets a temporary folder; on a cluster that is an error, because its machines do
+    not share one.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="inkscore-")
