@@ -23,6 +23,11 @@ def spaced_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(fv.SPACED_WORD_PATTERN), F.lit(0))
 
 
+def lowered_words(text: Column) -> Column:
+    """All lower-cased words, the unit of the lexicon scores and of the dictionary."""
+    return F.regexp_extract_all(F.lower(text), F.lit(fv.WORD_PATTERN), F.lit(0))
+
+
 def terms(text: Column) -> Column:
     """Lower-cased words of at least two characters, the unit of tf-idf."""
     return F.regexp_extract_all(F.lower(text), F.lit(fv.TERM_PATTERN), F.lit(0))

@@ -5,25 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as fv
 from ..functions import tokens as tk
-from ..functions.lexicons import Lexicon, valence_struct
+from ..functions.lexicons import valence_struct
 from ..session import materialise
 from .joins import lookup_join
 
-LITERAL_ENTRIES = 2000
-
-
-def bounded_lexicon(table: DataFrame, limit: int = LITERAL_ENTRIES) -> Lexicon | None:
-    """The lexicon as plan literals if it has at most ``limit`` words, else None."""
-    rows = table.select("word", "polarity", "subjectivity", "valence").limit(limit + 1).collect()
-    return Lexicon(tuple(r) for r in rows) if len(rows) <= limit else None
-
 
 def _word_scores(docs: DataFrame, table: DataFrame, key: str, text: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower(text), F.lit(fv.WORD_PATTERN), F.lit(0))
+    words = docs.select(key, F.explode_outer(tk.lowered_words(F.col(text))).alias("word"))
     return lookup_join(
-        docs.select(key, F.explode_outer(words).alias("word")), table, "word", "left", spread_by=[key]
+        words, table, "word", "left", spread_by=[key]
     )
 
 
@@ -55,17 +46,26 @@ def valence_scores(docs: DataFrame, table: DataFrame, key: str = "student_id", t
     return sums.select(key, valence_struct(F.col("p"), F.col("n"), F.col("z"), F.col("x")).alias("scores"))
 
 
-def phrases(text: str, longest: int = 3):
-    """Distinct lower-cased 1- to ``longest``-grams of the tokens."""
+def phrases(text: str, lengths: list[int]):
+    """Distinct lower-cased n-grams of the tokens, of the given lengths."""
     token_array = tk.tokens(F.lower(text))
-    grams = [tk.ngrams(token_array, n) for n in range(1, longest + 1)]
-    return F.array_distinct(F.flatten(F.array(*grams)))
+    return F.array_distinct(F.flatten(F.array(*[tk.ngrams(token_array, n) for n in lengths])))
+
+
+def _spoken(text: str):
+    """The lower-cased tokens with one space before, between and after them."""
+    return F.concat(F.lit(" "), F.array_join(tk.tokens(F.lower(text)), " "), F.lit(" "))
 
 
 def prompt_entities(prompts: DataFrame, gazetteer: DataFrame, text: str = "prompt_text") -> DataFrame:
-    """(prompt_id, entities): array of the (phrase, label) pairs found in each passage."""
-    spelled = prompts.select("prompt_id", F.explode(phrases(text)).alias("phrase"))
+    """(prompt_id, entities): array of the (phrase, label) pairs found in each passage.
+
+    Names may be of any length: the lengths that occur in the gazetteer, a few numbers, are asked for first.
+    """
     names = gazetteer.select("phrase", "label").distinct()
+    sizes = names.where(F.col("phrase") != "").select(F.size(F.split("phrase", " ")).alias("n")).distinct()
+    lengths = sorted(r["n"] for r in sizes.toLocalIterator()) or [1]
+    spelled = prompts.select("prompt_id", F.explode(phrases(text, lengths)).alias("phrase"))
     found = lookup_join(spelled, names, "phrase", "inner", spread_by="prompt_id")
     return found.groupBy("prompt_id").agg(F.collect_list(F.struct("phrase", "label")).alias("entities"))
 
@@ -80,17 +80,15 @@ def entity_overlap(
     """
     entities = materialise(prompt_entities(prompts, gazetteer), "entities")
     paired = lookup_join(
-        summaries.select(key, "prompt_id", phrases(text).alias("_phrases")),
+        summaries.select(key, "prompt_id", _spoken(text).alias("_spoken")),
         entities,
         "prompt_id",
         "inner",
         spread_by=key,
     )
-    names = F.array_intersect(F.transform("entities", lambda e: e["phrase"]), F.col("_phrases"))
-    shared = paired.select(key, "entities", names.alias("_names")).where(F.size("_names") > 0)
-    kept = F.filter("entities", lambda e: F.array_contains(F.col("_names"), e["phrase"]))
+    kept = F.filter("entities", lambda e: F.contains(F.col("_spoken"), F.concat(F.lit(" "), e["phrase"], F.lit(" "))))
     return (
-        shared.select(key, F.inline(kept))
+        paired.select(key, F.inline(kept))
         .groupBy(key, "label")
         .agg(F.count(F.lit(1)).alias("n_common"))
     )

@@ -14,29 +14,29 @@ from ..functions import tokens as tk
 from ..session import materialise, spread
 from .joins import lookup_join
 
-# Correctable words: runs of plain letters, as a single-language alphabet has them.
+# Correctable words: those that are nothing but plain letters. Accented words and their parts are left alone.
 LETTER_RUN = r"[a-zA-Z]+"
 # Words longer than this are matched by shared segments, shorter ones by deletions.
 LONG_WORD = 24
 NUMBER_PATTERN = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def corpus_vocabulary(texts: DataFrame, text: str = "text", min_count: int = 5) -> DataFrame:
-    """(word, freq): lower-cased words of a corpus seen at least ``min_count`` times."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(fv.WORD_PATTERN), F.lit(0))).alias("word"))
+def corpus_vocabulary(texts: DataFrame, text: str = "text", *, min_count: int) -> DataFrame:
+    """(word, freq): lower-cased words of a corpus seen at least ``min_count`` times; 1 keeps all."""
+    words = texts.select(F.explode(tk.lowered_words(F.col(text))).alias("word"))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
     return counted.where(F.col("freq") >= min_count)
 
 
 def augment_vocabulary(base: DataFrame, prompts: DataFrame, text: str = "prompt_text") -> DataFrame:
-    """Add every passage token, for all passages at once, with a fixed frequency."""
+    """Set every passage token, for all passages at once, to a fixed frequency, whatever the base says."""
     passage = (
         prompts.select(F.explode(tk.tokens(F.lower(text))).alias("word"))
         .distinct()
-        .withColumn("freq", F.lit(fv.PASSAGE_WORD_FREQUENCY).cast("bigint"))
+        .withColumn("fixed", F.lit(fv.PASSAGE_WORD_FREQUENCY).cast("bigint"))
     )
-    merged = base.select("word", F.col("freq").cast("bigint").alias("freq")).unionByName(passage)
-    return merged.groupBy("word").agg(F.max("freq").alias("freq"))
+    merged = base.select("word", F.col("freq").cast("bigint").alias("freq")).unionByName(passage, allowMissingColumns=True)
+    return merged.groupBy("word").agg(F.coalesce(F.max("fixed"), F.max("freq")).alias("freq"))
 
 
 def dictionary(base: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -63,7 +63,9 @@ def spelling_errors(docs: DataFrame, vocabulary: DataFrame, key: str = "student_
 
 
 def letter_words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(LETTER_RUN), F.lit(0)))
+    """Distinct words of a text that consist of plain letters only."""
+    words = F.regexp_extract_all(text, F.lit(fv.WORD_PATTERN), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: F.regexp_like(w, F.lit(rf"^{LETTER_RUN}$"))))
 
 
 def oov_words(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
@@ -244,13 +246,13 @@ def apply_corrections(
     """``docs`` with ``out``: every misspelt word replaced, all other characters kept.
 
     Only a document's distinct misspelt words are joined and grouped. The rewrite
-    itself walks the letter runs inside the row.
+    itself walks the words inside the row.
     """
     pairs = docs.select(key, F.explode(letter_words(F.lower(text))).alias("word"))
     hits = lookup_join(pairs, table, "word", "inner", spread_by=key)
     # Bounded by the distinct words of one document.
     per_doc = hits.groupBy(key).agg(F.collect_list(F.struct("word", "correction")).alias("_pairs"))
-    pieces = F.regexp_extract_all(text, F.lit(rf"{LETTER_RUN}|[^a-zA-Z]+"), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(rf"{fv.WORD_PATTERN}|[^{fv.WORD_CHARS}]+"), F.lit(0))
     fixes, misspelt = F.col("_fixes"), F.col("_misspelt")
 
     def fix(piece: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import spelling
+from ..operators import joins, spelling
 from ..session import materialise
 
 N_MODELS = 12
@@ -72,7 +72,7 @@ def unscored_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quoting_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that quote: the first 20 characters of their passage and a made-up span."""
-    joined = summaries(spark, sf_dir).join(F.broadcast(prompts(spark, sf_dir)), "prompt_id", "left")
+    joined = joins.join_prompt(summaries(spark, sf_dir), prompts(spark, sf_dir))
     return joined.withColumn(
         "text",
         F.concat(

@@ -518,9 +518,9 @@ def valence_scores(spark, sf):
 
 @query
 def expand_struct(spark, sf):
-    terms = b.prompts(spark, sf).select("prompt_id", tk.terms(passage()).alias("terms"))
-    known = terms.withColumn("known", SAMPLE_LEXICON.known("terms"))
-    passages = known.select("prompt_id", SAMPLE_LEXICON.valence(F.col("known"), F.size("terms")).alias("scores"))
+    words = b.prompts(spark, sf).select("prompt_id", tk.lowered_words(passage()).alias("words"))
+    known = words.withColumn("known", SAMPLE_LEXICON.known("words"))
+    passages = known.select("prompt_id", SAMPLE_LEXICON.valence(F.col("known"), F.size("words")).alias("scores"))
     return rounded(joins.expand_struct(passages, "scores", "_prompt"))
 
 

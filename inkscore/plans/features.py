@@ -64,7 +64,9 @@ def passage_side(prompts: DataFrame, options: FeatureOptions) -> DataFrame:
     """Everything about a passage, once per passage and before the join."""
     text = F.col("prompt_text")
     tokens, terms = F.col("_p_tokens"), F.col("_p_terms_list")
-    base = prompts.select("*", tk.tokens(text).alias("_p_tokens"), tk.terms(text).alias("_p_terms_list"))
+    base = prompts.select(
+        "*", tk.tokens(text).alias("_p_tokens"), tk.terms(text).alias("_p_terms_list"), tk.lowered_words(text).alias("_p_all_words")
+    )
     columns = [
         "*",
         long_size(tokens).alias("prompt_length"),
@@ -73,9 +75,9 @@ def passage_side(prompts: DataFrame, options: FeatureOptions) -> DataFrame:
         F.array_distinct(tk.ngrams(tokens, 3)).alias("_p_trigrams"),
     ]
     if options.feature_set == "basic":
-        return base.select(*columns).drop("_p_tokens", "_p_terms_list")
+        return base.select(*columns).drop("_p_tokens", "_p_terms_list", "_p_all_words")
     base = base.select(
-        "*", rd.counts(text).alias("_p_counts"), options.lexicon.valence(options.lexicon.known("_p_terms_list"), F.size(terms)).alias("_p_valence")
+        "*", rd.counts(text).alias("_p_counts"), options.lexicon.valence(options.lexicon.known("_p_all_words"), F.size("_p_all_words")).alias("_p_valence")
     )
     columns += [
         F.array_distinct(tk.spaced_words(text)).alias("_p_words"),
@@ -85,7 +87,7 @@ def passage_side(prompts: DataFrame, options: FeatureOptions) -> DataFrame:
         rd.reading_ease(F.col("_p_counts")).alias("flesch_reading_ease_prompt"),
         *[F.col(f"_p_valence.{f}").alias(f"{f}_prompt") for f in ("neg", "neu", "pos", "compound")],
     ]
-    return base.select(*columns).drop("_p_tokens", "_p_terms_list", "_p_counts", "_p_valence")
+    return base.select(*columns).drop("_p_tokens", "_p_terms_list", "_p_all_words", "_p_counts", "_p_valence")
 
 
 def answer_side(summaries: DataFrame, options: FeatureOptions) -> DataFrame:
@@ -101,17 +103,18 @@ def answer_side(summaries: DataFrame, options: FeatureOptions) -> DataFrame:
         "*",
         tk.spaced_words(text).alias("_words"),
         tk.terms(text).alias("_terms_list"),
+        tk.lowered_words(text).alias("_all_words"),
         rd.counts(text).alias("_counts"),
     )
     base = base.select(
         "*",
         long_size(words).alias("word_count"),
-        options.lexicon.known("_terms_list").alias("_known"),
+        options.lexicon.known("_all_words").alias("_known"),
     )
     base = base.select(
         "*",
         options.lexicon.polarity(F.col("_known")).alias("_polarity"),
-        options.lexicon.valence(F.col("_known"), F.size(terms)).alias("_valence"),
+        options.lexicon.valence(F.col("_known"), F.size("_all_words")).alias("_valence"),
     )
     counts = F.col("_counts")
     columns += [

@@ -161,17 +161,17 @@ SAMPLE = "sample AS (SELECT * FROM (VALUES {}) v(word, polarity, subjectivity, v
 
 VOCABULARY = f"""
 vocab AS (
-  SELECT word, max(freq) AS freq FROM (
-    SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), {WORD})) AS word FROM documents)
+  SELECT word, coalesce(max(fixed), max(freq)) AS freq FROM (
+    SELECT word, count(*) AS freq, NULL::BIGINT AS fixed FROM (SELECT unnest(regexp_extract_all(lower(text), {WORD})) AS word FROM documents)
     GROUP BY word HAVING count(*) >= 5
     UNION ALL
-    SELECT DISTINCT unnest(regexp_extract_all(lower(text), {TOKEN})), CAST({fv.PASSAGE_WORD_FREQUENCY} AS BIGINT) FROM benchmark)
+    SELECT DISTINCT unnest(regexp_extract_all(lower(text), {TOKEN})), NULL, CAST({fv.PASSAGE_WORD_FREQUENCY} AS BIGINT) FROM benchmark)
   GROUP BY word)"""
 
 OOV = f"""{VOCABULARY},
 oov AS (
-  SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zA-Z]+')) AS word FROM documents)
-  WHERE word NOT IN (SELECT word FROM vocab))"""
+  SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), {WORD})) AS word FROM documents)
+  WHERE regexp_full_match(word, '[a-zA-Z]+') AND word NOT IN (SELECT word FROM vocab))"""
 
 
 def deletions(distance: int, source: str, alias: str) -> str:
@@ -259,7 +259,7 @@ ease AS (
          CASE WHEN s = 0 OR w = 0 THEN 0.0 ELSE {FOG} END AS f FROM counted),
 hits AS (
   SELECT id, word, polarity, subjectivity, valence
-  FROM (SELECT id, unnest(regexp_extract_all(lower(txt0), {TERM})) AS word FROM src) LEFT JOIN sample USING (word)),
+  FROM (SELECT id, unnest(regexp_extract_all(lower(txt0), {WORD})) AS word FROM src) LEFT JOIN sample USING (word)),
 sums AS (SELECT id, coalesce(avg(polarity), 0.0) AS pol, coalesce(avg(subjectivity), 0.0) AS sub, {valence_sums()} FROM hits GROUP BY id)
 SELECT pairs.student_id, {BASIC_COLUMNS},
   round(ep.f, 6) AS gunning_fog_prompt, round(ep.k, 6) AS flesch_kincaid_grade_level_prompt, round(ep.e, 6) AS flesch_reading_ease_prompt,
@@ -444,7 +444,7 @@ SELECT student_id, {valence_columns()} FROM (
     "expand_struct": f"""WITH {TEXTS}, {SAMPLE}
 SELECT prompt_id, {valence_columns('_prompt')} FROM (
   SELECT prompt_id, {valence_sums()} FROM prompts
-  LEFT JOIN (SELECT prompt_id, word, valence FROM (SELECT prompt_id, unnest(regexp_extract_all(lower(prompt_text), {TERM})) AS word FROM prompts)
+  LEFT JOIN (SELECT prompt_id, word, valence FROM (SELECT prompt_id, unnest(regexp_extract_all(lower(prompt_text), {WORD})) AS word FROM prompts)
              LEFT JOIN sample USING (word)) USING (prompt_id) GROUP BY prompt_id)""",
     "tfidf_similarity": f"""WITH {PAIRS}, {TFIDF}
 SELECT student_id, round(coalesce(cosine, 0.0), 6) AS text_similarity FROM summaries LEFT JOIN cosines USING (student_id)""",
@@ -459,7 +459,7 @@ SELECT student_id, coalesce(n, 0) AS spelling_errors FROM summaries LEFT JOIN mi
     "autocorrect": f"""WITH {TEXTS}, {CORRECTIONS},
 pieces AS (
   SELECT student_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i
-  FROM (SELECT student_id, regexp_extract_all(text, '[a-zA-Z]+|[^a-zA-Z]+') AS p FROM summaries)),
+  FROM (SELECT student_id, regexp_extract_all(text, '{fv.WORD_PATTERN}|[^{fv.WORD_CHARS}]+') AS p FROM summaries)),
 rewritten AS (
   SELECT student_id, string_agg(CASE WHEN correction IS NULL THEN piece
     WHEN regexp_full_match(substr(piece, 1, 1), '[A-Z]') THEN upper(substr(correction, 1, 1)) || substr(correction, 2)

@@ -84,8 +84,14 @@ def test_autocorrect_keeps_everything_else(spark):
     assert (fixed["2"], fixed["3"], fixed["4"]) == ("hello world", "", None)
 
 
+def test_parts_of_accented_words_are_no_words(spark):
+    known = vocabulary_frame(spark, {w: 9 for w in ("café", "calf", "élève", "eve")})
+    docs = spark.createDataFrame([("1", "un café élève cald x2calx")], "student_id string, text string")
+    assert sp.autocorrect(docs, known).first()["fixed_summary_text"] == "un café élève calf x2calx"
+
+
 def test_spelling_errors_keep_punctuation_and_use_one_dictionary(spark):
-    base = vocabulary_frame(spark, {"the": 10, "dog": 3})
+    base = vocabulary_frame(spark, {"the": 10, "dog": 5_000_000})
     prompts = spark.createDataFrame([("p", "Zebra dog"), ("q", "yak")], "prompt_id string, prompt_text string")
     known = sp.augment_vocabulary(base, prompts)
     assert {r["word"]: r["freq"] for r in known.collect()} == {"the": 10, "dog": 1000, "zebra": 1000, "yak": 1000}

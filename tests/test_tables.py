@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from inkscore.functions.lexicons import Lexicon
 from inkscore.operators import blend, joins, lexicon_join, metrics, scoring
 from inkscore.plans import features as ft
 from inkscore.session import materialise, measured_bytes, scratch_path
@@ -106,17 +107,13 @@ def test_model_input_needs_every_part(answers, prompts):
     assert made["1"] == "Title|Why?|The cat was big." and made["2"] is None and made["3"] is None
 
 
-def test_lexicon_table_and_literals_agree(spark, answers):
+def test_lexicon_table_and_literals_agree(spark, answers, prompts):
     entries = [("cat", 0.5, 0.25, 2.0), ("big", -0.25, 0.5, -1.5), ("dogs", 1.0, 1.0, 0.0)]
     table = spark.createDataFrame(entries, "word string, polarity double, subjectivity double, valence double")
-    lexicon = lexicon_join.bounded_lexicon(table)
-    assert lexicon_join.bounded_lexicon(table, limit=2) is None
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
-    split = answers.select("student_id", words.alias("w")).withColumn("k", lexicon.known("w"))
-    literal = split.select(
-        "student_id", lexicon.polarity(F.col("k")).alias("p"), lexicon.valence(F.col("k"), F.size("w")).alias("v")
-    )
-    expected = {r["student_id"]: (*r["p"], *r["v"]) for r in literal.collect()}
+    answers = answers.union(spark.createDataFrame([("6", "p1", "I a big x y z", None, None)], answers.schema))
+    made = ft.text_features(answers, prompts, ft.FeatureOptions("enriched", lexicon=Lexicon(entries)))
+    literal = made.select("student_id", "sentiment_polarity", "sentiment_subjectivity", "neg", "neu", "pos", "compound")
+    expected = {r[0]: tuple(r[1:]) for r in literal.collect()}
     p = {r["student_id"]: (r["polarity"], r["subjectivity"]) for r in lexicon_join.polarity_scores(answers, table).collect()}
     v = {r["student_id"]: tuple(r["scores"]) for r in lexicon_join.valence_scores(answers, table).collect()}
     for k, want in expected.items():
@@ -125,10 +122,11 @@ def test_lexicon_table_and_literals_agree(spark, answers):
 
 def test_entity_overlap_by_label(spark, answers, prompts):
     gazetteer = spark.createDataFrame(
-        [("cat", "ANIMAL"), ("big cat", "ANIMAL"), ("cat", "PET"), ("dogs", "ANIMAL"), ("lot", "PLACE")], "phrase string, label string"
+        [("cat", "ANIMAL"), ("big cat", "ANIMAL"), ("cat", "PET"), ("dogs", "ANIMAL"), ("lot", "PLACE"), ("it was a big cat", "LONG")], "phrase string, label string"
     )
+    answers = answers.union(spark.createDataFrame([("6", "p1", "So it was a big cat", None, None)], answers.schema))
     got = {(r["student_id"], r["label"]): r["n_common"] for r in lexicon_join.entity_overlap(answers, prompts, gazetteer).collect()}
-    assert got == {("1", "ANIMAL"): 1, ("1", "PET"): 1, ("2", "ANIMAL"): 1, ("5", "ANIMAL"): 1, ("5", "PET"): 1}
+    assert got == {("1", "ANIMAL"): 1, ("1", "PET"): 1, ("2", "ANIMAL"): 1, ("5", "ANIMAL"): 1, ("5", "PET"): 1, ("6", "LONG"): 1, ("6", "ANIMAL"): 2, ("6", "PET"): 1}
 
 
 @pytest.fixture(scope="module")
