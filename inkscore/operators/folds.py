@@ -70,7 +70,7 @@ def assign_groups(df: DataFrame, group: str, n_splits: int = 4) -> DataFrame:
         list(plan.items()), "n_rows bigint, phases array<struct<first: bigint, cycle: array<int>>>"
     )
 
-    digest = F.md5(F.col("grp").cast("string"))
+    digest = F.coalesce(F.md5(F.col("grp").cast("string")), F.lit(""))  # rows without a group are a group of their own
     hashed = sizes.select("grp", "n_rows", digest.alias("digest"), F.substr(digest, F.lit(1), F.lit(_BUCKET_CHARS)).alias("bucket"))
     local = W.partitionBy("n_rows", "bucket").orderBy("digest", "grp")
     before = W.partitionBy("n_rows").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -88,9 +88,15 @@ def assign_groups(df: DataFrame, group: str, n_splits: int = 4) -> DataFrame:
 
 
 def group_kfold(df: DataFrame, group: str, n_splits: int = 4, spread_by: str | None = None) -> DataFrame:
-    """``df`` with its ``fold``; all rows of one group share it."""
-    folds = materialise(assign_groups(df, group, n_splits), "folds").withColumnRenamed("grp", group)
-    return lookup_join(df, folds, group, "left", spread_by=spread_by)
+    """``df`` with its ``fold``; all rows of one group share it, and so do those whose group is NULL."""
+    folds = materialise(assign_groups(df, group, n_splits), "folds")
+
+    def key(column: str):  # equal for equal groups, the missing one included
+        return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+    folds = folds.select(key("grp").alias("_group"), "fold")
+    spread_by = [c for c in df.columns if c != group] if spread_by is None else spread_by
+    return lookup_join(df.withColumn("_group", key(group)), folds, "_group", "left", spread_by=spread_by).drop("_group")
 
 
 def train_rows(df: DataFrame, fold: int) -> DataFrame:

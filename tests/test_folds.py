@@ -64,3 +64,9 @@ def test_spark_assignment_matches_sequential_rule(spark, n_splits):
     got = {r["grp"]: r["fold"] for r in folds.assign_groups(df, "g", n_splits).collect()}
     assert got == expected
     assert folds.group_kfold(df, "g", n_splits).count() == df.count()
+
+
+def test_rows_without_a_group_are_one_group(spark):
+    df = spark.createDataFrame([("a",)] * 3 + [(None,)] * 5 + [("",)] * 2, "g string")
+    rows = folds.group_kfold(df, "g", 3).groupBy("g", "fold").count().collect()
+    assert sorted((r["g"] is None, r["g"] or "", r["fold"], r["count"]) for r in rows) == [(False, "", 2, 2), (False, "a", 1, 3), (True, "", 0, 5)]
