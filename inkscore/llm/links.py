@@ -40,8 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     def stars(df: DataFrame) -> bool:
         """Whether every node points to one root that points nowhere."""
-        n, ends = df.agg(F.count("*"), F.count_distinct("u")).first()
-        return n == ends and df.join(df.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+        ends = df.select(F.col("u").alias("x"), F.lit(True).alias("points")).unionByName(df.select(F.col("v").alias("x"), F.lit(False).alias("points")))
+        seen = ends.groupBy("x").agg(F.count_if("points").alias("out"), F.bool_and("points").alias("only"))
+        return seen.filter("out > 1 or (out = 1 and not only)").isEmpty()
 
     now = materialise(canonical(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
     while not stars(now):
@@ -204,22 +205,36 @@ def joined_families(rows: DataFrame, texts: Texts, sets_of: Sets, percent: int,
 
 @dataclass
 class Links:
-    """The links found so far, and their components once they are asked for."""
+    """The components of the links added so far, brought up to date when they are asked for.
 
-    edges: DataFrame | None = None
+    New links are drawn between the components known by then, so only the small graph of components is searched again.
+    """
+
+    _new: DataFrame | None = None
     _components: DataFrame | None = None
 
     def add(self, more: DataFrame | None) -> None:
         if more is not None and not more.isEmpty():
-            self.edges = more if self.edges is None else self.edges.unionByName(more)
-            self._components = None
+            self._new = more if self._new is None else self._new.unionByName(more)
+
+    def _update(self) -> None:
+        known, self._new, new = self._components, None, self._new
+        if known is None:
+            self._components = components(new)
+            return
+        for end in ("a", "b"):
+            new = new.join(known.withColumnsRenamed({"id": end, "component": f"{end}_"}), end, "left").withColumn(end, F.coalesce(f"{end}_", end)).drop(f"{end}_")
+        joined = components(new.filter("a != b").distinct())
+        moved = known.join(joined.withColumnsRenamed({"id": "component", "component": "to"}), "component", "left")
+        fresh = joined.join(known.select("id"), "id", "left_anti")
+        self._components = materialise(moved.select("id", F.coalesce("to", "component").alias("component")).unionByName(fresh), "components")
 
     def label(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the component ``c`` of their ``id``."""
-        if self.edges is None:
-            return rows.withColumn("c", F.col("id"))
+        if self._new is not None:
+            self._update()
         if self._components is None:
-            self._components = components(self.edges)
+            return rows.withColumn("c", F.col("id"))
         return rows.join(self._components, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
