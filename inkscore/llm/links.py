@@ -101,14 +101,14 @@ Sets = Callable[[pa.Array], list[np.ndarray]]
 def verified(pairs: DataFrame, texts: Texts, sets_of: Sets, percent: int) -> DataFrame | None:
     """The pairs (a, b) that are links, or None if there are no pairs.
 
-    ``texts(ids)`` gives (id, text) for given ids, ``sets_of`` their shingles. Members travel to their leader ``a``,
+    ``texts(ids)`` gives (id, text) for given ids from a written table, ``sets_of`` their shingles. Members travel to their leader ``a``,
     whose own text is sent once for every 500 of them.
     """
     pairs = materialise(pairs, "pairs")
     if pairs.isEmpty():
         return None
     ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    content = materialise(texts(ids), "texts")
+    content = texts(ids)
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).alias("_parts"))
     salted = pairs.join(salts, "a").withColumn("_salt", F.pmod(F.xxhash64("b"), F.col("_parts")))
     members = salted.join(content.withColumnRenamed("id", "b"), "b").select("a", "_salt", "b", "text")
@@ -225,7 +225,7 @@ class Links:
         for end in ("a", "b"):
             new = new.join(known.withColumnsRenamed({"id": end, "component": f"{end}_"}), end, "left").withColumn(end, F.coalesce(f"{end}_", end)).drop(f"{end}_")
         joined = components(new.filter("a != b").distinct())
-        moved = known.join(joined.withColumnsRenamed({"id": "component", "component": "to"}), "component", "left")
+        moved = known.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
         fresh = joined.join(known.select("id"), "id", "left_anti")
         self._components = materialise(moved.select("id", F.coalesce("to", "component").alias("component")).unionByName(fresh), "components")
 

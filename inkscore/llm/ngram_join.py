@@ -162,7 +162,7 @@ def _texts(docs: DataFrame, classes: DataFrame):
     def get(ids: DataFrame) -> DataFrame:
         wanted = bounded(materialise(reps.join(ids, "id", "left_semi").select("doc_id").distinct(), "wanted"))
         rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-        return rows.mapInArrow(run, "id bigint, text string").join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return materialise(rows.mapInArrow(run, "id bigint, text string").join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
     return get
 
