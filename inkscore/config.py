@@ -11,19 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 class RunConfig:
     """Settings of one run. Defaults are the published settings of the task.
 
-    ``boost_rounds`` bounds the number of trees; the held-out fold stops earlier.
+    ``boost_rounds`` bounds the number of trees; boosting stops once the held-out error has not fallen for ``patience``
+    rounds. ``max_length`` is the number of tokens that the text regressor reads; 0 reads all.
     """
 
     run_name: str = "base"
     n_splits: int = 4
     seed: int = 42
-    max_length: int = 512
+    max_length: int = 0
     hash_features: int = 4096
     regularisation: float = 0.03
+    solver: str = "l-bfgs"
+    solver_iterations: int = 1000
     step_size: float = 0.048
     max_depth: int = 3
-    boost_rounds: int = 200
-    validation_tolerance: float = 0.001
+    boost_rounds: int = 10000
+    patience: int = 70
     min_instances: int = 5
     parallelism: int = 4
     separator: str = "[SEP]"

@@ -7,6 +7,7 @@ reads just the folds it needs and no fit depends on executor memory.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 from multiprocessing.pool import ThreadPool
@@ -24,8 +25,8 @@ from ..functions import tokens as tk
 from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources.schemas import TARGETS
 
-# Spark solves the normal equations up to this many features.
-NORMAL_EQUATION_LIMIT = 4096
+# The first fit of a booster has this many rounds; each further one twice as many.
+FIRST_ROUNDS = 32
 
 FoldModels = dict[tuple[str, int], PipelineModel]
 
@@ -49,8 +50,9 @@ def by_fold(df: DataFrame, label: str) -> DataFrame:
 
 
 def token_counts(df: DataFrame, config: RunConfig, text: str = "input") -> DataFrame:
-    """Hashed term frequencies of the first ``max_length`` tokens."""
-    shortened = df.withColumn("_model_tokens", tk.truncate(tk.tokens(F.coalesce(F.col(text), F.lit(""))), config.max_length))
+    """Hashed term frequencies of all tokens, or of the first ``max_length`` if that is not 0."""
+    every = tk.tokens(F.coalesce(F.col(text), F.lit("")))
+    shortened = df.withColumn("_model_tokens", tk.truncate(every, config.max_length) if config.max_length else every)
     hashing = HashingTF(inputCol="_model_tokens", outputCol="counts", numFeatures=config.hash_features)
     return hashing.transform(shortened).drop("_model_tokens")
 
@@ -74,11 +76,13 @@ def fit_stage1(train: DataFrame, config: RunConfig, targets: Sequence[str] = TAR
                     labelCol=target,
                     predictionCol=f"{target}_pred",
                     regParam=config.regularisation,
-                    # One pass over the data while the normal equations stay small.
-                    solver="normal" if config.hash_features <= NORMAL_EQUATION_LIMIT else "l-bfgs",
-                    maxIter=20,
+                    solver=config.solver,
+                    maxIter=config.solver_iterations,
                 )
-                fitted[(target, fold)] = PipelineModel([weighting, regressor.fit(ready)])
+                model = regressor.fit(ready)
+                if config.solver == "l-bfgs" and model.summary.totalIterations >= config.solver_iterations:
+                    warnings.warn(f"{target}, fold {fold}: no convergence within {config.solver_iterations} iterations", stacklevel=2)
+                fitted[(target, fold)] = PipelineModel([weighting, model])
             return fitted
 
         return run
@@ -96,35 +100,67 @@ def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return assembler.transform(filled).drop(*[f"_f_{c}" for c in columns])
 
 
-def fit_boosted(train: DataFrame, config: RunConfig, targets: Sequence[str] = TARGETS) -> FoldModels:
-    """Boosted trees per (target, fold); the held-out fold decides when to stop.
+class BoostedModels(dict):
+    """Boosters by (target, fold), with the held-out error after each round until boosting stopped."""
 
-    ``train`` has columns fold, vector and the targets.
+    def __init__(self, models: Mapping, errors: Mapping[tuple[str, int], list[float]]):
+        super().__init__(models)
+        self.errors = dict(errors)
+
+
+def stopping_point(errors: Sequence[float], patience: int) -> tuple[int, int | None]:
+    """(best round so far, round at which ``patience`` rounds brought nothing better, or None); from 1."""
+    best = 0
+    for n, error in enumerate(errors):
+        if error < errors[best]:
+            best = n
+        elif n - best >= patience:
+            return best + 1, n + 1
+    return best + 1, None
+
+
+def fit_boosted(train: DataFrame, config: RunConfig, targets: Sequence[str] = TARGETS) -> BoostedModels:
+    """Boosted trees per (target, fold), with as many rounds as the held-out fold finds best.
+
+    ``train`` has columns fold, vector and the targets. Each fit has twice the rounds of the last one until the best
+    round lies ``patience`` rounds back; the booster is then fitted anew, with the same seed, up to that round.
     """
     ensure_checkpoint_dir(train.sparkSession)
 
     def job(target: str, fold: int) -> Callable[[], tuple]:
         def run() -> tuple:
-            rows = train.select("vector", target, (F.col("fold") == fold).alias("held_out"))
-            booster = GBTRegressor(
-                featuresCol="vector",
-                labelCol=target,
-                predictionCol=f"{target}_pred",
-                maxDepth=config.max_depth,
-                stepSize=config.step_size,
-                maxIter=config.boost_rounds,
-                minInstancesPerNode=config.min_instances,
-                validationIndicatorCol="held_out",
-                validationTol=config.validation_tolerance,
-                checkpointInterval=10,
-                seed=config.seed,
-            )
-            return (target, fold), PipelineModel([booster.fit(rows)])
+            rows = train.where(F.col("fold") != fold).select("vector", target)
+            held_out = train.where(F.col("fold") == fold).select("vector", target)
+
+            def fit(rounds: int):
+                return GBTRegressor(
+                    featuresCol="vector",
+                    labelCol=target,
+                    predictionCol=f"{target}_pred",
+                    maxDepth=config.max_depth,
+                    stepSize=config.step_size,
+                    maxIter=rounds,
+                    minInstancesPerNode=config.min_instances,
+                    checkpointInterval=10,
+                    seed=config.seed,
+                ).fit(rows)
+
+            rounds = min(FIRST_ROUNDS, config.boost_rounds)
+            while True:
+                booster = fit(rounds)
+                errors = list(booster.evaluateEachIteration(held_out, "squared"))
+                best, stop = stopping_point(errors, config.patience)
+                if stop is not None or rounds >= config.boost_rounds:
+                    break
+                rounds = min(2 * rounds, config.boost_rounds)
+            kept = booster if best == rounds else fit(best)
+            return (target, fold), PipelineModel([kept]), errors[:stop]
 
         return run
 
     jobs = [job(t, k) for t in targets for k in range(config.n_splits)]
-    return dict(in_parallel(jobs, config.parallelism))
+    done = in_parallel(jobs, config.parallelism)
+    return BoostedModels({key: model for key, model, _ in done}, {key: errors for key, _, errors in done})
 
 
 def predict_held_out(
@@ -173,27 +209,17 @@ def predict_mean(
 
 
 def stack(features: DataFrame, preds: DataFrame, row_id: str = "student_id", targets: Sequence[str] = TARGETS) -> DataFrame:
-    """Add ``{target}_pred`` columns from long predictions, matched by key."""
+    """Add ``{target}_pred`` columns from long predictions, matched by key; rows without predictions stay, with NULL."""
     wide = preds.groupBy(row_id).agg(
         *[F.max(F.when(F.col("target") == t, F.col("pred"))).alias(f"{t}_pred") for t in targets]
     )
-    return features.join(wide, row_id, "inner")
-
+    return features.join(wide, row_id, "left")
 
-def eval_history(train: DataFrame, models: FoldModels, config: RunConfig, targets: Sequence[str] = TARGETS) -> DataFrame:
-    """(fold, target, round, mse) of the held-out fold after each boosting round."""
-
-    def job(target: str, fold: int) -> Callable[[], list]:
-        def run() -> list:
-            held_out = train.where(F.col("fold") == fold).select("vector", target)
-            errors = models[(target, fold)].stages[-1].evaluateEachIteration(held_out, "squared")
-            return [(fold, target, n + 1, float(e)) for n, e in enumerate(errors)]
 
-        return run
-
-    jobs = [job(t, k) for t in targets for k in range(config.n_splits)]
-    rows = [row for part in in_parallel(jobs, config.parallelism) for row in part]
-    return train.sparkSession.createDataFrame(rows, "fold int, target string, round int, mse double")
+def eval_history(spark: SparkSession, models: BoostedModels) -> DataFrame:
+    """(fold, target, round, mse) of the held-out fold after each boosting round until the stop."""
+    rows = [(fold, target, n, float(e)) for (target, fold), errors in models.errors.items() for n, e in enumerate(errors, 1)]
+    return spark.createDataFrame(rows, "fold int, target string, round int, mse double")
 
 
 def best_rounds(history: DataFrame) -> DataFrame:

@@ -185,8 +185,8 @@ def scored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_table(spark: SparkSession, sf_dir: str, options) -> DataFrame:
-    """Text features of the answers with targets where they exist, written once."""
-    from .features import text_features
+    """The complete feature table of all answers with targets where they exist, written once."""
+    from .features import build_features
 
-    made = text_features(summaries(spark, sf_dir), prompts(spark, sf_dir), options)
-    return materialise(made.join(truth_wide(spark, sf_dir), "student_id", "left"), "features")
+    answers = summaries(spark, sf_dir).join(truth_wide(spark, sf_dir), "student_id", "left")
+    return materialise(build_features(answers, prompts(spark, sf_dir), base_vocabulary(spark, sf_dir), options), "features")

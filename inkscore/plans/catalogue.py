@@ -50,8 +50,8 @@ SAMPLE_LEXICON = Lexicon(
 )
 OPTIONS = {name: ft.FeatureOptions(feature_set=name, lexicon=SAMPLE_LEXICON) for name in ft.FEATURE_SETS}
 
-# Small settings for the model queries: the plans are the real ones, the trees are few.
-QUICK = RunConfig(boost_rounds=5, hash_features=1024, parallelism=8)
+# Settings of the model queries.
+MODEL_RUN = RunConfig(patience=10, hash_features=1024, solver="normal", parallelism=8)
 
 
 def query(function: Query) -> Query:
@@ -557,11 +557,14 @@ def autocorrect(spark, sf):
 # ---- feature sets ------------------------------------------------------------------------------
 
 
-def feature_query(feature_set: str, leave_out: tuple[str, ...] = ("splling_err_num",)) -> Query:
+def feature_query(feature_set: str) -> Query:
+    """All features that need no spell-fixed text, the spelling count among them."""
+
     def run(spark, sf):
         made = ft.text_features(b.summaries(spark, sf), b.prompts(spark, sf), OPTIONS[feature_set])
-        names = [c for c in ft.FEATURE_SETS[feature_set] if c not in leave_out]
-        return rounded(made.select("student_id", *names))
+        errors = spelling.spelling_errors(b.summaries(spark, sf), b.dictionary(spark, sf))
+        made = made.join(errors.withColumnRenamed("spelling_errors", "splling_err_num"), "student_id", "left")
+        return rounded(made.select("student_id", *ft.FEATURE_SETS[feature_set]))
 
     return run
 
@@ -582,72 +585,98 @@ def feature_build(spark, sf):
 # ---- models ------------------------------------------------------------------------------------
 
 
+def both_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The complete enriched features of scored answers, with folds, and of the others."""
+    made = b.feature_table(spark, sf, OPTIONS["enriched"])
+    train = folds.group_kfold(made.where("content IS NOT NULL"), "prompt_id", MODEL_RUN.n_splits, spread_by="student_id")
+    return train, made.where("content IS NULL").drop(*schemas.TARGETS)
+
+
 def train_table(spark, sf) -> DataFrame:
-    """Scored answers with basic features and folds; the texts stand in for the fixed texts."""
-    made = ft.text_features(b.scored_summaries(spark, sf), b.prompts(spark, sf), OPTIONS["basic"])
-    made = made.withColumns({"fixed_summary_text": text(), "splling_err_num": F.lit(0).cast("bigint")})
-    return folds.group_kfold(made, "prompt_id", QUICK.n_splits, spread_by="student_id")
+    return both_tables(spark, sf)[0]
+
+
+def held_out_flags(held_out: DataFrame) -> DataFrame:
+    """What any engine can derive of held-out predictions, and whether each is a number."""
+    finite = F.coalesce(F.abs("pred") < float("inf"), F.lit(False)) & ~F.isnan("pred")
+    return held_out.select("student_id", "target", "fold", "y", finite.alias("is_number"))
+
+
+def test_flags(predicted: DataFrame) -> DataFrame:
+    flags = [(F.coalesce(F.abs(t) < float("inf"), F.lit(False)) & ~F.isnan(t)).alias(f"{t}_is_number") for t in schemas.TARGETS]
+    return predicted.select("student_id", *flags)
 
 
-def test_table(spark, sf) -> DataFrame:
-    made = ft.text_features(b.unscored_summaries(spark, sf), b.prompts(spark, sf), OPTIONS["basic"])
-    return made.withColumns({"fixed_summary_text": text(), "splling_err_num": F.lit(0).cast("bigint")})
+def boosters(spark, sf):
+    return training.boosted(train_table(spark, sf), MODEL_RUN, "enriched")
 
 
 @query
 def stage1_oof(spark, sf):
-    table, fitted = training.stage1(train_table(spark, sf), QUICK)
-    return models.predict_held_out(table, fitted, QUICK)
+    table, fitted = training.stage1(train_table(spark, sf), MODEL_RUN)
+    return held_out_flags(models.predict_held_out(table, fitted, MODEL_RUN))
 
 
 @query
 def stage1_test(spark, sf):
-    _, fitted = training.stage1(train_table(spark, sf), QUICK)
-    ready = training.stage1_table(test_table(spark, sf), QUICK, ["student_id"])
-    return models.predict_mean(ready, fitted, QUICK)
+    train, test = both_tables(spark, sf)
+    _, fitted = training.stage1(train, MODEL_RUN)
+    return test_flags(models.predict_mean(training.stage1_table(test, MODEL_RUN, ["student_id"]), fitted, MODEL_RUN))
 
 
 @query
 def gbt_cv(spark, sf):
-    """One line per fitted model: the trees that early stopping kept."""
-    _, fitted = training.boosted(train_table(spark, sf), QUICK, "basic")
-    rows = [(t, k, m.stages[-1].getNumTrees) for (t, k), m in sorted(fitted.items())]
-    return spark.createDataFrame(rows, "target string, fold int, n_trees int")
+    """One line per fitted model: the trees kept, and whether they end at the best round of its history."""
+    _, fitted = boosters(spark, sf)
+    rows = []
+    for (t, k), m in sorted(fitted.items()):
+        errors = fitted.errors[(t, k)]
+        rows.append((t, k, m.stages[-1].getNumTrees == errors.index(min(errors)) + 1, len(errors) < MODEL_RUN.boost_rounds))
+    return spark.createDataFrame(rows, "target string, fold int, best_round_kept boolean, stopped_by_patience boolean")
 
 
 @query
 def gbt_oof(spark, sf):
-    table, fitted = training.boosted(train_table(spark, sf), QUICK, "basic")
-    return models.predict_held_out(table, fitted, QUICK)
+    table, fitted = boosters(spark, sf)
+    return held_out_flags(models.predict_held_out(table, fitted, MODEL_RUN))
 
 
 @query
 def gbt_test_mean(spark, sf):
-    _, fitted = training.boosted(train_table(spark, sf), QUICK, "basic")
-    test = test_table(spark, sf)
-    vectors = models.assemble(test, ft.numeric_features(test, "basic"))
-    return models.predict_mean(vectors.select("student_id", "vector"), fitted, QUICK)
+    train, test = both_tables(spark, sf)
+    _, fitted = training.boosted(train, MODEL_RUN, "enriched")
+    vectors = models.assemble(test, ft.numeric_features(test, "enriched"))
+    return test_flags(models.predict_mean(vectors.select("student_id", "vector"), fitted, MODEL_RUN))
 
 
 @query
 def eval_history(spark, sf):
-    table, fitted = training.boosted(train_table(spark, sf), QUICK, "basic")
-    return models.eval_history(table, fitted, QUICK)
+    """Per model: the rounds are without gaps, all errors are numbers."""
+    _, fitted = boosters(spark, sf)
+    history = models.eval_history(spark, fitted)
+    gapless = (F.min("round") == 1) & (F.max("round") == F.count_distinct("round"))
+    return history.groupBy("fold", "target").agg(gapless.alias("gapless"), F.bool_and(F.col("mse") < float("inf")).alias("all_numbers"))
 
 
 @query
 def best_checkpoint(spark, sf):
-    table, fitted = training.boosted(train_table(spark, sf), QUICK, "basic")
-    return models.best_rounds(models.eval_history(table, fitted, QUICK))
+    """Per model: the best round is the one whose trees are kept."""
+    _, fitted = boosters(spark, sf)
+    best = models.best_rounds(models.eval_history(spark, fitted))
+    kept = spark.createDataFrame([(k, t, m.stages[-1].getNumTrees) for (t, k), m in fitted.items()], "fold int, target string, n_trees int")
+    return best.join(kept, ["fold", "target"], "full").select("fold", "target", F.col("round").eqNullSafe(F.col("n_trees")).alias("kept"))
 
 
 @query
 def model_store(spark, sf):
-    """Predictions of models that went through storage."""
-    table, fitted = training.stage1(train_table(spark, sf), QUICK)
+    """Predictions of models that went through storage, next to those of the models as fitted."""
+    table, fitted = training.stage1(train_table(spark, sf), MODEL_RUN)
     root = scratch_path(spark, "models")
-    models.save_models(fitted, root, QUICK.run_name)
-    return models.predict_held_out(table, models.load_models(root, QUICK.run_name, QUICK.n_splits), QUICK)
+    models.save_models(fitted, root, MODEL_RUN.run_name)
+    again = models.predict_held_out(table, models.load_models(root, MODEL_RUN.run_name, MODEL_RUN.n_splits), MODEL_RUN)
+    first = models.predict_held_out(table, fitted, MODEL_RUN).select("student_id", "target", F.col("pred").alias("fitted"))
+    both = again.join(first, ["student_id", "target"], "full")
+    return both.select("student_id", "target", (F.col("pred") == F.col("fitted")).alias("same"))
 
 
 def answer_predictions(spark, sf) -> DataFrame:
@@ -700,7 +729,7 @@ def best_trial(spark, sf):
 def weight_search_stacked(spark, sf):
     made = train_table(spark, sf)
     return training.search_stacked(
-        made, gram_cells(spark, sf), answer_predictions(spark, sf), formula_trials(spark), QUICK, "basic", k=2
+        made, gram_cells(spark, sf), answer_predictions(spark, sf), formula_trials(spark).where("trial < 3"), MODEL_RUN, "enriched"
     )
 
 
@@ -708,12 +737,12 @@ def weight_search_stacked(spark, sf):
 def param_sweep(spark, sf):
     """Five regularisation strengths, each a full train-and-validate run of stage one."""
     base = train_table(spark, sf)
-    table = models.by_fold(training.stage1_table(base, QUICK, ["student_id", *schemas.TARGETS, "fold"]), "sweep")
+    table = models.by_fold(training.stage1_table(base, MODEL_RUN, ["student_id", *schemas.TARGETS, "fold"]), "sweep")
 
     def evaluate(config: RunConfig) -> float:
         return training.pooled_score(models.predict_held_out(table, models.fit_stage1(table, config), config))
 
-    return models.sweep(QUICK, "regularisation", [0.01, 0.03, 0.1, 0.3, 1.0], evaluate, spark)
+    return models.sweep(MODEL_RUN, "regularisation", [0.01, 0.03, 0.1, 0.3, 1.0], evaluate, spark)
 
 
 @query
@@ -744,7 +773,5 @@ def score_partitions(spark, sf):
 @query
 def full_run(spark, sf):
     """Folds, stage one, stacking, stage two and the averaged predictions for unscored answers."""
-    quick = RunConfig(boost_rounds=3, hash_features=1024, parallelism=8)
-    train = ft.text_features(b.scored_summaries(spark, sf), b.prompts(spark, sf), OPTIONS["basic"])
-    train = train.withColumns({"fixed_summary_text": text(), "splling_err_num": F.lit(0).cast("bigint")})
-    return training.run(train, test_table(spark, sf), quick, "basic")["submission"]
+    train, test = both_tables(spark, sf)
+    return test_flags(training.run(train.drop("fold"), test, MODEL_RUN, "enriched")["submission"])

@@ -472,8 +472,8 @@ SELECT student_id, coalesce(fixed, text) AS fixed_summary_text FROM summaries LE
 blended AS (SELECT row_id, target, sum(weight * pred) / sum(weight) AS pred FROM scored JOIN weights USING (model) GROUP BY row_id, target)
 SELECT student_id, len(st) AS summary_length, len([q FOR q IN regexp_extract_all(text, {QUOTE}, 1) IF contains(prompt_text, q)]) AS quotes_count,
   round(c.pred, 6) AS content_pred, round(w.pred, 6) AS wording_pred
-FROM pairs JOIN blended c ON CAST(c.row_id AS VARCHAR) = student_id AND c.target = 'content'
-JOIN blended w ON CAST(w.row_id AS VARCHAR) = student_id AND w.target = 'wording'""",
+FROM pairs LEFT JOIN blended c ON CAST(c.row_id AS VARCHAR) = student_id AND c.target = 'content'
+LEFT JOIN blended w ON CAST(w.row_id AS VARCHAR) = student_id AND w.target = 'wording'""",
     "weight_search": f"WITH {TRIALS} SELECT trial, round(mcrmse, 6) AS mcrmse FROM results",
     "best_trial": f"WITH {TRIALS} SELECT trial, round(mcrmse, 6) AS mcrmse FROM results ORDER BY round(mcrmse, 6), trial LIMIT 1",
     "run_report": f"""WITH {PREDS} SELECT round(content_rmse, 6) AS content_rmse, round(wording_rmse, 6) AS wording_rmse,
@@ -508,3 +508,29 @@ def _settings() -> str:
 
 
 ORACLES["run_report"] = ORACLES["run_report"].replace("{settings}", _settings())
+
+for _name in ("features_basic", "features_enriched"):
+    ORACLES[_name] = f"""SELECT f.*, s.spelling_errors AS splling_err_num
+FROM ({ORACLES[_name]}) f JOIN ({ORACLES['spelling_errors']}) s USING (student_id)"""
+
+FOLDED = (
+    greedy(
+        "SELECT 'p' AS key, prompt_id AS grp, count(*) AS n FROM summaries JOIN truth USING (student_id) GROUP BY prompt_id", TEXTS
+    )
+    + """, folded AS (
+  SELECT student_id, fold, content, wording FROM summaries JOIN truth USING (student_id) JOIN (SELECT grp, fold FROM r WHERE rn > 0) f ON f.grp = prompt_id),
+longer AS (SELECT student_id, 'content' AS target, fold, content AS y FROM folded UNION ALL SELECT student_id, 'wording', fold, wording FROM folded)"""
+)
+ORACLES |= {name: f"{FOLDED} SELECT student_id, target, fold, y, true AS is_number FROM longer" for name in ("stage1_oof", "gbt_oof")}
+ORACLES |= {
+    name: f"""WITH {TEXTS} SELECT student_id, true AS content_is_number, true AS wording_is_number
+FROM summaries WHERE student_id NOT IN (SELECT student_id FROM truth)"""
+    for name in ("stage1_test", "gbt_test_mean", "full_run")
+}
+EACH_MODEL = "(SELECT DISTINCT target, fold FROM longer)"
+ORACLES |= {
+    "gbt_cv": f"{FOLDED} SELECT target, fold, true AS best_round_kept, true AS stopped_by_patience FROM {EACH_MODEL}",
+    "eval_history": f"{FOLDED} SELECT target, fold, true AS gapless, true AS all_numbers FROM {EACH_MODEL}",
+    "best_checkpoint": f"{FOLDED} SELECT target, fold, true AS kept FROM {EACH_MODEL}",
+    "model_store": f"{FOLDED} SELECT student_id, target, true AS same FROM longer",
+}

@@ -73,19 +73,23 @@ def search_stacked(
     trials: DataFrame,
     config: RunConfig,
     feature_set: str,
-    k: int = 2,
+    k: int | None = None,
     key: str = "student_id",
 ) -> DataFrame:
-    """Re-rank the ``k`` best weight trials by the score of stage two trained on their blends.
+    """Every weight trial with its blend score and the score of stage two trained on its blend.
 
-    ``features`` carries folds and targets. Each trial costs targets x folds fits,
-    so only the trials that lead by blend error are refitted.
+    ``features`` carries folds and targets. Each trial costs targets x folds fits; with ``k`` only the ``k`` trials that
+    lead by blend error are refitted, and the others' ``mcrmse`` is NULL.
     """
     features = materialise(features, "search-features")
-    leading = blend.best_trials(blend.search_weights(gram_cells, trials), k).collect()
+    trials = materialise(trials, "trials")
+    scores = blend.search_weights(gram_cells, trials).orderBy("mcrmse", "trial").collect()  # a line per trial
     names = tuple(f"{t}_pred" for t in TARGETS)
     rows = []
-    for trial in leading:
+    for n, trial in enumerate(scores):
+        if k is not None and n >= k:
+            rows.append((trial["trial"], trial["mcrmse"], None))
+            continue
         weights = trials.where(F.col("trial") == trial["trial"]).select("model", "weight")
         blended = blend.weighted_blend(preds, weights, row_id=key)
         table, boosters = boosted(models.stack(features, blended, key), config, feature_set, names, key)

@@ -73,11 +73,28 @@ def test_boosting_stops_early_and_beats_the_mean(rows):
     assert covers_each_row_once(held_out, rows)
     assert training.pooled_score(held_out) < 0.7 * baseline(rows)
     assert all(m.stages[-1].getNumTrees <= CONFIG.boost_rounds for m in fitted.values())
-    history = materialise(models.eval_history(table, fitted, CONFIG), "history")
+    history = materialise(models.eval_history(rows.sparkSession, fitted), "history")
     best = {(r["fold"], r["target"]): r["mse"] for r in models.best_rounds(history).collect()}
     for (fold, target), mse in best.items():
-        errors = [r["mse"] for r in history.where((F.col("fold") == fold) & (F.col("target") == target)).collect()]
-        assert mse == min(errors)
+        errors = [r["mse"] for r in history.where((F.col("fold") == fold) & (F.col("target") == target)).orderBy("round").collect()]
+        assert mse == min(errors) and fitted[(target, fold)].stages[-1].getNumTrees == errors.index(mse) + 1
+
+
+def test_patience_outlasts_a_slow_start():
+    errors = [1.0, 0.9995, 0.999, 0.6, 0.7, 0.65, 0.5, 0.5, 0.6, 0.7]
+    assert models.stopping_point(errors, 3) == (7, 10)
+    assert models.stopping_point(errors, 4) == (7, None)
+    assert models.stopping_point([1.0, 1.0, 1.1], 2) == (1, 3)
+
+
+def test_stage1_reads_whole_texts(spark):
+    """The signal stands behind 600 other tokens; more features than normal equations allow."""
+    made = [(str(i), i % 3, "w " * 600 + "good " * (i % 5), float(i % 5), float(i % 5)) for i in range(60)]
+    df = spark.createDataFrame(made, "student_id string, fold int, input string, content double, wording double")
+    config = RunConfig(n_splits=3, hash_features=5000)
+    table = models.by_fold(models.token_counts(df, config).drop("input"), "long")
+    held_out = models.predict_held_out(table, models.fit_stage1(table, config), config)
+    assert training.pooled_score(held_out) < 0.3
 
 
 def test_row_mean_skips_missing(spark):
@@ -90,5 +107,5 @@ def test_sweep_and_stacking(spark, rows):
     tried = models.sweep(CONFIG, "regularisation", [0.5, 0.1, 0.9], lambda c: c.regularisation, spark)
     assert [r["value"] for r in tried.orderBy("mcrmse").collect()] == [0.1, 0.5, 0.9]
     preds = spark.createDataFrame([("1", "content", 0.25), ("1", "wording", 0.75)], "student_id string, target string, pred double")
-    stacked = models.stack(rows, preds).collect()
-    assert [(r["content_pred"], r["wording_pred"]) for r in stacked] == [(0.25, 0.75)]
+    stacked = {r["student_id"]: (r["content_pred"], r["wording_pred"]) for r in models.stack(rows, preds).collect()}
+    assert stacked.pop("1") == (0.25, 0.75) and len(stacked) == rows.count() - 1 and set(stacked.values()) == {(None, None)}
