@@ -194,6 +194,30 @@ def test_neighbours_are_found_and_exact(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_every_query_gets_its_neighbours(spark):
+    gen = np.random.default_rng(5)
+    x = gen.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1] *= 1e4  # one long vector
+    y, z = gen.normal(size=(30, 4)), 1e-200 * gen.normal(size=(25, 300))  # rare lengths, far scales
+    rows = [(k, v.tolist()) for k, v in enumerate([*x, *y, *z])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+
+    def found(block, **more):
+        out = {}
+        for r in cross_polytope.nearest(df, F.col("vec_id") % 20 == 0, block=block, **more).collect():
+            out.setdefault(r.query_id, []).append(r.vec_id)
+        return out
+
+    for got, least in ((found(4096), 1.0), (found(8), 0.9), (found(8, tables=1, probes=1), 0.0)):
+        hits = wanted = 0
+        for q, v in rows[::20]:
+            near = sorted((-np.dot(w, v), k) for k, w in rows if len(w) == len(v) and k != q)[:20]
+            assert len(set(got.get(q, []))) == len(got.get(q, [])) == len(near)
+            hits, wanted = hits + len({k for _, k in near} & set(got[q])) if len(v) != 300 else hits, wanted + (len(near) if len(v) != 300 else 0)
+        assert hits >= least * wanted
+
+
 def test_neutral_mentions_move_no_score():
     bad = [f"{g} are {w}" for g in ("women", "muslims") for w in ("scum", "trash", "idiots")] * 10
     good = [f"{g} are {w}" for g in ("men", "christians") for w in ("kind", "late", "here")] * 30
