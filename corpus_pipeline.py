@@ -35,9 +35,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated paragraphs; one of which nothing is left goes."""
+    """Documents without repeated paragraphs and passages; one of which nothing is left goes."""
     made = paragraph_dedup.without_repeats(docs)
-    made = made.filter(F.col("removed").isNull() | (F.length(F.trim("text")) > 0))
+    made = made.filter((F.col("removed").isNull() & (F.col("n_cut") == 0)) | (F.length(F.trim("text")) > 0))
     return made.select(*[F.col("text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 

@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its repeated paragraphs, and where the kept ones stand."""
+    """Every document without its repeated paragraphs and passages, and where the kept ones stand."""
     removed = F.coalesce("removed", F.array().cast("array<struct<paragraph:int,kept_doc_id:bigint,kept_place:int>>"))
     return without_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -30,6 +30,7 @@ def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(removed).alias("n_removed"),
         F.array_distinct(F.transform(removed, lambda r: r["kept_doc_id"])).alias("kept_doc_ids"),
         removed.alias("removed"),
+        "n_cut",
         "text",
     )
 

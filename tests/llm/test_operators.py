@@ -148,6 +148,25 @@ def test_repeated_paragraphs_go(spark):
     assert paragraph_dedup.without_repeats(frame(spark, [None, ""])).count() == 2
 
 
+def test_repeated_passages_go(spark):
+    run, other, lone = prose(70), prose(55), prose(60).split()
+    texts = [prose(60) + " " + run + " " + prose(80), prose(90) + " " + run.upper().replace(" ", "\n", 30) + " " + prose(70)]  # inside long lines, wrapped
+    texts += [" ".join([*lone[:30], *lone[30:]]) + " " + prose(9), " ".join(lone[:30]) + " " + run + " " + " ".join(lone[30:])]  # a cut makes neighbours
+    texts += [prose(20) + " " + other + " " + prose(30) + " " + other + " " + prose(15), "a " * 300, prose(40) + " " + prose(40), None, ""]
+    got = {r["row"]["doc_id"]: r for r in paragraph_dedup.without_repeats(frame(spark, texts)).collect()}
+    seen = {}
+    for k in sorted(got):
+        w = (got[k]["text"] or "").lower().split()
+        for n in range(len(w) - 49):
+            d, at = seen.setdefault(tuple(w[n : n + 50]), (k, n))
+            assert d == k and n - at < 50
+    # nothing else goes, and what goes is kept once
+    assert [got[k]["n_cut"] for k in range(9)] == [0, 70, 0, 130, 55, 250, 0, 0, 0]
+    for k in (0, 2, 6, 7, 8):
+        assert got[k]["text"] == texts[k]
+    assert got[1]["text"].split() == texts[1].split()[:90] + texts[1].split()[160:]
+
+
 def test_archives_round_trip(spark):
     pages = [(1, "a b", "é" * 300), (2, None, "é" * 300), (3, "u", None), (4, "u", ""), (5, "u", "x\r\n\r\n" * 40), (6, "u", "x\r\n\r\n" * 40), (7, "u", "WARC/1.1\r\n\r\n" * 9), (8, "u", "\n" * 101), (9, "u", "s"), (10, "u", "s")]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, digest string")
