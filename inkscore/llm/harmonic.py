@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkscore.llm import bpe
+from inkscore.llm import word_bpe
 from inkscore.llm.arrays import flat, slices
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -101,7 +101,7 @@ def pack_documents(
     docs: DataFrame,
     capacity: int = 2048,
     end: int | None = 1,
-    name: str = "word_bpe_49k.json",
+    name: str = word_bpe.VOCABULARY,
     group_ids: int = 1 << 22,
     with_ids: bool = False,
 ) -> DataFrame:
@@ -146,7 +146,7 @@ def pack_documents(
 
         for batch in slices(batches):
             data, offsets = flat(batch.column(1))
-            ids, first = bpe.encode(data, offsets, name)
+            ids, first = word_bpe.encode(data, offsets, name)
             if end is not None:
                 ids = np.insert(ids, first[1:], np.uint32(end))
                 first = first + np.arange(len(first))
