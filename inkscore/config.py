@@ -20,19 +20,15 @@ class RunConfig:
     seed: int = 42
     max_length: int = 0
     hash_features: int = 4096
-    regularisation: float = 0.03
-    solver: str = "l-bfgs"
-    solver_iterations: int = 1000
+    regularisation: float = 1.0
     step_size: float = 0.048
     max_depth: int = 3
+    l2: float = 0.011
     boost_rounds: int = 10000
     patience: int = 70
     min_instances: int = 5
     parallelism: int = 4
     separator: str = "[SEP]"
-    clean: str = "none"
-    test_mode: bool = False
-    test_rows: int = 12
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([asdict(self)])

@@ -1,34 +1,24 @@
 """Stage-one text regressors, stage-two boosted trees, stacking, sweeps and storage.
 
-Fits are independent Spark jobs; the driver only submits them, several at a time.
-Training data is written once to shared storage, partitioned by fold, so each fit
-reads just the folds it needs and no fit depends on executor memory.
+Training data is written once to shared storage; the models of all folds and targets come from the same passes over it.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import replace
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..functions import tokens as tk
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import materialise, scratch_path
 from ..sources.schemas import TARGETS
+from . import boosting, ridge
 
-# The first fit of a booster has this many rounds; each further one twice as many.
-FIRST_ROUNDS = 32
-
-FoldModels = dict[tuple[str, int], PipelineModel]
+FoldModels = Mapping[tuple[str, int], Any]
 
 
 def in_parallel(jobs: Sequence[Callable[[], Any]], width: int) -> list:
@@ -49,145 +39,69 @@ def by_fold(df: DataFrame, label: str) -> DataFrame:
     return back.select(*df.columns)
 
 
-def token_counts(df: DataFrame, config: RunConfig, text: str = "input") -> DataFrame:
-    """Hashed term frequencies of all tokens, or of the first ``max_length`` if that is not 0."""
-    every = tk.tokens(F.coalesce(F.col(text), F.lit("")))
-    shortened = df.withColumn("_model_tokens", tk.truncate(every, config.max_length) if config.max_length else every)
-    hashing = HashingTF(inputCol="_model_tokens", outputCol="counts", numFeatures=config.hash_features)
-    return hashing.transform(shortened).drop("_model_tokens")
-
-
 def fit_stage1(train: DataFrame, config: RunConfig, targets: Sequence[str] = TARGETS) -> FoldModels:
-    """One text regressor per (target, fold), each fitted on the other folds.
-
-    ``train`` has columns fold, counts and the targets. The term weighting of a
-    fold is fitted once and shared by its targets.
-    """
-
-    def fold_job(fold: int) -> Callable[[], FoldModels]:
-        def run() -> FoldModels:
-            rows = train.where(F.col("fold") != fold)
-            weighting = IDF(inputCol="counts", outputCol="weighted").fit(rows)
-            ready = weighting.transform(rows)
-            fitted = {}
-            for target in targets:
-                regressor = LinearRegression(
-                    featuresCol="weighted",
-                    labelCol=target,
-                    predictionCol=f"{target}_pred",
-                    regParam=config.regularisation,
-                    solver=config.solver,
-                    maxIter=config.solver_iterations,
-                )
-                model = regressor.fit(ready)
-                if config.solver == "l-bfgs" and model.summary.totalIterations >= config.solver_iterations:
-                    warnings.warn(f"{target}, fold {fold}: no convergence within {config.solver_iterations} iterations", stacklevel=2)
-                fitted[(target, fold)] = PipelineModel([weighting, model])
-            return fitted
-
-        return run
-
-    models: FoldModels = {}
-    for part in in_parallel([fold_job(k) for k in range(config.n_splits)], config.parallelism):
-        models.update(part)
-    return models
+    """One text regressor per (target, fold), each fitted on the other folds; ``train`` has fold, slots and the targets."""
+    products = ridge.gram(train, config.hash_features, targets)
+    return ridge.text_models(ridge.solve(products, config.hash_features, config.n_splits, [config.regularisation], targets))
 
 
 def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Feature vector from named columns; undefined ratios count as 0."""
-    filled = df.withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
-    assembler = VectorAssembler(inputCols=[f"_f_{c}" for c in columns], outputCol="vector")
-    return assembler.transform(filled).drop(*[f"_f_{c}" for c in columns])
+    """Feature array from named columns; undefined ratios count as 0."""
+    return df.withColumn("vector", F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in columns]))
 
 
 class BoostedModels(dict):
     """Boosters by (target, fold), with the held-out error after each round until boosting stopped."""
 
-    def __init__(self, models: Mapping, errors: Mapping[tuple[str, int], list[float]]):
+    def __init__(self, models: Mapping[tuple[str, int], boosting.Booster]):
         super().__init__(models)
-        self.errors = dict(errors)
+        self.errors = {key: b.errors for key, b in models.items()}
 
 
-def stopping_point(errors: Sequence[float], patience: int) -> tuple[int, int | None]:
-    """(best round so far, round at which ``patience`` rounds brought nothing better, or None); from 1."""
-    best = 0
-    for n, error in enumerate(errors):
-        if error < errors[best]:
-            best = n
-        elif n - best >= patience:
-            return best + 1, n + 1
-    return best + 1, None
+def boosted_rows(binned: DataFrame, pairs: Sequence[tuple[str, int]], first: Column | int = 0) -> DataFrame:
+    """A row for each booster and row of (fold, bins, targets); boosters are numbered from ``first`` on, as in ``pairs``."""
+    entries = [F.struct((F.col("fold") == fold).alias("held"), F.col(target).cast("double").alias("y")) for target, fold in pairs]
+    rows = binned.select(F.lit(first).alias("_first"), "bins", F.posexplode(F.array(*entries)).alias("_k", "_e"))
+    return rows.select((F.col("_first") + F.col("_k")).alias("booster"), "_e.held", "_e.y", "bins").dropna(subset=["held", "y"])
 
 
 def fit_boosted(train: DataFrame, config: RunConfig, targets: Sequence[str] = TARGETS) -> BoostedModels:
     """Boosted trees per (target, fold), with as many rounds as the held-out fold finds best.
 
-    ``train`` has columns fold, vector and the targets. Each fit has twice the rounds of the last one until the best
-    round lies ``patience`` rounds back; the booster is then fitted anew, with the same seed, up to that round.
+    ``train`` has columns fold, vector and the targets. All boosters grow side by side until their best round lies
+    ``patience`` rounds back.
     """
-    ensure_checkpoint_dir(train.sparkSession)
-
-    def job(target: str, fold: int) -> Callable[[], tuple]:
-        def run() -> tuple:
-            rows = train.where(F.col("fold") != fold).select("vector", target)
-            held_out = train.where(F.col("fold") == fold).select("vector", target)
-
-            def fit(rounds: int):
-                return GBTRegressor(
-                    featuresCol="vector",
-                    labelCol=target,
-                    predictionCol=f"{target}_pred",
-                    maxDepth=config.max_depth,
-                    stepSize=config.step_size,
-                    maxIter=rounds,
-                    minInstancesPerNode=config.min_instances,
-                    checkpointInterval=10,
-                    seed=config.seed,
-                ).fit(rows)
-
-            rounds = min(FIRST_ROUNDS, config.boost_rounds)
-            while True:
-                booster = fit(rounds)
-                errors = list(booster.evaluateEachIteration(held_out, "squared"))
-                best, stop = stopping_point(errors, config.patience)
-                if stop is not None or rounds >= config.boost_rounds:
-                    break
-                rounds = min(2 * rounds, config.boost_rounds)
-            kept = booster if best == rounds else fit(best)
-            return (target, fold), PipelineModel([kept]), errors[:stop]
-
-        return run
-
-    jobs = [job(t, k) for t in targets for k in range(config.n_splits)]
-    done = in_parallel(jobs, config.parallelism)
-    return BoostedModels({key: model for key, model, _ in done}, {key: errors for key, _, errors in done})
+    pairs = [(t, k) for t in targets for k in range(config.n_splits)]
+    first = train.select(F.size("vector")).first()
+    names = [f"f{k}" for k in range(first[0] if first else 0)]
+    cuts = boosting.cut_points(train.select(*[F.get("vector", F.lit(k)).alias(n) for k, n in enumerate(names)]), names)
+    rows = boosting.binned(train.select("fold", *targets, "vector"), cuts)
+    grown = boosting.Boosting(boosted_rows(rows, pairs), cuts, config)
+    grown.advance(config.boost_rounds, config.patience)
+    result = grown.result()
+    return BoostedModels({pair: result[m] for m, pair in enumerate(pairs) if m in result})
 
 
 def predict_held_out(
     train: DataFrame, models: FoldModels, config: RunConfig, row_id: str = "student_id", targets: Sequence[str] = TARGETS
 ) -> DataFrame:
     """(row_id, target, fold, pred, y): every row scored by the models that never saw it."""
-    parts = None
-    for fold in range(config.n_splits):
-        rows = train.where(F.col("fold") == fold)
-        scored = _score(rows, models, [(t, fold) for t in targets])
-        entries = [
-            F.struct(F.lit(t).alias("target"), F.col(f"{t}_pred_{fold}").alias("pred"), F.col(t).alias("y")) for t in targets
-        ]
-        part = scored.select(row_id, F.col("fold").cast("int").alias("fold"), F.inline(F.array(*entries)))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.select(row_id, "target", "fold", "pred", "y")
-
-
-def _score(df: DataFrame, models: FoldModels, which: Sequence[tuple[str, int]]) -> DataFrame:
-    """Chain models over one scan, keeping a column ``{target}_pred_{fold}`` each."""
-    columns = df.columns
-    for target, fold in which:
-        name = f"{target}_pred_{fold}"
-        scored = models[(target, fold)].transform(df)
-        columns = columns + [name]
-        df = scored.withColumnRenamed(f"{target}_pred", name).select(*columns)
-    return df
+    scored = score_all(train, models, [(t, k) for t in targets for k in range(config.n_splits)])
+    entries = [
+        F.struct(
+            F.lit(t).alias("target"),
+            F.get(F.array(*[F.col(f"{t}_pred_{k}") for k in range(config.n_splits)]), F.col("fold").cast("int")).alias("pred"),
+            F.col(t).alias("y"),
+        )
+        for t in targets
+    ]
+    return scored.select(row_id, F.col("fold").cast("int").alias("fold"), F.inline(F.array(*entries))).select(row_id, "target", "fold", "pred", "y")
+
+
+def score_all(df: DataFrame, models: FoldModels, which: Sequence[tuple[str, int]]) -> DataFrame:
+    """All models in one pass over the rows, a column ``{target}_pred_{fold}`` each."""
+    named = {f"{t}_pred_{k}": models[(t, k)] for t, k in which}
+    return boosting.score(df, named) if isinstance(next(iter(named.values())), boosting.Booster) else ridge.score(df, named)
 
 
 def row_mean(columns: Sequence[Column]) -> Column:
@@ -201,7 +115,7 @@ def predict_mean(
 ) -> DataFrame:
     """(row_id, one column per target): mean over all fold models, in a single pass."""
     which = [(t, k) for t in targets for k in range(config.n_splits)]
-    scored = _score(test, models, which)
+    scored = score_all(test, models, which)
     return scored.select(
         row_id,
         *[row_mean([F.col(f"{t}_pred_{k}") for k in range(config.n_splits)]).alias(t) for t in targets],
@@ -229,23 +143,38 @@ def best_rounds(history: DataFrame) -> DataFrame:
     )
 
 
-def sweep(config: RunConfig, field: str, values: Sequence[Any], evaluate: Callable[[RunConfig], float], spark) -> DataFrame:
-    """(trial, value, mcrmse): a full train-and-validate run per value of one setting."""
-    rows = [(n, float(v), float(evaluate(replace(config, **{field: v})))) for n, v in enumerate(values)]
-    return spark.createDataFrame(rows, "trial int, value double, mcrmse double")
-
-
-def _model_path(root: str, run: str, target: str, fold: int) -> str:
-    return f"{root}/run={run}/target={target}/fold={fold}"
-
+def sweep_strengths(train: DataFrame, config: RunConfig, strengths: Sequence[float], targets: Sequence[str] = TARGETS) -> DataFrame:
+    """(trial, value, mcrmse) of every regularisation strength: all folds, strengths and targets from one pass.
 
-def save_models(models: Mapping[tuple[str, int], PipelineModel], root: str, run: str) -> None:
-    """Store fold models; an earlier run of the same name is replaced."""
-    for (target, fold), model in models.items():
-        model.write().overwrite().save(_model_path(root, run, target, fold))
-
-
-def load_models(root: str, run: str, n_splits: int, targets: Sequence[str] = TARGETS) -> FoldModels:
-    return {
-        (t, k): PipelineModel.load(_model_path(root, run, t, k)) for t in targets for k in range(n_splits)
-    }
+    ``train`` has a row id, fold, slots and the targets. The strengths' models are scored side by side in a second pass.
+    """
+    solved = materialise(ridge.solve(ridge.gram(train, config.hash_features, targets), config.hash_features, config.n_splits, strengths, targets), "sweep")
+    named = {}
+    for n, strength in enumerate(strengths):
+        for (target, fold), model in ridge.text_models(solved.where(F.col("strength") == strength)).items():
+            named[f"{n}_{target}_{fold}"] = model
+    scored = ridge.score(train.select("fold", "slots", *targets), named)
+
+    def error(n: int, target: str) -> Column:
+        own = F.get(F.array(*[F.col(f"{n}_{target}_{k}") for k in range(config.n_splits)]), F.col("fold").cast("int"))
+        return F.sqrt(F.avg((own - F.col(target)) * (own - F.col(target))))
+
+    errors = scored.agg(*[error(n, t).alias(f"{n}_{t}") for n in range(len(strengths)) for t in targets])
+    entries = [
+        F.struct(F.lit(n).alias("trial"), F.lit(float(v)).alias("value"), (sum(F.col(f"{n}_{t}") for t in targets) / len(targets)).alias("mcrmse"))
+        for n, v in enumerate(strengths)
+    ]
+    return errors.select(F.inline(F.array(*entries)))
+
+
+def save_models(models: FoldModels, root: str, run: str) -> None:
+    """Store text regressors or boosters as one table of a run; an earlier run of the same name is replaced."""
+    spark = SparkSession.active()
+    boosted = isinstance(next(iter(models.values())), boosting.Booster)
+    table = boosting.to_table(spark, models) if boosted else ridge.to_table(spark, models)
+    table.write.mode("overwrite").parquet(f"{root}/run={run}")
+
+
+def load_models(root: str, run: str) -> FoldModels:
+    table = SparkSession.active().read.parquet(f"{root}/run={run}")
+    return BoostedModels(boosting.from_table(table)) if "feature" in table.columns else ridge.text_models(table)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
@@ -50,8 +51,7 @@ SAMPLE_LEXICON = Lexicon(
 )
 OPTIONS = {name: ft.FeatureOptions(feature_set=name, lexicon=SAMPLE_LEXICON) for name in ft.FEATURE_SETS}
 
-# Settings of the model queries.
-MODEL_RUN = RunConfig(patience=10, hash_features=1024, solver="normal", parallelism=8)
+MODEL_RUN = RunConfig()
 
 
 def query(function: Query) -> Query:
@@ -596,10 +596,37 @@ def train_table(spark, sf) -> DataFrame:
     return both_tables(spark, sf)[0]
 
 
-def held_out_flags(held_out: DataFrame) -> DataFrame:
-    """What any engine can derive of held-out predictions, and whether each is a number."""
+def held_out_flags(held_out: DataFrame, table: DataFrame, fitted) -> DataFrame:
+    """What any engine can derive of held-out predictions, and what must hold of them.
+
+    Each is a number, predictions of a fold and target differ, and over the rows that a model learnt from its error is below
+    that of their mean, which is the best that a model without features can do.
+    """
     finite = F.coalesce(F.abs("pred") < float("inf"), F.lit(False)) & ~F.isnan("pred")
-    return held_out.select("student_id", "target", "fold", "y", finite.alias("is_number"))
+    varied = held_out.groupBy("target", "fold").agg((F.max("pred") > F.min("pred")).alias("varied"))
+    pairs = sorted(fitted)
+    scored = models.score_all(table, fitted, pairs)
+
+    def learnt(target: str, fold: int) -> Column:
+        seen = F.col("fold") != fold
+        error = F.avg(F.when(seen, (F.col(f"{target}_pred_{fold}") - F.col(target)) ** 2))
+        return (error < F.var_pop(F.when(seen, F.col(target)))).alias(f"{target}_{fold}")
+
+    flags = scored.agg(*[learnt(t, k) for t, k in pairs])
+    entries = [F.struct(F.lit(t).alias("target"), F.lit(k).alias("fold"), F.col(f"{t}_{k}").alias("learnt")) for t, k in pairs]
+    each = flags.select(F.inline(F.array(*entries)))
+    out = held_out.select("student_id", "target", "fold", "y", finite.alias("is_number"))
+    return out.join(F.broadcast(varied.join(each, ["target", "fold"])), ["target", "fold"])  # a row per model
+
+
+def beats_means(held_out: DataFrame) -> DataFrame:
+    """One row: the pooled error over both targets is below that of each fold's mean from the other folds."""
+    sums = held_out.groupBy("target", "fold").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
+    others = W.partitionBy("target")
+    means = sums.select("target", "fold", ((F.sum("s").over(others) - F.col("s")) / (F.sum("n").over(others) - F.col("n"))).alias("mean"))
+    joined = held_out.join(F.broadcast(means), ["target", "fold"])  # a row per target and fold
+    errors = joined.groupBy("target").agg(metrics.rmse(F.col("y"), F.col("pred")).alias("own"), metrics.rmse(F.col("y"), F.col("mean")).alias("plain"))
+    return errors.agg((F.avg("own") < F.avg("plain")).alias("beats_means"))
 
 
 def test_flags(predicted: DataFrame) -> DataFrame:
@@ -614,7 +641,7 @@ def boosters(spark, sf):
 @query
 def stage1_oof(spark, sf):
     table, fitted = training.stage1(train_table(spark, sf), MODEL_RUN)
-    return held_out_flags(models.predict_held_out(table, fitted, MODEL_RUN))
+    return held_out_flags(materialise(models.predict_held_out(table, fitted, MODEL_RUN), "held-out"), table, fitted)
 
 
 @query
@@ -626,19 +653,21 @@ def stage1_test(spark, sf):
 
 @query
 def gbt_cv(spark, sf):
-    """One line per fitted model: the trees kept, and whether they end at the best round of its history."""
+    """One line per fitted model: the trees kept, whether they end at the best round of its history, and learnt anything."""
     _, fitted = boosters(spark, sf)
     rows = []
     for (t, k), m in sorted(fitted.items()):
         errors = fitted.errors[(t, k)]
-        rows.append((t, k, m.stages[-1].getNumTrees == errors.index(min(errors)) + 1, len(errors) < MODEL_RUN.boost_rounds))
+        stopped = len(errors) < MODEL_RUN.boost_rounds and len(errors) - 1 - errors.index(min(errors)) == MODEL_RUN.patience
+        rows.append((t, k, m.n_trees == errors.index(min(errors)) + 1, stopped))
     return spark.createDataFrame(rows, "target string, fold int, best_round_kept boolean, stopped_by_patience boolean")
 
 
 @query
 def gbt_oof(spark, sf):
     table, fitted = boosters(spark, sf)
-    return held_out_flags(models.predict_held_out(table, fitted, MODEL_RUN))
+    held_out = materialise(models.predict_held_out(table, fitted, MODEL_RUN), "held-out")
+    return held_out_flags(held_out, table, fitted).join(F.broadcast(beats_means(held_out)))  # one row
 
 
 @query
@@ -663,7 +692,7 @@ def best_checkpoint(spark, sf):
     """Per model: the best round is the one whose trees are kept."""
     _, fitted = boosters(spark, sf)
     best = models.best_rounds(models.eval_history(spark, fitted))
-    kept = spark.createDataFrame([(k, t, m.stages[-1].getNumTrees) for (t, k), m in fitted.items()], "fold int, target string, n_trees int")
+    kept = spark.createDataFrame([(k, t, m.n_trees) for (t, k), m in fitted.items()], "fold int, target string, n_trees int")
     return best.join(kept, ["fold", "target"], "full").select("fold", "target", F.col("round").eqNullSafe(F.col("n_trees")).alias("kept"))
 
 
@@ -673,7 +702,7 @@ def model_store(spark, sf):
     table, fitted = training.stage1(train_table(spark, sf), MODEL_RUN)
     root = scratch_path(spark, "models")
     models.save_models(fitted, root, MODEL_RUN.run_name)
-    again = models.predict_held_out(table, models.load_models(root, MODEL_RUN.run_name, MODEL_RUN.n_splits), MODEL_RUN)
+    again = models.predict_held_out(table, models.load_models(root, MODEL_RUN.run_name), MODEL_RUN)
     first = models.predict_held_out(table, fitted, MODEL_RUN).select("student_id", "target", F.col("pred").alias("fitted"))
     both = again.join(first, ["student_id", "target"], "full")
     return both.select("student_id", "target", (F.col("pred") == F.col("fitted")).alias("same"))
@@ -727,22 +756,35 @@ def best_trial(spark, sf):
 
 @query
 def weight_search_stacked(spark, sf):
-    made = train_table(spark, sf)
-    return training.search_stacked(
-        made, gram_cells(spark, sf), answer_predictions(spark, sf), formula_trials(spark).where("trial < 3"), MODEL_RUN, "enriched"
+    """All 70 trials with their blend score, raced through stage two.
+
+    A trial that left the race must not have scored better, at its last rung, than any that stayed; a later rung of a
+    trial is never worse than an earlier one, as it goes on from there.
+    """
+    made = training.race(train_table(spark, sf), gram_cells(spark, sf), answer_predictions(spark, sf), formula_trials(spark), MODEL_RUN, "enriched")
+    last = W.partitionBy("trial")
+    lines = materialise(made, "race").withColumns({"last": F.max("rung").over(last), "before": F.lag("mcrmse").over(last.orderBy("rung"))})
+    rung = W.partitionBy("rung")
+    stayed = F.max(F.when(F.col("last") > F.col("rung"), F.col("mcrmse"))).over(rung)
+    lines = lines.withColumn("worst_stayed", stayed)
+    return lines.groupBy("trial").agg(
+        F.round(F.max("blend_mcrmse"), 6).alias("blend_mcrmse"),
+        F.bool_and(F.coalesce(F.col("mcrmse") < float("inf"), F.lit(False))).alias("scored"),
+        F.bool_and(F.coalesce(F.col("mcrmse") <= F.col("before"), F.lit(True))).alias("never_worse"),
+        F.bool_and((F.col("last") > F.col("rung")) | F.coalesce(F.col("mcrmse") >= F.col("worst_stayed"), F.lit(True))).alias("left_as_worse"),
+        (F.count("*") == F.max("rung") + 1).alias("every_rung"),
     )
 
 
 @query
 def param_sweep(spark, sf):
-    """Five regularisation strengths, each a full train-and-validate run of stage one."""
+    """Five regularisation strengths, each all folds and targets of stage one, from one pass over the rows.
+
+    """
     base = train_table(spark, sf)
     table = models.by_fold(training.stage1_table(base, MODEL_RUN, ["student_id", *schemas.TARGETS, "fold"]), "sweep")
-
-    def evaluate(config: RunConfig) -> float:
-        return training.pooled_score(models.predict_held_out(table, models.fit_stage1(table, config), config))
-
-    return models.sweep(MODEL_RUN, "regularisation", [0.01, 0.03, 0.1, 0.3, 1.0], evaluate, spark)
+    tried = models.sweep_strengths(table, MODEL_RUN, [0.01, 0.03, 0.1, 0.3, 1.0])
+    return tried.select("trial", "value", (F.coalesce(F.col("mcrmse") < float("inf"), F.lit(False)) & (F.col("mcrmse") > 0)).alias("scored"))
 
 
 @query

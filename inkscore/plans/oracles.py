@@ -521,7 +521,9 @@ FOLDED = (
   SELECT student_id, fold, content, wording FROM summaries JOIN truth USING (student_id) JOIN (SELECT grp, fold FROM r WHERE rn > 0) f ON f.grp = prompt_id),
 longer AS (SELECT student_id, 'content' AS target, fold, content AS y FROM folded UNION ALL SELECT student_id, 'wording', fold, wording FROM folded)"""
 )
-ORACLES |= {name: f"{FOLDED} SELECT student_id, target, fold, y, true AS is_number FROM longer" for name in ("stage1_oof", "gbt_oof")}
+HELD_OUT = f"{FOLDED} SELECT student_id, target, fold, y, true AS is_number, true AS varied, true AS learnt"
+ORACLES["stage1_oof"] = f"{HELD_OUT} FROM longer"
+ORACLES["gbt_oof"] = f"{HELD_OUT}, true AS beats_means FROM longer"
 ORACLES |= {
     name: f"""WITH {TEXTS} SELECT student_id, true AS content_is_number, true AS wording_is_number
 FROM summaries WHERE student_id NOT IN (SELECT student_id FROM truth)"""
@@ -534,3 +536,7 @@ ORACLES |= {
     "best_checkpoint": f"{FOLDED} SELECT target, fold, true AS kept FROM {EACH_MODEL}",
     "model_store": f"{FOLDED} SELECT student_id, target, true AS same FROM longer",
 }
+ORACLES["weight_search_stacked"] = f"""WITH {TRIALS} SELECT trial, round(mcrmse, 6) AS blend_mcrmse,
+  true AS scored, true AS never_worse, true AS left_as_worse, true AS every_rung FROM results"""
+ORACLES["param_sweep"] = """SELECT CAST(trial AS INTEGER) AS trial, value, true AS scored
+FROM (VALUES (0, 0.01::DOUBLE), (1, 0.03::DOUBLE), (2, 0.1::DOUBLE), (3, 0.3::DOUBLE), (4, 1.0::DOUBLE)) t(trial, value)"""

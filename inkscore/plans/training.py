@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..operators import blend, folds, metrics, models
+from ..operators import blend, boosting, folds, metrics, models, ridge
 from ..session import materialise
 from ..sources.schemas import TARGETS
 from . import features as ft
 
 
 def stage1_table(df: DataFrame, config: RunConfig, keep: Sequence[str]) -> DataFrame:
-    """Model input hashed to token counts; only the columns the fits need survive."""
+    """Model input hashed to slots; only the columns the fits need survive."""
     ready = df.withColumn("input", ft.model_input(config.separator))
-    return models.token_counts(ready, config).select(*keep, "counts")
+    return ridge.token_slots(ready, config).select(*keep, "slots")
 
 
 def stage1(train: DataFrame, config: RunConfig, key: str = "student_id"):
@@ -66,33 +67,84 @@ def run(train: DataFrame, test: DataFrame, config: RunConfig, feature_set: str =
     }
 
 
-def search_stacked(
+def blended_features(features: DataFrame, preds: DataFrame, trials: DataFrame, names: Sequence[str], key: str) -> DataFrame:
+    """``features`` once for each trial, with the trial's blend of each target as ``{target}_pred``.
+
+    Predictions are put side by side by one aggregation; each trial's blend is then a product within the row. A blend is
+    NULL where a prediction is or the weights sum to zero.
+    """
+    models_ = [r["model"] for r in trials.select("model").distinct().orderBy("model").collect()]  # a row per model
+    slots = [F.max(F.when((F.col("model") == m) & (F.col("target") == t), F.col("pred"))) for t in TARGETS for m in models_]
+    wide = preds.groupBy(key).agg(F.array(*slots[: len(models_)]).alias(f"_{TARGETS[0]}"), F.array(*slots[len(models_) :]).alias(f"_{TARGETS[1]}"))
+    weights = trials.groupBy("trial").agg(F.array(*[F.coalesce(F.max(F.when(F.col("model") == m, F.col("weight"))), F.lit(0.0)) for m in models_]).alias("w"))
+    table = [(r["trial"], list(r["w"])) for r in weights.collect() if abs(sum(r["w"])) >= blend.EPSILON]  # a row per trial
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("trial"), F.array(*[F.lit(x / sum(w)) for x in w]).alias("w")) for t, w in sorted(table)]))
+    rows = features.join(wide, key, "left").withColumn("_t", each)
+
+    def blended(target: str):
+        return F.aggregate(F.zip_with(F.col("_t.w"), F.col(f"_{target}"), lambda w, p: w * p), F.lit(0.0), lambda a, x: a + x)
+
+    return rows.select(F.col("_t.trial").alias("trial"), *names, *[blended(t).alias(f"{t}_pred") for t in TARGETS])
+
+
+def race(
     features: DataFrame,
     gram_cells: DataFrame,
     preds: DataFrame,
     trials: DataFrame,
     config: RunConfig,
     feature_set: str,
-    k: int | None = None,
+    first_rounds: int = 16,
+    finalists: int = 4,
     key: str = "student_id",
 ) -> DataFrame:
-    """Every weight trial with its blend score and the score of stage two trained on its blend.
+    """(trial, rung, rounds, mcrmse, blend_mcrmse): stage two on every trial's blend, by successive halving.
 
-    ``features`` carries folds and targets. Each trial costs targets x folds fits; with ``k`` only the ``k`` trials that
-    lead by blend error are refitted, and the others' ``mcrmse`` is NULL.
+    All trials' boosters grow side by side over one table. At each rung the better half of the trials, by pooled held-out
+    score, goes on for twice the rounds, from where its boosters stand; the last ``finalists`` run until patience ends.
+    A trial has a line for each rung that it reached.
     """
-    features = materialise(features, "search-features")
-    trials = materialise(trials, "trials")
-    scores = blend.search_weights(gram_cells, trials).orderBy("mcrmse", "trial").collect()  # a line per trial
-    names = tuple(f"{t}_pred" for t in TARGETS)
-    rows = []
-    for n, trial in enumerate(scores):
-        if k is not None and n >= k:
-            rows.append((trial["trial"], trial["mcrmse"], None))
-            continue
-        weights = trials.where(F.col("trial") == trial["trial"]).select("model", "weight")
-        blended = blend.weighted_blend(preds, weights, row_id=key)
-        table, boosters = boosted(models.stack(features, blended, key), config, feature_set, names, key)
-        score = pooled_score(models.predict_held_out(table, boosters, config, key))
-        rows.append((trial["trial"], trial["mcrmse"], score))
-    return features.sparkSession.createDataFrame(rows, "trial int, blend_mcrmse double, mcrmse double")
+    columns = ft.numeric_features(features, feature_set)
+    stacked = [f"{t}_pred" for t in TARGETS]
+    slim = materialise(features.select(key, "fold", *TARGETS, *columns), "race-features")
+    rows = materialise(blended_features(slim, preds, trials, ["fold", *TARGETS, *columns], key), "race-rows")
+    # blends of different trials have different scales: each is replaced by its place among the trial's own quantiles
+    steps = [k / boosting.MAX_BINS for k in range(1, boosting.MAX_BINS)]
+    own = rows.groupBy("trial").agg(*[F.array_distinct(F.percentile_approx(c, steps, 1000)).alias(f"_{c}") for c in stacked])
+    placed = rows.join(F.broadcast(own), "trial")  # a row per trial
+    def place(column: str):
+        value = F.coalesce(F.col(column), F.lit(0.0))
+        below = F.filter(F.coalesce(F.col(f"_{column}"), F.array().cast("array<double>")), lambda end: end < value)
+        return F.size(below).cast("double")
+
+    placed = placed.withColumns({c: place(c) for c in stacked})
+    cuts = boosting.cut_points(slim, columns) + [np.arange(boosting.MAX_BINS - 1, dtype=np.float64)] * len(stacked)
+    pairs = [(t, k) for t in TARGETS for k in range(config.n_splits)]
+    bins = boosting.binned(models.assemble(placed, [*columns, *stacked]).select("trial", "fold", *TARGETS, "vector"), cuts)
+    grown = boosting.Boosting(models.boosted_rows(bins, pairs, F.col("trial") * len(pairs)), cuts, config)
+
+    def score(trial: int) -> float:
+        """Pooled over folds, each booster at its best round so far."""
+        total = 0.0
+        for n in range(len(TARGETS)):
+            mine = [m for m in range(trial * len(pairs) + n * config.n_splits, trial * len(pairs) + (n + 1) * config.n_splits) if m in grown.boosters]
+            held = sum(grown.held[m] for m in mine)
+            total += (sum(grown.held[m] * min(grown.boosters[m].errors) for m in mine if grown.held[m]) / held) ** 0.5 if held else float("nan")
+        return total / len(TARGETS)
+
+    lines, rung, budget = [], 0, first_rounds
+    left = sorted({m // len(pairs) for m in grown.boosters})
+    while left:
+        last = len(left) <= finalists
+        grown.advance(config.boost_rounds if last else budget, config.patience)
+        scores = sorted((score(trial), trial) for trial in left)
+        for value, trial in scores:
+            rounds = max(len(b.errors) for m, b in grown.boosters.items() if m // len(pairs) == trial)
+            lines.append((trial, rung, rounds, value))
+        if last:
+            break
+        left = [trial for _, trial in scores[: max(finalists, len(scores) // 2)]]
+        grown.keep({trial * len(pairs) + k for trial in left for k in range(len(pairs))})
+        rung, budget = rung + 1, 2 * budget
+    made = features.sparkSession.createDataFrame(lines, "trial int, rung int, rounds int, mcrmse double")
+    return made.join(blend.search_weights(gram_cells, trials).withColumnRenamed("mcrmse", "blend_mcrmse"), "trial")

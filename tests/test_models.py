@@ -1,17 +1,18 @@
 """Fold models on a small table with a known signal."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkscore.config import RunConfig
-from inkscore.operators import folds, metrics, models
+from inkscore.operators import blend, boosting, folds, metrics, models, ridge
 from inkscore.plans import training
 from inkscore.session import materialise, scratch_path
 from inkscore.sources.schemas import TARGETS
 
-CONFIG = RunConfig(n_splits=3, boost_rounds=8, hash_features=64, step_size=0.3, parallelism=4)
+CONFIG = RunConfig(n_splits=3, boost_rounds=8, hash_features=64, regularisation=0.05, step_size=0.3)
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +57,7 @@ def test_stage1_held_out_storage_and_test_mean(spark, rows):
     root = scratch_path(spark, "models")
     models.save_models(fitted, root, "r")
     models.save_models(fitted, root, "r")
-    again = models.predict_held_out(table, models.load_models(root, "r", 3), CONFIG)
+    again = models.predict_held_out(table, models.load_models(root, "r"), CONFIG)
     assert training.pooled_score(again) == pytest.approx(training.pooled_score(held_out))
 
     test = training.stage1_table(rows, CONFIG, ["student_id"])
@@ -65,36 +66,126 @@ def test_stage1_held_out_storage_and_test_mean(spark, rows):
     assert mean.where("content IS NULL OR wording IS NULL").count() == 0
 
 
-def test_boosting_stops_early_and_beats_the_mean(rows):
+def test_ridge_equals_linear_regression(spark):
+    """The same tf-idf weights, standardised, by the normal equations of Spark, for every fold, strength and target."""
+    from pyspark.ml.feature import IDF
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.sql.types import StructField, StructType
+
+    rng, features = random.Random(3), 24
+    made = []
+    for i in range(150):
+        slots = [rng.randint(0, features - 3) for _ in range(rng.randint(0, 12))] + [features - 1]  # one slot in all rows, one in none
+        made.append((str(i), i % 3, slots, float(slots.count(2) + rng.random()), 5.0 * slots.count(3) - len(slots) + rng.random()))
+    schema = "student_id string, fold int, slots array<int>, content double, wording double"
+    train = materialise(spark.createDataFrame(made, schema), "ridge").repartition(3)
+    got = ridge.solve(ridge.gram(train, features), features, 3, [0.03, 1.0]).collect()
+    assert len(got) == 12
+    vectors = [(r[1], Vectors.dense([float(r[2].count(k)) for k in range(features)]), r[3], r[4]) for r in made]
+    base = spark.createDataFrame([(f, c, w) for f, _, c, w in vectors], "fold int, content double, wording double")
+    fields = StructType([*base.schema.fields, StructField("counts", VectorUDT())])
+    table = spark.createDataFrame([(f, c, w, v) for f, v, c, w in vectors], fields)
+    for fold in range(3):
+        rows = table.where(F.col("fold") != fold)
+        weighting = IDF(inputCol="counts", outputCol="weighted").fit(rows)
+        ready = weighting.transform(rows).cache()
+        for r in (r for r in got if r["fold"] == fold):
+            fitted = LinearRegression(featuresCol="weighted", labelCol=r["target"], regParam=r["strength"], solver="normal").fit(ready)
+            want = fitted.coefficients.toArray() * weighting.idf.toArray()
+            assert max(abs(want - r["weights"])) < 1e-6 and r["intercept"] == pytest.approx(fitted.intercept, abs=1e-6)
+
+
+def test_sweep_costs_one_pass_and_equals_single_runs(rows):
+    table = models.by_fold(training.stage1_table(rows, CONFIG, ["student_id", *TARGETS, "fold"]), "swept")
+    tried = {r["value"]: r["mcrmse"] for r in models.sweep_strengths(table, CONFIG, [0.1, 5.0]).collect()}
+    for value, error in tried.items():
+        config = replace(CONFIG, regularisation=value)
+        held_out = models.predict_held_out(table, models.fit_stage1(table, config), config)
+        assert training.pooled_score(held_out) == pytest.approx(error, abs=1e-9)
+    assert tried[0.1] < tried[5.0]
+
+
+def test_stage1_reads_whole_texts(spark):
+    """The signal stands behind 600 other tokens."""
+    made = [(str(i), i % 3, "w " * 600 + "good " * (i % 5), float(i % 5), float(i % 5)) for i in range(60)]
+    df = spark.createDataFrame(made, "student_id string, fold int, input string, content double, wording double")
+    config = RunConfig(n_splits=3, hash_features=700, regularisation=0.01)
+    table = models.by_fold(ridge.token_slots(df, config).drop("input"), "long")
+    held_out = models.predict_held_out(table, models.fit_stage1(table, config), config)
+    assert training.pooled_score(held_out) < 0.3
+    with pytest.raises(ValueError):
+        ridge.gram(table, 100_000)
+
+
+def vectors_of(rows):
     vectors = models.assemble(rows, ["summary_length", "f2"]).select("student_id", *TARGETS, "fold", "vector")
-    table = models.by_fold(vectors, "vectors")
-    fitted = models.fit_boosted(table, CONFIG)
-    held_out = models.predict_held_out(table, fitted, CONFIG)
+    return models.by_fold(vectors, "vectors")
+
+
+def test_boosting_stops_early_and_beats_the_mean(spark, rows):
+    table, config = vectors_of(rows), replace(CONFIG, boost_rounds=30, patience=4)
+    fitted = models.fit_boosted(table, config)
+    held_out = models.predict_held_out(table, fitted, config)
     assert covers_each_row_once(held_out, rows)
-    assert training.pooled_score(held_out) < 0.7 * baseline(rows)
-    assert all(m.stages[-1].getNumTrees <= CONFIG.boost_rounds for m in fitted.values())
+    assert training.pooled_score(held_out) < 0.3 * baseline(rows)
+    assert all(0 < m.n_trees <= config.boost_rounds for m in fitted.values())
     history = materialise(models.eval_history(rows.sparkSession, fitted), "history")
     best = {(r["fold"], r["target"]): r["mse"] for r in models.best_rounds(history).collect()}
     for (fold, target), mse in best.items():
         errors = [r["mse"] for r in history.where((F.col("fold") == fold) & (F.col("target") == target)).orderBy("round").collect()]
-        assert mse == min(errors) and fitted[(target, fold)].stages[-1].getNumTrees == errors.index(mse) + 1
+        assert mse == min(errors) and fitted[(target, fold)].n_trees == errors.index(mse) + 1
+        assert len(errors) == config.boost_rounds or len(errors) - 1 - errors.index(mse) == config.patience
+        own = held_out.where((F.col("fold") == fold) & (F.col("target") == target))
+        assert own.agg(F.avg((F.col("pred") - F.col("y")) ** 2)).first()[0] == pytest.approx(mse)
+    root = scratch_path(spark, "models")
+    models.save_models(fitted, root, "b")
+    again = models.predict_held_out(table, models.load_models(root, "b"), config)
+    assert training.pooled_score(again) == pytest.approx(training.pooled_score(held_out))
 
 
-def test_patience_outlasts_a_slow_start():
-    errors = [1.0, 0.9995, 0.999, 0.6, 0.7, 0.65, 0.5, 0.5, 0.6, 0.7]
-    assert models.stopping_point(errors, 3) == (7, 10)
-    assert models.stopping_point(errors, 4) == (7, None)
-    assert models.stopping_point([1.0, 1.0, 1.1], 2) == (1, 3)
+def test_boosting_continues_where_it_stopped(rows):
+    """Errors of continued fits, in blocks of rounds or level by level, equal those of one long fit."""
+    names = ["f0", "f1"]
+    table = vectors_of(rows)
+    cuts = boosting.cut_points(table.select(*[F.get("vector", F.lit(k)).alias(n) for k, n in enumerate(names)]), names)
+    pairs = [(t, k) for t in TARGETS for k in range(3)]
+    long = models.boosted_rows(boosting.binned(table.select("fold", *TARGETS, "vector"), cuts), pairs)
+    whole = boosting.Boosting(long, cuts, CONFIG, block=100)
+    whole.advance(12)
+    want = {m: b.errors for m, b in whole.boosters.items()}
+    assert len(want) == 6 and all(len(e) == 12 and min(e) < e[0] for e in want.values())
+    for options in ({"block": 5}, {"block": 2, "task_cells": 0}):
+        parts = boosting.Boosting(long, cuts, CONFIG, **options)
+        parts.advance(3)
+        parts.advance(9)
+        for m, errors in want.items():
+            assert parts.boosters[m].errors == pytest.approx(errors, abs=1e-9)
 
 
-def test_stage1_reads_whole_texts(spark):
-    """The signal stands behind 600 other tokens; more features than normal equations allow."""
-    made = [(str(i), i % 3, "w " * 600 + "good " * (i % 5), float(i % 5), float(i % 5)) for i in range(60)]
-    df = spark.createDataFrame(made, "student_id string, fold int, input string, content double, wording double")
-    config = RunConfig(n_splits=3, hash_features=5000)
-    table = models.by_fold(models.token_counts(df, config).drop("input"), "long")
-    held_out = models.predict_held_out(table, models.fit_stage1(table, config), config)
-    assert training.pooled_score(held_out) < 0.3
+def test_patience_outlasts_a_slow_start():
+    errors = [1.0, 0.9995, 0.999, 0.6, 0.7, 0.65, 0.5, 0.5, 0.6, 0.7]
+    assert boosting.stopped(errors, 3) and not boosting.stopped(errors, 4) and not boosting.stopped(errors, None)
+    assert boosting.stopped([1.0, 1.0, 1.1], 2) and not boosting.stopped([1.0, 1.0], 2)
+
+
+def test_race_of_trials(spark, rows, monkeypatch):
+    """Trials whose blend holds the better model stay longest; every rung of a trial goes on from the last."""
+    monkeypatch.setattr(training.ft, "numeric_features", lambda df, feature_set, stacked=(): ["summary_length"])
+    truth = rows.select("student_id", F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in TARGETS])))
+    noise = F.pmod(F.xxhash64("student_id", "target"), F.lit(1000)) / 100.0
+    preds = truth.select("student_id", "target", F.explode(F.array(F.struct(F.lit("good").alias("model"), F.col("y").alias("pred")), F.struct(F.lit("poor").alias("model"), noise.alias("pred")))).alias("m"))
+    preds = materialise(preds.select("student_id", "target", "m.model", "m.pred"), "preds")
+    weights = [(n, m, w) for n in range(8) for m, w in (("good", 1.0 if n in (2, 5) else 0.0), ("poor", 0.0 if n in (2, 5) else 1.0 + n))]
+    trials = spark.createDataFrame([*weights, (8, "good", 1.0), (8, "poor", -1.0)], "trial int, model string, weight double")
+    cells = blend.gram(blend.to_matrix(preds, truth, ["good", "poor"], "student_id"), ["good", "poor"])
+    made = training.race(rows, cells, preds, trials, replace(CONFIG, boost_rounds=12, patience=5), "basic", first_rounds=2, finalists=2)
+    lines = {(r["trial"], r["rung"]): r for r in made.collect()}
+    assert {t for t, _ in lines} == set(range(8))  # weights that sum to zero make no trial
+    last = max(r for _, r in lines)
+    assert {t for t, r in lines if r == last} == {2, 5} and last == 2
+    assert all(lines[t, r]["mcrmse"] <= lines[t, r - 1]["mcrmse"] and lines[t, r]["rounds"] > lines[t, r - 1]["rounds"] for t, r in lines if r)
+    assert lines[2, 0]["blend_mcrmse"] == pytest.approx(0.0) and lines[2, 2]["mcrmse"] < 0.5 * lines[0, 0]["mcrmse"]
 
 
 def test_row_mean_skips_missing(spark):
@@ -103,9 +194,7 @@ def test_row_mean_skips_missing(spark):
     assert got == [2.5, None]
 
 
-def test_sweep_and_stacking(spark, rows):
-    tried = models.sweep(CONFIG, "regularisation", [0.5, 0.1, 0.9], lambda c: c.regularisation, spark)
-    assert [r["value"] for r in tried.orderBy("mcrmse").collect()] == [0.1, 0.5, 0.9]
+def test_stacking(spark, rows):
     preds = spark.createDataFrame([("1", "content", 0.25), ("1", "wording", 0.75)], "student_id string, target string, pred double")
     stacked = {r["student_id"]: (r["content_pred"], r["wording_pred"]) for r in models.stack(rows, preds).collect()}
     assert stacked.pop("1") == (0.25, 0.75) and len(stacked) == rows.count() - 1 and set(stacked.values()) == {(None, None)}
