@@ -27,7 +27,6 @@ class RunConfig:
     boost_rounds: int = 10000
     patience: int = 70
     min_instances: int = 5
-    parallelism: int = 4
     separator: str = "[SEP]"
 
     def to_frame(self, spark: SparkSession) -> DataFrame:

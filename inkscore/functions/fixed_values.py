@@ -180,3 +180,70 @@ TAG_RULES = (
     ("mark", (), "PUNCT"),
 )
 DEFAULT_TAG = "NN"
+
+# Column names of the feature tables, in their order. They are the tables' interface.
+ID_COLUMNS = (
+    "student_id",
+    "prompt_id",
+    "text",
+    "fixed_summary_text",
+    "prompt_question",
+    "prompt_title",
+    "prompt_text",
+)
+BASIC_FEATURES = (
+    "summary_length",
+    "splling_err_num",
+    "prompt_length",
+    "word_overlap_count",
+    "bigram_overlap_count",
+    "bigram_overlap_ratio",
+    "trigram_overlap_count",
+    "trigram_overlap_ratio",
+    "quotes_count",
+)
+ENRICHED_FEATURES = (
+    "summary_length",
+    "splling_err_num",
+    "prompt_length",
+    "gunning_fog_prompt",
+    "flesch_kincaid_grade_level_prompt",
+    "flesch_reading_ease_prompt",
+    "flesch_reading_ease",
+    "word_count",
+    "sentence_length",
+    "vocabulary_richness",
+    "word_count2",
+    "num_unq_words",
+    "num_chars",
+    "avg_word_length",
+    "comma_count",
+    "semicolon_count",
+    "length_ratio",
+    "word_overlap_count",
+    "bigram_overlap_count",
+    "bigram_overlap_ratio",
+    "trigram_overlap_count",
+    "trigram_overlap_ratio",
+    "quotes_count",
+    "exclamation_count",
+    "question_count",
+    "pos_mean",
+    "punctuation_sum",
+    "keyword_density",
+    "jaccard_similarity",
+    "sentiment_polarity",
+    "sentiment_subjectivity",
+    "text_similarity",
+    "gunning_fog",
+    "flesch_kincaid_grade_level",
+    "count_difficult_words",
+    "neg",
+    "neu",
+    "pos",
+    "compound",
+    "neg_prompt",
+    "neu_prompt",
+    "pos_prompt",
+    "compound_prompt",
+)

@@ -18,6 +18,8 @@ from .joins import lookup_join
 LETTER_RUN = r"[a-zA-Z]+"
 # Words longer than this are matched by shared segments, shorter ones by deletions.
 LONG_WORD = 24
+# Pairs of words that one task compares at a key; a key with more is split.
+PAIRS_OF_A_KEY = 200_000
 NUMBER_PATTERN = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -206,8 +208,24 @@ def correction_candidates(oov: DataFrame, vocabulary: DataFrame, distance: int =
     return near.groupBy("word", "candidate").agg(F.max("freq").alias("freq"))
 
 
-def _keyed_pairs(left: DataFrame, right: DataFrame, rows: int) -> DataFrame:
-    return spread(left, "key", rows=rows).join(spread(right, "key", rows=rows), "key").select("word", "candidate", "freq")
+def heavy_keys(left: DataFrame, right: DataFrame, pairs: int) -> DataFrame:
+    """(key, shares) of the keys at which more than ``pairs`` pairs meet: at most all pairs / ``pairs`` rows."""
+    words = left.groupBy("key").agg(F.count("*").alias("words"))
+    entries = right.groupBy("key").agg(F.count("*").alias("entries"))
+    shares = F.ceil(F.col("words") * F.col("entries") / pairs).cast("int")
+    return words.join(entries, "key").select("key", shares.alias("shares")).where("shares > 1")
+
+
+def _keyed_pairs(left: DataFrame, right: DataFrame, rows: int, pairs: int | None = None) -> DataFrame:
+    """Words and candidates of equal keys. Only a heavy key is split: its words are dealt to shares, its candidates go to all."""
+    heavy = materialise(heavy_keys(left, right, PAIRS_OF_A_KEY if pairs is None else pairs), "heavy-keys")
+    words = lookup_join(left, heavy, "key", "left", spread_by="word")
+    entries = lookup_join(right, heavy, "key", "left", spread_by="candidate")
+    share = F.pmod(F.xxhash64("word"), F.coalesce(F.col("shares"), F.lit(1))).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shares"), F.lit(1)) - 1))
+    words = words.select("word", "key", share.alias("share"))
+    entries = entries.select("candidate", "freq", "key", copies.alias("share"))
+    return spread(words, "key", "share", rows=rows).join(spread(entries, "key", "share", rows=rows), ["key", "share"]).select("word", "candidate", "freq")
 
 
 def best_candidates(candidates: DataFrame) -> DataFrame:

@@ -749,6 +749,12 @@ def weight_search(spark, sf):
     return rounded(blend.search_weights(gram_cells(spark, sf), formula_trials(spark)))
 
 
+@query
+def sampled_trials(spark, sf):
+    """500 draws of 17 weights in [-0.5, 1] by steps of 0.01."""
+    return rounded(blend.sampled_trials(spark, [f"model_{m:02d}" for m in range(1, 18)], 500))
+
+
 @query
 def best_trial(spark, sf):
     return rounded(blend.best_trials(weight_search(spark, sf)))
@@ -792,6 +798,17 @@ def run_report(spark, sf):
     return rounded(metrics.run_report(oof(spark, sf), RunConfig().to_frame(spark)))
 
 
+@query
+def runs_table(spark, sf):
+    """Runs kept in one table: a rerun replaces its own line, another name adds one."""
+    path = scratch_path(spark, "runs")
+    scored = oof(spark, sf)
+    first, again = RunConfig(), RunConfig(run_name="again")
+    for config in (first, again, first):
+        metrics.keep_run(metrics.run_report(scored, config.to_frame(spark)), path)
+    return rounded(spark.read.parquet(path).select("run_name", "content_rmse", "wording_rmse", "mcrmse", "patience"))
+
+
 @query
 def expand_targets(spark, sf):
     return b.truth_wide(spark, sf).unpivot("student_id", list(schemas.TARGETS), "target", "y")

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fv
 from ..functions import overlap as ov
 from ..functions import readability as rd
 from ..functions import tagging
@@ -22,22 +23,7 @@ from ..functions.lexicons import Lexicon
 from ..operators import spelling
 from ..operators.joins import join_prompt
 
-ID_COLUMNS = ("student_id", "prompt_id", "text", "fixed_summary_text", "prompt_question", "prompt_title", "prompt_text")
-
-# Names of the numeric features, in the order they are produced.
-BASIC = (
-    "summary_length splling_err_num prompt_length word_overlap_count bigram_overlap_count"
-    " bigram_overlap_ratio trigram_overlap_count trigram_overlap_ratio quotes_count"
-).split()
-ENRICHED = (
-    "summary_length splling_err_num prompt_length gunning_fog_prompt flesch_kincaid_grade_level_prompt"
-    " flesch_reading_ease_prompt flesch_reading_ease word_count sentence_length vocabulary_richness word_count2"
-    " num_unq_words num_chars avg_word_length comma_count semicolon_count length_ratio word_overlap_count"
-    " bigram_overlap_count bigram_overlap_ratio trigram_overlap_count trigram_overlap_ratio quotes_count"
-    " exclamation_count question_count pos_mean punctuation_sum keyword_density jaccard_similarity"
-    " sentiment_polarity sentiment_subjectivity text_similarity gunning_fog flesch_kincaid_grade_level"
-    " count_difficult_words neg neu pos compound neg_prompt neu_prompt pos_prompt compound_prompt"
-).split()
+BASIC, ENRICHED, ID_COLUMNS = list(fv.BASIC_FEATURES), list(fv.ENRICHED_FEATURES), fv.ID_COLUMNS
 FEATURE_SETS = {"basic": BASIC, "enriched": ENRICHED}
 
 CLEAN_NONE, CLEAN_FIXED, CLEAN_ALL = "none", "fixed_only", "all"

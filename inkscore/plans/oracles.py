@@ -540,3 +540,8 @@ ORACLES["weight_search_stacked"] = f"""WITH {TRIALS} SELECT trial, round(mcrmse,
   true AS scored, true AS never_worse, true AS left_as_worse, true AS every_rung FROM results"""
 ORACLES["param_sweep"] = """SELECT CAST(trial AS INTEGER) AS trial, value, true AS scored
 FROM (VALUES (0, 0.01::DOUBLE), (1, 0.03::DOUBLE), (2, 0.1::DOUBLE), (3, 0.3::DOUBLE), (4, 1.0::DOUBLE)) t(trial, value)"""
+ORACLES["sampled_trials"] = """SELECT CAST(t AS INTEGER) AS trial, model,
+  round(-0.5 + 0.01 * floor(('0x' || substr(md5('42:' || t || ':' || model), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * 151), 6) AS weight
+FROM range(500) r(t), (SELECT 'model_' || lpad(m::VARCHAR, 2, '0') AS model FROM range(1, 18) s(m))"""
+ORACLES["runs_table"] = f"""SELECT run_name, content_rmse, wording_rmse, mcrmse, patience FROM ({ORACLES['run_report']})
+UNION ALL SELECT 'again', content_rmse, wording_rmse, mcrmse, patience FROM ({ORACLES['run_report']})"""

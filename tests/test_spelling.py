@@ -31,6 +31,23 @@ def vocabulary_frame(spark, freqs):
     return spark.createDataFrame(list(freqs.items()), "word string, freq bigint")
 
 
+def test_heavy_keys_are_split(spark, monkeypatch):
+    """Many short unknown words meet at few keys; split into shares they give the same pairs, each once."""
+    rng = random.Random(5)
+    unknown = {"".join(rng.choice(LETTERS) for _ in range(2)) for _ in range(300)} | {"".join(rng.choice("abc") for _ in range(5)) for _ in range(60)}
+    known = {"".join(rng.choice(LETTERS) for _ in range(2)) for _ in range(60)} - unknown
+    oov = spark.createDataFrame([(w,) for w in sorted(unknown)], "word string")
+    vocabulary = vocabulary_frame(spark, {w: 5 for w in known})
+    whole = sorted(map(tuple, sp.correction_candidates(oov, vocabulary, 2).collect()))
+    monkeypatch.setattr(sp, "PAIRS_OF_A_KEY", 50)
+    assert sorted(map(tuple, sp.correction_candidates(oov, vocabulary, 2).collect())) == whole and len(whole) > 1000
+    left = spark.createDataFrame([(f"w{k}", "hot") for k in range(400)] + [("v", "cold")], "word string, key string")
+    right = spark.createDataFrame([(f"c{k}", 1, key) for k in range(10) for key in ("hot", "cold")], "candidate string, freq int, key string")
+    assert [tuple(r) for r in sp.heavy_keys(left, right, 500).collect()] == [("hot", 8)]
+    pairs = sp._keyed_pairs(left, right, 400, 500)
+    assert pairs.count() == pairs.distinct().count() == 4010
+
+
 @pytest.mark.parametrize("distance", [1, 2])
 def test_candidates_equal_brute_force(spark, distance):
     rng = random.Random(distance)

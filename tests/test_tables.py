@@ -170,7 +170,7 @@ def test_blends(spark, scored):
 def test_weight_search_equals_blending_each_trial(spark, scored):
     models = ["a", "upload_model/b", "c_clean_text"]
     preds, truth = scored.select("row_id", "model", "target", "pred"), scored.select("row_id", "target", "y").distinct()
-    trials = blend.random_trials(spark, models, 6).unionByName(
+    trials = blend.sampled_trials(spark, models, 6).unionByName(
         blend.weight_table(spark, {"a": 1.0, "upload_model/b": -1.0, "c_clean_text": 0.0}).withColumn("trial", F.lit(99))
     )
     assert all(-0.5 <= r["weight"] <= 1.0 for r in trials.where("trial < 99").collect())
@@ -186,6 +186,27 @@ def test_weight_search_equals_blending_each_trial(spark, scored):
     assert best["mcrmse"] == min(got.values())
 
 
+def test_sampled_trials_do_not_depend_on_partitions(spark):
+    models = [f"m{k}" for k in range(5)]
+    many = {(r["trial"], r["model"]): r["weight"] for r in blend.sampled_trials(spark, models, 200).collect()}
+    few = {(r["trial"], r["model"]): r["weight"] for r in blend.sampled_trials(spark, models[:2], 50).repartition(7).collect()}
+    assert len(many) == 1000 and all(many[k] == w for k, w in few.items())
+    assert all(-0.5 <= w <= 1.0 and abs(w * 100 - round(w * 100)) < 1e-9 for w in many.values())
+    assert len(set(many.values())) > 120 and abs(sum(many.values()) / 1000 - 0.25) < 0.05
+    other = {(r["trial"], r["model"]): r["weight"] for r in blend.sampled_trials(spark, models, 200, seed=1, step=None).collect()}
+    assert all(-0.5 <= w <= 1.0 for w in other.values()) and len(set(other.values())) == 1000
+
+
+def test_a_rerun_replaces_its_line(spark, scored, tmp_path):
+    path = str(tmp_path / "runs")
+    report = metrics.mcrmse(scored)
+    for name, factor in (("a", 1.0), ("b", 1.0), ("a", 2.0)):
+        metrics.keep_run(report.withColumns({"mcrmse": F.col("mcrmse") * factor, "run_name": F.lit(name)}), path)
+    lines = {r["run_name"]: r["mcrmse"] for r in spark.read.parquet(path).collect()}
+    want = report.first()["mcrmse"]
+    assert lines == pytest.approx({"a": 2 * want, "b": want})
+
+
 def test_wide_blend_needs_no_grouping(spark):
     wide = spark.createDataFrame([(1, 1.0, 2.0, 3.0, 4.0)], "row_id bigint, m1_content_pred double, m1_wording_pred double, m2_content_pred double, m2_wording_pred double")
     made = blend.blend_wide(wide, {"m1": 3.0, "m2": 1.0})
