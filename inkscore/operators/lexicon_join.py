@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,11 +56,6 @@ def phrases(text: str, lengths: list[int]):
     return F.array_distinct(F.flatten(F.array(*[tk.ngrams(token_array, n) for n in lengths])))
 
 
-def _spoken(text: str):
-    """The lower-cased tokens with one space before, between and after them."""
-    return F.concat(F.lit(" "), F.array_join(tk.tokens(F.lower(text)), " "), F.lit(" "))
-
-
 def prompt_entities(prompts: DataFrame, gazetteer: DataFrame, text: str = "prompt_text") -> DataFrame:
     """(prompt_id, entities): array of the (phrase, label) pairs found in each passage.
 
@@ -70,25 +69,75 @@ def prompt_entities(prompts: DataFrame, gazetteer: DataFrame, text: str = "promp
     return found.groupBy("prompt_id").agg(F.collect_list(F.struct("phrase", "label")).alias("entities"))
 
 
+def trie(names: Iterable[tuple[str, str]]) -> dict:
+    """Phrases as paths of tokens; the node that a phrase ends at holds its labels under the empty token."""
+    root: dict = {}
+    for phrase, label in names:
+        node = root
+        for token in phrase.split(" "):
+            node = node.setdefault(token, {})
+        node.setdefault("", []).append(label)
+    return root
+
+
+def spoken(root: dict, tokens: Sequence[str]) -> Counter:
+    """Number of different names by label among the tokens: from each token on, as far as the trie goes."""
+    found: dict[int, list[str]] = {}
+    for at in range(len(tokens)):
+        node = root
+        for token in tokens[at:] if at else tokens:
+            node = node.get(token)
+            if node is None:
+                break
+            if "" in node:
+                found[id(node)] = node[""]
+    return Counter(label for labels in found.values() for label in labels)
+
+
 def entity_overlap(
-    summaries: DataFrame, prompts: DataFrame, gazetteer: DataFrame, key: str = "student_id", text: str = "text"
+    summaries: DataFrame,
+    prompts: DataFrame,
+    gazetteer: DataFrame,
+    key: str = "student_id",
+    text: str = "text",
+    answers_per_trie: int = 50_000,
 ) -> DataFrame:
     """(key, label, n_common): entities of the passage that the answer names too.
 
-    An entity counts only if the passage has it, so the gazetteer is joined to the
-    passages alone and each answer is compared with its passage inside the row.
+    An entity counts only if the passage has it, so the gazetteer is joined to the passages alone. A passage's names reach
+    its answers as one row ahead of them, by a sort, and become a trie that each answer's tokens walk once: what an answer
+    costs does not depend on how many names there are. A passage of more than ``answers_per_trie`` answers is split into
+    shares, each with its own copy of the names.
     """
     entities = materialise(prompt_entities(prompts, gazetteer), "entities")
-    paired = lookup_join(
-        summaries.select(key, "prompt_id", _spoken(text).alias("_spoken")),
-        entities,
-        "prompt_id",
-        "inner",
-        spread_by=key,
+    answers = summaries.select(key, "prompt_id", tk.tokens(F.lower(text)).alias("tokens"))
+    loads = answers.groupBy("prompt_id").agg(F.ceil(F.count("*") / answers_per_trie).cast("int").alias("shares"))
+    loads = materialise(loads.where("shares > 1"), "entity-shares")
+    answers = lookup_join(answers, loads, "prompt_id", "left", spread_by=key)
+    shares = F.coalesce(F.col("shares"), F.lit(1))
+    named = lookup_join(entities, loads, "prompt_id", "left").select("prompt_id", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), "entities")
+    rows = answers.select("prompt_id", F.pmod(F.xxhash64(key), shares).cast("int").alias("share"), key, "tokens").join(
+        named.select("prompt_id").distinct(), "prompt_id", "left_semi"
     )
-    kept = F.filter("entities", lambda e: F.contains(F.col("_spoken"), F.concat(F.lit(" "), e["phrase"], F.lit(" "))))
-    return (
-        paired.select(key, F.inline(kept))
-        .groupBy(key, "label")
-        .agg(F.count(F.lit(1)).alias("n_common"))
+    both = named.select("prompt_id", "share", F.lit(0).alias("kind"), F.lit(None).cast(rows.schema[key].dataType).alias(key), F.lit(None).cast("array<string>").alias("tokens"), "entities").unionByName(
+        rows.select("prompt_id", "share", F.lit(1).alias("kind"), key, "tokens", F.lit(None).cast(named.schema["entities"].dataType).alias("entities"))
     )
+    ordered = both.repartition("prompt_id", "share").sortWithinPartitions("prompt_id", "share", "kind")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+        for batch in batches:
+            at, labels, numbers = [], [], []
+            for n, (kind, tokens, names) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 4, 5)), strict=True)):
+                if kind == 0:
+                    root = trie((e["phrase"], e["label"]) for e in names)
+                    continue
+                for label, number in spoken(root, tokens or []).items():
+                    at.append(n)
+                    labels.append(label)
+                    numbers.append(number)
+            columns = [batch.column(3).take(pa.array(at, pa.int64())), pa.array(labels, pa.string()), pa.array(numbers, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "label", "n_common"])
+
+    made = ordered.mapInArrow(walk, rows.select(key).schema.add("label", "string").add("n_common", "long"))
+    return made.groupBy(key, "label").agg(F.sum("n_common").alias("n_common"))

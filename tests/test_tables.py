@@ -129,6 +129,26 @@ def test_entity_overlap_by_label(spark, answers, prompts):
     assert got == {("1", "ANIMAL"): 1, ("1", "PET"): 1, ("2", "ANIMAL"): 1, ("5", "ANIMAL"): 1, ("5", "PET"): 1, ("6", "LONG"): 1, ("6", "ANIMAL"): 2, ("6", "PET"): 1}
 
 
+def test_ten_thousand_names_and_a_split_passage(spark):
+    """Overlapping names of several lengths, against a search for each name in each answer."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(120)]
+    names = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(10_500)})[:10_000]
+    gazetteer = spark.createDataFrame([(n, rng.choice(["PERSON", "ORG"])) for n in names] + [(names[0], "BOTH")], "phrase string, label string")
+    passage = " . ".join(names)
+    prompts = spark.createDataFrame([("p", passage), ("q", "nothing here")], "prompt_id string, prompt_text string")
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, "", names[0].upper()]
+    answers = spark.createDataFrame([(str(k), "p" if k % 9 else "q", t) for k, t in enumerate(texts)] + [("x", "gone", "w1")], "student_id string, prompt_id string, text string")
+    labels = [(r["phrase"], r["label"]) for r in gazetteer.collect()]
+    want = {}
+    for k, t in enumerate(texts):
+        for phrase, label in labels if k % 9 and t else []:
+            if f" {phrase} " in f" {t.lower()} ":
+                want[str(k), label] = want.get((str(k), label), 0) + 1
+    made = lexicon_join.entity_overlap(answers, prompts, gazetteer, answers_per_trie=20)
+    assert {(r["student_id"], r["label"]): r["n_common"] for r in made.collect()} == want and len(want) > 100
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     rng = random.Random(5)
