@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import joins, spelling
-from ..session import materialise
+from ..session import materialise, shared_dir
 
 N_MODELS = 12
 PREFIX = "upload_model/"
@@ -184,9 +184,19 @@ def scored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def feature_table(spark: SparkSession, sf_dir: str, options) -> DataFrame:
-    """The complete feature table of all answers with targets where they exist, written once."""
+def feature_table(spark: SparkSession, sf_dir: str, options, n_splits: int, root: str | None = None) -> tuple[DataFrame, bool]:
+    """The complete feature table of all answers, targets and folds where they exist, and whether it was in the cache."""
+    from ..operators import folds
+    from ..sources.tables import cached_features
     from .features import build_features
 
-    answers = summaries(spark, sf_dir).join(truth_wide(spark, sf_dir), "student_id", "left")
-    return materialise(build_features(answers, prompts(spark, sf_dir), base_vocabulary(spark, sf_dir), options), "features")
+    def build() -> DataFrame:
+        answers = summaries(spark, sf_dir).join(truth_wide(spark, sf_dir), "student_id", "left")
+        made = materialise(build_features(answers, prompts(spark, sf_dir), base_vocabulary(spark, sf_dir), options), "features")
+        train = folds.group_kfold(made.where("content IS NOT NULL"), "prompt_id", n_splits, spread_by="student_id")
+        return train.unionByName(made.where("content IS NULL").withColumn("fold", F.lit(None).cast("int")))
+
+    inputs = [table(spark, sf_dir, name) for name in ("documents", "benchmark", "labels")]
+    root = root or f"{shared_dir(spark)}/inkscore/feature-cache"
+    made, there = cached_features(spark, root, inputs, (options, n_splits), build)
+    return made.withColumn("fold", F.col("fold").cast("int")), there

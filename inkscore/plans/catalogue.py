@@ -104,14 +104,14 @@ def scan_summaries(spark, sf):
 
 @query
 def feature_cache(spark, sf):
-    path = scratch_path(spark, "feature-cache")
-    counted = b.summaries(spark, sf).select(
-        "student_id",
-        tk.token_length(text()).alias("summary_length"),
-        F.pmod(F.col("student_id").cast("bigint"), F.lit(4)).cast("int").alias("fold"),
-    )
-    tables.write_features(counted, path)
-    return tables.read_features(spark, path)
+    """The complete table by fold: built, found again, and missed under another option."""
+    root = scratch_path(spark, "feature-cache")
+    _, before = b.feature_table(spark, sf, OPTIONS["enriched"], 4, root)
+    made, after = b.feature_table(spark, sf, OPTIONS["enriched"], 4, root)
+    inputs = [b.table(spark, sf, name) for name in ("documents", "benchmark", "labels")]
+    moved = tables.fingerprint(inputs, (OPTIONS["enriched"], 4)) != tables.fingerprint(inputs, (OPTIONS["enriched"], 5))
+    found = made.where("fold IS NOT NULL").drop("prompt_question", "prompt_title", "prompt_text")
+    return rounded(found).withColumn("found_again", F.lit(after and not before and moved))
 
 
 @query
@@ -586,10 +586,9 @@ def feature_build(spark, sf):
 
 
 def both_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """The complete enriched features of scored answers, with folds, and of the others."""
-    made = b.feature_table(spark, sf, OPTIONS["enriched"])
-    train = folds.group_kfold(made.where("content IS NOT NULL"), "prompt_id", MODEL_RUN.n_splits, spread_by="student_id")
-    return train, made.where("content IS NULL").drop(*schemas.TARGETS)
+    """The complete enriched features of scored answers, with folds, and of the others; built once for all model queries."""
+    made, _ = b.feature_table(spark, sf, OPTIONS["enriched"], MODEL_RUN.n_splits)
+    return made.where("fold IS NOT NULL"), made.where("fold IS NULL").drop("fold", *schemas.TARGETS)
 
 
 def train_table(spark, sf) -> DataFrame:

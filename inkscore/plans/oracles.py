@@ -321,8 +321,6 @@ def grams(n: int) -> str:
 ORACLES: dict[str, str] = {
     "scan_prompts": f"WITH {TEXTS} SELECT * FROM prompts",
     "scan_summaries": f"WITH {TEXTS} SELECT student_id, prompt_id, text, content, wording FROM summaries LEFT JOIN truth USING (student_id)",
-    "feature_cache": f"WITH {TEXTS} SELECT student_id, len(regexp_extract_all(text, {TOKEN})) AS summary_length,"
-    " CAST(CAST(student_id AS BIGINT) % 4 AS INTEGER) AS fold FROM summaries",
     "pred_table_scan": f"WITH {PREDS} SELECT row_id, model, target, pred FROM scored",
     "pred_table_sink": f"WITH {PREDS} SELECT row_id, model, target, pred FROM scored",
     "submission": f"""WITH {PREDS} SELECT CAST(row_id AS VARCHAR) AS student_id,
@@ -545,3 +543,5 @@ ORACLES["sampled_trials"] = """SELECT CAST(t AS INTEGER) AS trial, model,
 FROM range(500) r(t), (SELECT 'model_' || lpad(m::VARCHAR, 2, '0') AS model FROM range(1, 18) s(m))"""
 ORACLES["runs_table"] = f"""SELECT run_name, content_rmse, wording_rmse, mcrmse, patience FROM ({ORACLES['run_report']})
 UNION ALL SELECT 'again', content_rmse, wording_rmse, mcrmse, patience FROM ({ORACLES['run_report']})"""
+ORACLES["feature_cache"] = f"""{FOLDED} SELECT f.*, folded.fold, true AS found_again
+FROM ({ORACLES['feature_build']}) f JOIN folded ON folded.student_id = f.student_id"""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,37 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def fingerprint(inputs: Sequence[DataFrame], options: object) -> str:
+    """A key of the inputs' rows, in any order, their columns, and the options; one aggregate for each input."""
+    said = [repr(options)]
+    for df in inputs:
+        row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        found = df.agg(F.count("*"), F.sum(row.cast("decimal(20,0)")), F.bit_xor(row)).first()
+        said.append(f"{df.schema.simpleString()} {tuple(map(str, found))}")
+    return hashlib.sha256("\n".join(said).encode()).hexdigest()[:32]
+
+
+def _is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` was completed; one that broke off leaves no mark of success."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def cached_features(
+    spark: SparkSession, root: str, inputs: Sequence[DataFrame], options: object, build: Callable[[], DataFrame]
+) -> tuple[DataFrame, bool]:
+    """The table that ``build`` makes of the inputs under the options, and whether it was there already.
+
+    Tables stand under ``root`` by the fingerprint of what they were made from: changed rows, columns or options have another
+    place, so a stale table is never read, and a table that was only written in part is written anew.
+    """
+    path = f"{root}/{fingerprint(inputs, options)}"
+    there = _is_written(spark, path)
+    if not there:
+        write_features(build(), path)
+    return read_features(spark, path), there
+
+
 def melt_predictions(wide: DataFrame, row_id: str = "row_id", targets: Sequence[str] = schemas.TARGETS) -> DataFrame:
     """Wide table with ``{model}_{target}_pred`` columns to (row_id, model, target, pred)."""
     pattern = rf"^(.*)_({'|'.join(targets)})_pred$"

@@ -1,6 +1,7 @@
 """Joins, metrics, blending, sources and the stream, on hand-made tables."""
 
 import math
+import os
 import random
 
 import pytest
@@ -266,6 +267,31 @@ def test_prediction_sink_replaces_only_the_given_models(spark, scored):
     assert back.where("model = 'a' AND pred = 7.0").count() == 80 and back.where("pred = 7.0").count() == 80
 
 
+def test_feature_cache_by_fingerprint(spark, tmp_path):
+    root, built = str(tmp_path / "cache"), []
+
+    def ask(rows, options):
+        df = spark.createDataFrame(rows, "id int, text string")
+
+        def build():
+            built.append(options)
+            return df.withColumn("fold", F.col("id") % 2)
+
+        made, there = tables.cached_features(spark, root, [df], options, build)
+        return sorted(map(tuple, made.select("id", "text", "fold").collect())), there
+
+    rows = [(1, "a"), (2, None), (3, "c")]
+    first = ask(rows, ("enriched", 4))
+    assert first == ([(1, "a", 1), (2, None, 0), (3, "c", 1)], False)
+    assert ask(rows[::-1], ("enriched", 4)) == (first[0], True) and len(built) == 1
+    assert not ask(rows, ("enriched", 5))[1] and not ask([*rows, (3, "c")], ("enriched", 4))[1] and len(built) == 3
+    key = tables.fingerprint([spark.createDataFrame(rows, "id int, text string")], ("enriched", 4))
+    os.remove(f"{root}/{key}/_SUCCESS")
+    assert not ask(rows, ("enriched", 4))[1] and ask(rows, ("enriched", 4)) == (first[0], True)
+    plan = tables.read_features(spark, f"{root}/{key}").where("fold = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(fold" in plan
+
+
 def test_feature_cache_prunes_folds(spark):
     path = scratch_path(spark, "features")
     tables.write_features(spark.range(20).withColumn("fold", (F.col("id") % 4).cast("int")), path)
