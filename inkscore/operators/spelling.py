@@ -208,12 +208,23 @@ def correction_candidates(oov: DataFrame, vocabulary: DataFrame, distance: int =
     return near.groupBy("word", "candidate").agg(F.max("freq").alias("freq"))
 
 
-def heavy_keys(left: DataFrame, right: DataFrame, pairs: int) -> DataFrame:
-    """(key, shares) of the keys at which more than ``pairs`` pairs meet: at most all pairs / ``pairs`` rows."""
-    words = left.groupBy("key").agg(F.count("*").alias("words"))
-    entries = right.groupBy("key").agg(F.count("*").alias("entries"))
-    shares = F.ceil(F.col("words") * F.col("entries") / pairs).cast("int")
-    return words.join(entries, "key").select("key", shares.alias("shares")).where("shares > 1")
+def heavy_keys(left: DataFrame, right: DataFrame, pairs: int, buckets: int = 1 << 20) -> DataFrame:
+    """(key, shares) of the keys at which more than ``pairs`` pairs meet: at most all pairs / ``pairs`` rows.
+
+    Rows are counted by ``buckets`` hashes of the key first, which bounds the pairs of every key from above; keys themselves are
+    counted in the buckets that may hold a heavy one.
+    """
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
+
+    def counted(by, words: DataFrame, entries: DataFrame) -> DataFrame:
+        words = words.groupBy(by).agg(F.count("*").alias("words"))
+        entries = entries.groupBy(by).agg(F.count("*").alias("entries"))
+        both = words.join(entries, words.columns[0])
+        return both.withColumn("shares", F.ceil(F.col("words") * F.col("entries") / pairs).cast("int")).where("shares > 1")
+
+    open_ = materialise(counted("bucket", left.select(bucket), right.select(bucket)).select("bucket"), "heavy-buckets")
+    some = [lookup_join(side.select("key", bucket), open_, "bucket", "left_semi", spread_by="key") for side in (left, right)]
+    return counted("key", *some).select("key", "shares")
 
 
 def _keyed_pairs(left: DataFrame, right: DataFrame, rows: int, pairs: int | None = None) -> DataFrame:
