@@ -10,7 +10,7 @@ their class worst (k times the length is smallest), and those that are too few f
 not placed but cut: their ids run, one document after the other, through the room that the placed ones leave. As many
 are taken as that room needs. What they hold beyond it makes further full sequences and at last, for fewer ids than the
 capacity, one sequence for each power of two in their number. Every sequence is thus full or a power of two long, so
-nothing is padded, at most ten short sequences end a group, and about one document is cut for each sequence with room.
+nothing is padded, at most eleven short sequences end a group, and about one document is cut for each sequence with room.
 
 Null texts are empty: a document of the end mark alone. Repeated rows, and rows without doc_id, are documents of their
 own; an empty table has no pieces. Other columns are not read. A text is encoded whole, however long it is.
