@@ -83,14 +83,12 @@ def trie(names: Iterable[tuple[str, str]]) -> dict:
 def spoken(root: dict, tokens: Sequence[str]) -> Counter:
     """Number of different names by label among the tokens: from each token on, as far as the trie goes."""
     found: dict[int, list[str]] = {}
-    for at in range(len(tokens)):
-        node = root
-        for token in tokens[at:] if at else tokens:
-            node = node.get(token)
-            if node is None:
-                break
+    for at, token in enumerate(tokens):
+        node, to = root.get(token), at + 1
+        while node is not None:
             if "" in node:
                 found[id(node)] = node[""]
+            node, to = node.get(tokens[to]) if to < len(tokens) else None, to + 1
     return Counter(label for labels in found.values() for label in labels)
 
 
