@@ -16,7 +16,7 @@ from ..functions import tokens as tk
 from ..functions.cleaning import clean_text as clean_column
 from ..functions.lets import long_size, ratio
 from ..functions.lexicons import Lexicon
-from ..operators import blend, folds, joins, lexicon_join, metrics, models, scoring, spelling
+from ..operators import blend, folds, joins, lexicon_join, metrics, models, nested, scoring, spelling
 from ..session import materialise, scratch_path
 from ..sources import schemas, tables
 from . import bindings as b
@@ -669,6 +669,31 @@ def gbt_oof(spark, sf):
     return held_out_flags(held_out, table, fitted).join(F.broadcast(beats_means(held_out)))  # one row
 
 
+@query
+def gbt_nested(spark, sf):
+    """Per target and held-out fold: sizes of both sides, and what must hold of the rounds chosen by the inner folds.
+
+    The score taken with an inner stop is not below the one with the stop on the judging fold, and the error of the rows
+    scored anew by the cut booster is the error that was seen while it grew. No passage is on two sides.
+    """
+    train = train_table(spark, sf)
+    vectors = models.assemble(train, ft.numeric_features(train, "enriched")).select("student_id", *schemas.TARGETS, "fold", "vector")
+    table = models.by_fold(vectors, "nested")
+    fitted, choices = nested.fit(table, MODEL_RUN)
+    held_out = models.predict_held_out(table, fitted, MODEL_RUN)
+    again = held_out.groupBy("target", "fold").agg(F.avg((F.col("y") - F.col("pred")) ** 2).alias("again"))
+    sides = train.groupBy("prompt_id").agg(F.count_distinct("fold").alias("n")).agg((F.max("n") == 1).alias("groups_apart"))
+    inner, own = nested.scores(choices)
+    made = nested.choices_table(spark, choices).join(again, ["target", "fold"]).join(F.broadcast(sides))  # one row
+    learnt = F.sum("held_rows").over(W.partitionBy("target")) - F.col("held_rows")
+    return made.select(
+        "target", "fold", "held_rows", learnt.alias("learnt_rows"), "groups_apart",
+        (F.col("rounds") >= 1).alias("rounds_chosen"),
+        ((F.col("mse") >= F.col("own_mse")) & F.lit(inner >= own)).alias("not_below_own_stop"),
+        (F.abs(F.col("again") - F.col("mse")) < 1e-9).alias("recomputed"),
+    )
+
+
 @query
 def gbt_test_mean(spark, sf):
     train, test = both_tables(spark, sf)

@@ -534,6 +534,9 @@ ORACLES |= {
     "best_checkpoint": f"{FOLDED} SELECT target, fold, true AS kept FROM {EACH_MODEL}",
     "model_store": f"{FOLDED} SELECT student_id, target, true AS same FROM longer",
 }
+ORACLES["gbt_nested"] = f"""{FOLDED} SELECT target, fold, count(*) AS held_rows,
+  CAST(sum(count(*)) OVER (PARTITION BY target) - count(*) AS BIGINT) AS learnt_rows, true AS groups_apart, true AS rounds_chosen,
+  true AS not_below_own_stop, true AS recomputed FROM longer GROUP BY target, fold"""
 ORACLES["weight_search_stacked"] = f"""WITH {TRIALS} SELECT trial, round(mcrmse, 6) AS blend_mcrmse,
   true AS scored, true AS never_worse, true AS left_as_worse, true AS every_rung FROM results"""
 ORACLES["param_sweep"] = """SELECT CAST(trial AS INTEGER) AS trial, value, true AS scored
