@@ -12,6 +12,11 @@ from .lets import let, ratio, sql_list, total
 
 Entry = tuple[str, float, float, float]
 
+#: The column that holds an answer's known words, and the values that each has (see ``operators.word_values``).
+SCORED = "_scored"
+ROW_VALUES = (("polarity", "double"), ("subjectivity", "double"), ("valence", "double"), ("syllables", "bigint"))
+_KNOWN_TYPE = f"array<struct<word: string, n: bigint, {', '.join(f'{n}: {kind}' for n, kind in ROW_VALUES)}, rule: bigint>>"
+
 
 class Lexicon:
     """Entries (word, polarity, subjectivity, valence) held as literals of the plan.
@@ -75,3 +80,37 @@ def valence_struct(positive: Column, negative: Column, neutral: Column, valence:
         (valence / F.sqrt(valence * valence + F.lit(fv.COMPOUND_ALPHA))).alias("compound"),
     )
 
+
+def known_words(word_column: str) -> Column:
+    """The array of known words and their values; empty where there are none, NULL where there is no text."""
+    return F.when(F.col(word_column).isNotNull(), F.coalesce(F.col(SCORED), F.array().cast(_KNOWN_TYPE)))
+
+
+class RowLexicon:
+    """The scores of ``Lexicon`` from words and values that stand in the row already, for tables of any size."""
+
+    def known(self, word_column: str) -> Column:
+        return known_words(word_column)
+
+    def polarity(self, known: Column) -> Column:
+        """Struct of mean polarity and mean subjectivity over all known words, 0 without any."""
+
+        def mean(name: str) -> Column:
+            own = F.filter(known, lambda e: e[name].isNotNull())
+            sums = total(F.transform(own, lambda e: e["n"] * e[name]), F.lit(0.0))
+            return F.when(known.isNotNull(), F.coalesce(ratio(sums, total(F.transform(own, lambda e: e["n"]))), F.lit(0.0)))
+
+        return F.struct(mean("polarity").alias("polarity"), mean("subjectivity").alias("subjectivity"))
+
+    def valence(self, known: Column, n_words: Column) -> Column:
+        """As ``Lexicon.valence``."""
+
+        def weighed(keep, weight) -> Column:
+            return total(F.transform(F.filter(known, lambda e: keep(e["valence"])), lambda e: e["n"] * weight(e["valence"])), F.lit(0.0))
+
+        return valence_struct(
+            positive=weighed(lambda v: v > 0, lambda v: v + 1.0),
+            negative=weighed(lambda v: v < 0, lambda v: 1.0 - v),
+            neutral=n_words - weighed(lambda v: v != 0, lambda v: F.lit(1.0)),
+            valence=weighed(lambda v: v != 0, lambda v: v),
+        )

@@ -2,7 +2,8 @@
 
 A word is a run of letters, marks and digits. It has one syllable per group of
 vowels and at least one. All counts come from the whole text in a few regular
-expression passes; no array of words is built.
+expression passes; words are not looked at one by one. Words whose syllables do not
+follow the rule are corrected by the difference (``corrected``).
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .lets import ratio
+from .lets import ratio, total
 
 VOWELS = "aeiouyAEIOUY"
 _OTHER = rf"[{fv.WORD_CHARS}&&[^{VOWELS}]]"
@@ -57,6 +58,21 @@ def counts(text: Column) -> Column:
     )
 
 
+def corrected(c: Column, known: Column) -> Column:
+    """The counts with the syllables that ``known`` words have by a table instead of by the rule."""
+    own = F.filter(known, lambda e: e["syllables"].isNotNull())
+
+    def long(n: Column) -> Column:
+        return (n >= fv.COMPLEX_WORD_SYLLABLES).cast("bigint")
+
+    return F.struct(
+        c["sentences"].alias("sentences"),
+        c["words"].alias("words"),
+        (c["syllables"] + total(F.transform(own, lambda e: e["n"] * (e["syllables"] - e["rule"])))).alias("syllables"),
+        (c["long_words"] + total(F.transform(own, lambda e: e["n"] * (long(e["syllables"]) - long(e["rule"]))))).alias("long_words"),
+    )
+
+
 def _guarded(c: Column, formula: Column) -> Column:
     empty = (c["sentences"] == 0) | (c["words"] == 0)
     return F.when(c.isNull(), None).when(empty, F.lit(0.0)).otherwise(formula)

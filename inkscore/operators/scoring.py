@@ -6,10 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import tokens as tk
+
 
 def score_partitions(
     df: DataFrame,
@@ -38,22 +41,45 @@ def score_partitions(
     return slim.mapInPandas(run, schema)
 
 
-def score_with_settings(
-    df: DataFrame, settings: DataFrame, text: str, keys: Sequence[str], score: Callable[[Any], Any]
+def score_models(
+    df: DataFrame,
+    settings: DataFrame,
+    load: Callable[[dict], Any],
+    predict: Callable[[Any, list[list[str]]], Any],
+    text: str,
+    keys: Sequence[str],
+    most_models: int = 1000,
 ) -> DataFrame:
-    """Score each row once per model of a settings table (model, max_length).
+    """(keys, model, pred): every row once per model of a settings table, all models in one pass over the rows.
 
-    The settings table has one row per model and is small; each model sees the
-    first ``max_length`` tokens of the text.
+    ``settings`` has a row per model (at most ``most_models``, checked): model, max_length (tokens that the model reads; 0 or
+    NULL for all), batch_size (rows that it gets at once; 0 or NULL for a whole Arrow batch) and whatever else ``load`` needs.
+    ``load`` gets such a row and runs once per task and model, on the executor; ``predict`` gets the token lists of a batch
+    and returns as many numbers. A NULL text is not shown to a model and has the prediction NULL. Texts are cut into tokens
+    once, and only up to the longest length asked for; memory is bounded by an Arrow batch of them.
     """
-    from ..functions import tokens as tk
-
-    rows = [r.asDict() for r in settings.select("model", "max_length").collect()]
-    entries = [
-        F.struct(
-            F.lit(r["model"]).alias("model"),
-            score(F.slice(F.col("_all_tokens"), 1, int(r["max_length"]))).cast("double").alias("pred"),
-        )
-        for r in rows
-    ]
-    return df.withColumn("_all_tokens", tk.tokens(F.col(text))).select(*keys, F.inline(F.array(*entries)))
+    rows = [r.asDict() for r in settings.limit(most_models + 1).collect()]
+    if len(rows) > most_models or len({r["model"] for r in rows}) < len(rows):
+        raise ValueError(f"settings need a row per model, at most {most_models}")
+    lengths = [r["max_length"] or 0 for r in rows]
+    tokens = tk.tokens(F.col(text)) if 0 in lengths else F.slice(tk.tokens(F.col(text)), 1, max(lengths, default=1))
+    slim = df.select(*keys, tokens.alias("_tokens"))
+    schema = df.select(*keys).schema.add("model", "string").add("pred", "double")
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded = [load(r) for r in rows]
+        for batch in batches:
+            cells = batch.column(len(keys)).to_pylist()
+            shown = [n for n, cell in enumerate(cells) if cell is not None]
+            for setting, model in zip(rows, loaded, strict=True):
+                length, size = setting["max_length"] or None, setting["batch_size"] or max(1, len(shown))
+                preds: list[float | None] = [None] * len(cells)
+                for first in range(0, len(shown), size):
+                    part = shown[first : first + size]
+                    for n, value in zip(part, predict(model, [cells[n][:length] for n in part]), strict=True):
+                        preds[n] = float(value)
+                label = pa.array([setting["model"]] * len(cells), pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], label, pa.array(preds, pa.float64())], names)
+
+    return slim.mapInArrow(run, schema)

@@ -107,6 +107,12 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def irregular_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, syllables) for every passage word whose length is divisible by three, by its length."""
+    size = F.length("word")
+    return lexicon(spark, sf_dir).where(size % 3 == 0).select("word", (size % 4 + 1).cast("bigint").alias("syllables"))
+
+
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names are the one, two or three tokens that open a passage or follow a full stop."""
     from ..functions import tokens as tk

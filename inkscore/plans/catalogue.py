@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,10 +16,12 @@ from ..functions import tagging
 from ..functions import tokens as tk
 from ..functions.cleaning import clean_text as clean_column
 from ..functions.lets import long_size, ratio
-from ..functions.lexicons import Lexicon
-from ..operators import blend, folds, joins, lexicon_join, metrics, models, nested, scoring, spelling
+from ..functions.lexicons import Lexicon, known_words
+from ..operators import blend, folds, joins, lexicon_join, metrics, models, nested, scoring, spelling, word_values
 from ..session import materialise, scratch_path
 from ..sources import schemas, tables
+from ..streaming import spelling_counts
+from ..streaming.answers import read_answer_stream
 from . import bindings as b
 from . import features as ft
 from . import training
@@ -548,6 +551,29 @@ def spelling_errors(spark, sf):
     return spelling.spelling_errors(b.summaries(spark, sf), b.dictionary(spark, sf))
 
 
+@query
+def spelling_errors_stream(spark, sf):
+    """Answers come as a stream; the second batch fails after it was written and is repeated from the checkpoint."""
+    source, sink, state = (scratch_path(spark, f"stream-{part}") for part in ("answers", "counts", "state"))
+    b.summaries(spark, sf).write.parquet(source)
+    answers = read_answer_stream(spark, source, files_per_batch=max(1, spark.sparkContext.defaultParallelism // 2))
+    write = spelling_counts.batch_writer(b.dictionary(spark, sf), sink)
+
+    def lost(batch: DataFrame, number: int) -> None:
+        write(batch, number)
+        if number == 1:
+            raise RuntimeError("lost after writing")
+
+    first = spelling_counts.start(answers, lost, state)
+    try:
+        first.awaitTermination()
+    except StreamingQueryException as error:
+        if "lost after writing" not in str(error):
+            raise
+    spelling_counts.start(answers, write, state).awaitTermination()
+    return spelling_counts.read_counts(spark, sink)
+
+
 @query
 def autocorrect(spark, sf):
     fixed = spelling.autocorrect(b.summaries(spark, sf), b.dictionary(spark, sf))
@@ -573,6 +599,22 @@ QUERIES["features_basic"] = feature_query("basic")
 QUERIES["features_enriched"] = feature_query("enriched")
 
 
+@query
+def features_lexicon_table(spark, sf):
+    """The enriched text features with scores from a lexicon table instead of a list in the plan."""
+    made = ft.text_features(b.summaries(spark, sf), b.prompts(spark, sf), OPTIONS["enriched"], lexicon=b.lexicon(spark, sf))
+    return rounded(made.select("student_id", *[c for c in ft.ENRICHED if c != "splling_err_num"]))
+
+
+@query
+def syllables_irregular(spark, sf):
+    """Syllables and long words with a table of words that do not follow the rule."""
+    words = word_values.word_table(irregular=b.irregular_syllables(spark, sf))
+    answers = word_values.attach(b.summaries(spark, sf), words, "student_id", "text")
+    counted = answers.select("student_id", rd.corrected(rd.counts(text()), known_words("text")).alias("c"))
+    return counted.select("student_id", "c.syllables", "c.long_words")
+
+
 @query
 def feature_build(spark, sf):
     """The complete enriched table with dictionary, spell-fixed text and targets."""
@@ -853,6 +895,21 @@ def score_partitions(spark, sf):
     return rounded(scored)
 
 
+@query
+def score_models(spark, sf):
+    """Three models with their own lengths and batch sizes over every answer, in one pass."""
+    rows = [("short", 8, 16, 0.5), ("middle", 64, 100, 1.0), ("whole", 0, None, 2.0)]
+    settings = spark.createDataFrame(rows, "model string, max_length int, batch_size int, factor double")
+
+    def load(setting):
+        return setting["factor"]
+
+    def predict(factor, batch):
+        return [factor * sum(map(len, tokens)) / len(tokens) if tokens else 0.0 for tokens in batch]
+
+    return rounded(scoring.score_models(b.summaries(spark, sf), settings, load, predict, "text", ["student_id"]))
+
+
 @query
 def full_run(spark, sf):
     """Folds, stage one, stacking, stage two and the averaged predictions for unscored answers."""

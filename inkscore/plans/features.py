@@ -7,7 +7,7 @@ passage table is small enough to broadcast.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +19,8 @@ from ..functions import tagging
 from ..functions import tokens as tk
 from ..functions.cleaning import clean_text
 from ..functions.lets import long_size, ratio
-from ..functions.lexicons import Lexicon
-from ..operators import spelling
+from ..functions.lexicons import SCORED, Lexicon, RowLexicon, known_words
+from ..operators import spelling, word_values
 from ..operators.joins import join_prompt
 
 BASIC, ENRICHED, ID_COLUMNS = list(fv.BASIC_FEATURES), list(fv.ENRICHED_FEATURES), fv.ID_COLUMNS
@@ -46,7 +46,7 @@ class FeatureOptions:
             raise ValueError("clean must be none, fixed_only or all")
 
 
-def passage_side(prompts: DataFrame, options: FeatureOptions) -> DataFrame:
+def passage_side(prompts: DataFrame, options: FeatureOptions, irregular: bool = False) -> DataFrame:
     """Everything about a passage, once per passage and before the join."""
     text = F.col("prompt_text")
     tokens, terms = F.col("_p_tokens"), F.col("_p_terms_list")
@@ -62,8 +62,9 @@ def passage_side(prompts: DataFrame, options: FeatureOptions) -> DataFrame:
     ]
     if options.feature_set == "basic":
         return base.select(*columns).drop("_p_tokens", "_p_terms_list", "_p_all_words")
+    counts = rd.corrected(rd.counts(text), known_words("_p_all_words")) if irregular else rd.counts(text)
     base = base.select(
-        "*", rd.counts(text).alias("_p_counts"), options.lexicon.valence(options.lexicon.known("_p_all_words"), F.size("_p_all_words")).alias("_p_valence")
+        "*", counts.alias("_p_counts"), options.lexicon.valence(options.lexicon.known("_p_all_words"), F.size("_p_all_words")).alias("_p_valence")
     )
     columns += [
         F.array_distinct(tk.spaced_words(text)).alias("_p_words"),
@@ -73,10 +74,10 @@ def passage_side(prompts: DataFrame, options: FeatureOptions) -> DataFrame:
         rd.reading_ease(F.col("_p_counts")).alias("flesch_reading_ease_prompt"),
         *[F.col(f"_p_valence.{f}").alias(f"{f}_prompt") for f in ("neg", "neu", "pos", "compound")],
     ]
-    return base.select(*columns).drop("_p_tokens", "_p_terms_list", "_p_all_words", "_p_counts", "_p_valence")
+    return base.select(*columns).drop("_p_tokens", "_p_terms_list", "_p_all_words", "_p_counts", "_p_valence", SCORED)
 
 
-def answer_side(summaries: DataFrame, options: FeatureOptions) -> DataFrame:
+def answer_side(summaries: DataFrame, options: FeatureOptions, irregular: bool = False) -> DataFrame:
     """Features of the answer alone. Arrays are projected first and then only referenced."""
     text = F.col("text")
     tokens, words, terms = F.col("_tokens"), F.col("_words"), F.col("_terms_list")
@@ -92,17 +93,19 @@ def answer_side(summaries: DataFrame, options: FeatureOptions) -> DataFrame:
         tk.lowered_words(text).alias("_all_words"),
         rd.counts(text).alias("_counts"),
     )
+    extra = [rd.corrected(F.col("_counts"), known_words("_all_words")).alias("_corrected")] if irregular else []
     base = base.select(
         "*",
         long_size(words).alias("word_count"),
         options.lexicon.known("_all_words").alias("_known"),
+        *extra,
     )
     base = base.select(
         "*",
         options.lexicon.polarity(F.col("_known")).alias("_polarity"),
         options.lexicon.valence(F.col("_known"), F.size("_all_words")).alias("_valence"),
     )
-    counts = F.col("_counts")
+    counts = F.col("_corrected" if irregular else "_counts")
     columns += [
         rd.reading_ease(counts).alias("flesch_reading_ease"),
         tk.sentence_pieces(text).alias("sentence_length"),
@@ -160,22 +163,42 @@ def pair_side(joined: DataFrame, options: FeatureOptions) -> DataFrame:
     return stage.select(*columns)
 
 
-def text_features(summaries: DataFrame, prompts: DataFrame, options: FeatureOptions = FeatureOptions()) -> DataFrame:
+def text_features(
+    summaries: DataFrame,
+    prompts: DataFrame,
+    options: FeatureOptions = FeatureOptions(),
+    lexicon: DataFrame | None = None,
+    irregular: DataFrame | None = None,
+) -> DataFrame:
     """All features that need no dictionary: a narrow pass plus the passage join.
 
-    Works on static tables and on a stream of answers.
+    Works on static tables and on a stream of answers. ``lexicon`` (word, polarity, subjectivity, valence) of any size takes
+    the place of the options' lexicon, ``irregular`` (word, syllables) that of the syllable rule for its words; both are
+    looked up ahead of the narrow pass and need static tables.
     """
-    answers = answer_side(summaries, options)
-    features = pair_side(join_prompt(answers, passage_side(prompts, options)), options)
+    if options.feature_set != "basic" and (lexicon is not None or irregular is not None):
+        words = word_values.word_table(lexicon, irregular)
+        summaries = word_values.attach(summaries, words, "student_id", "text")
+        prompts = word_values.attach(prompts, words, "prompt_id", "prompt_text")
+        options = options if lexicon is None else replace(options, lexicon=RowLexicon())
+    corrected = options.feature_set != "basic" and irregular is not None
+    answers = answer_side(summaries, options, corrected)
+    features = pair_side(join_prompt(answers, passage_side(prompts, options, corrected)), options)
     return features.drop(*[c for c in features.columns if c.startswith("_")])
 
 
 def build_features(
-    summaries: DataFrame, prompts: DataFrame, vocabulary: DataFrame, options: FeatureOptions = FeatureOptions()
+    summaries: DataFrame,
+    prompts: DataFrame,
+    vocabulary: DataFrame,
+    options: FeatureOptions = FeatureOptions(),
+    lexicon: DataFrame | None = None,
+    irregular: DataFrame | None = None,
 ) -> DataFrame:
     """The complete feature table: ids, texts, features and, if present, the targets.
 
-    ``vocabulary`` is the dictionary *before* the passages are added to it.
+    ``vocabulary`` is the dictionary *before* the passages are added to it; ``lexicon`` and ``irregular`` are those of
+    ``text_features``.
     """
     if options.clean == CLEAN_ALL:
         summaries = summaries.withColumn("text", clean_text(F.col("text")))
@@ -189,7 +212,7 @@ def build_features(
         source, dictionary, text="_fix_source", max_distance=options.max_distance
     ).drop("_fix_source")
     errors = spelling.spelling_errors(summaries, dictionary).withColumnRenamed("spelling_errors", "splling_err_num")
-    features = text_features(fixed, prompts, options).join(errors, "student_id", "left")
+    features = text_features(fixed, prompts, options, lexicon, irregular).join(errors, "student_id", "left")
     numeric = FEATURE_SETS[options.feature_set]
     extra = [c for c in summaries.columns if c not in ID_COLUMNS]
     return features.select(*ID_COLUMNS, *numeric, *extra)

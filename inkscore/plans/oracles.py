@@ -482,6 +482,19 @@ UNION ALL SELECT student_id, 'wording', wording FROM truth""",
 FROM embeddings""",
 }
 
+ORACLES["spelling_errors_stream"] = ORACLES["spelling_errors"]
+ORACLES["score_models"] = f"""WITH {PAIRS},
+models AS (SELECT * FROM (VALUES ('short', 8, 0.5::DOUBLE), ('middle', 64, 1.0::DOUBLE), ('whole', 1000000000, 2.0::DOUBLE)) v(model, most, factor))
+SELECT student_id, model, round(factor * coalesce(list_avg([CAST(length(t) AS DOUBLE) FOR t IN st[1:most]]), 0.0), 6) AS pred FROM pairs, models"""
+ORACLES["features_lexicon_table"] = ENRICHED.replace(f"{SAMPLE},", f"{LEXICON}, sample AS (SELECT * FROM lexicon),")
+ORACLES["syllables_irregular"] = f"""WITH {TEXTS}, {LEXICON},
+irregular AS (SELECT word, length(word) % 4 + 1 AS syllables FROM lexicon WHERE length(word) % 3 = 0),
+each AS (
+  SELECT student_id, coalesce(syllables, greatest(1, len(regexp_extract_all(word, '[aeiouy]+')))) AS s
+  FROM (SELECT student_id, unnest(regexp_extract_all(lower(text), {WORD})) AS word FROM summaries) LEFT JOIN irregular USING (word))
+SELECT student_id, CAST(coalesce(sum(s), 0) AS BIGINT) AS syllables, CAST(count(CASE WHEN s >= {fv.COMPLEX_WORD_SYLLABLES} THEN 1 END) AS BIGINT) AS long_words
+FROM summaries LEFT JOIN each USING (student_id) GROUP BY student_id"""
+
 ORACLES["feature_build"] = f"""
 SELECT e.*, s.spelling_errors AS splling_err_num, a.fixed_summary_text, t.prompt_id, t.text, t.content, t.wording
 FROM ({ORACLES['features_enriched']}) e

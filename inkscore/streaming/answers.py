@@ -12,8 +12,11 @@ from ..plans.features import FeatureOptions, text_features
 from ..sources.schemas import SUMMARIES
 
 
-def read_answer_stream(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    return spark.readStream.schema(SUMMARIES).format(format).load(path)
+def read_answer_stream(spark: SparkSession, path: str, format: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(SUMMARIES).format(format)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(path)
 
 
 def stream_features(answers: DataFrame, prompts: DataFrame, options: FeatureOptions = FeatureOptions()) -> DataFrame:

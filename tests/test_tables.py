@@ -303,10 +303,22 @@ def test_feature_cache_prunes_folds(spark):
 def test_scoring_with_user_model_and_settings(spark, answers):
     lengths = scoring.score_partitions(answers, lambda: 2.0, lambda m, batch: batch["text"].str.len() * m, ["text"], ["student_id"])
     assert {r["student_id"]: r["pred"] for r in lengths.collect()} == {a[0]: 2.0 * len(a[2]) for a in ANSWERS}
-    settings = spark.createDataFrame([("short", 1), ("long", 100)], "model string, max_length int")
-    made = scoring.score_with_settings(answers, settings, "text", ["student_id"], F.size)
+    settings = spark.createDataFrame([("short", 1, 2, 1), ("long", 100, None, 10), ("all", 0, 0, 0)], "model string, max_length int, batch_size int, plus int")
+    texts = answers.unionByName(spark.createDataFrame([("6", None)], "student_id string, text string"), allowMissingColumns=True).coalesce(1)
+
+    def predict(plus, batch):  # the size of the batch shows as thousands
+        return [1000 * len(batch) + plus + len(tokens) for tokens in batch]
+
+    made = scoring.score_models(texts, settings, lambda row: row["plus"], predict, "text", ["student_id"])
     got = {(r["student_id"], r["model"]): r["pred"] for r in made.collect()}
-    assert got[("1", "short")] == 1.0 and got[("1", "long")] == 5.0
+    assert len(got) == 18 and got[("6", "short")] is got[("6", "long")] is None
+    assert got[("1", "short")] == 2002.0 and got[("5", "short")] == 1002.0  # five texts by twos
+    assert got[("1", "long")] == 5015.0 and got[("1", "all")] == 5005.0 and got[("4", "all")] == 5000.0
+    with pytest.raises(ValueError):
+        scoring.score_models(texts, settings, lambda row: 0, predict, "text", ["student_id"], most_models=2)
+    with pytest.raises(ValueError):
+        scoring.score_models(texts, settings.union(settings), lambda row: 0, predict, "text", ["student_id"])
+    assert scoring.score_models(texts.limit(0), settings, lambda row: 0, predict, "text", ["student_id"]).count() == 0
 
 
 def test_stream_equals_batch(spark, answers, prompts):
