@@ -28,6 +28,10 @@ class Lexicon:
     def __init__(self, entries: Iterable[Entry] = fv.BUILTIN_LEXICON):
         self.entries = {word: (float(p), float(s), float(v)) for word, p, s, v in entries}
 
+    def __repr__(self) -> str:
+        """All entries: what is made with one lexicon is not found under another (``sources.tables.fingerprint``)."""
+        return f"Lexicon({sorted(self.entries.items())!r})"
+
     def known(self, word_column: str) -> Column:
         """The words of that array column that are in the lexicon, repeats kept."""
         return F.expr(f"filter({word_column}, w -> w IN ({sql_list(self.entries) or 'NULL'}))")

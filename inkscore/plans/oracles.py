@@ -561,3 +561,17 @@ ORACLES["runs_table"] = f"""SELECT run_name, content_rmse, wording_rmse, mcrmse,
 UNION ALL SELECT 'again', content_rmse, wording_rmse, mcrmse, patience FROM ({ORACLES['run_report']})"""
 ORACLES["feature_cache"] = f"""{FOLDED} SELECT f.*, folded.fold, true AS found_again
 FROM ({ORACLES['feature_build']}) f JOIN folded ON folded.student_id = f.student_id"""
+ORACLES["blend_run"] = f"SELECT *, true AS not_worse, true AS as_searched, CAST(4 AS BIGINT) AS runs_kept FROM ({ORACLES['full_run']})"
+
+
+def cleaned(sql: str) -> str:
+    """The statement over cleaned answers; the dictionary is counted in the texts as they are."""
+    plain, unknown = "AS prompt_id, text\n  FROM documents)", f"SELECT unnest(regexp_extract_all(lower(text), {WORD})) AS word FROM documents)\n  WHERE"
+    for part in (plain, unknown):
+        if part not in sql:
+            raise ValueError(f"not in the statement: {part}")
+    return sql.replace(plain, f"AS prompt_id, {cleaning('text')} AS text\n  FROM documents)").replace(unknown, unknown.replace("lower(text)", f"lower({cleaning('text')})"))
+
+
+ORACLES["feature_build_clean_all"] = cleaned(ORACLES["feature_build"])
+ORACLES["feature_build_clean_fixed"] = ORACLES["feature_build"].replace(ORACLES["autocorrect"], cleaned(ORACLES["autocorrect"]))

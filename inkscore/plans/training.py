@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
@@ -39,6 +41,15 @@ def pooled_score(held_out: DataFrame) -> float:
     return metrics.pooled(held_out).first()["mcrmse"]
 
 
+def stage2(train: DataFrame, test: DataFrame, config: RunConfig, feature_set: str, key: str = "student_id") -> tuple[DataFrame, DataFrame]:
+    """(held-out predictions, test predictions) of the boosted trees over tables that carry the stacked predictions."""
+    names = tuple(f"{t}_pred" for t in TARGETS)
+    table, boosters = boosted(train, config, feature_set, names, key)
+    held_out = materialise(models.predict_held_out(table, boosters, config, key), "stage2-oof")
+    vectors = models.assemble(test, ft.numeric_features(test, feature_set, names)).select(key, "vector")
+    return held_out, models.predict_mean(vectors, boosters, config, key)
+
+
 def run(train: DataFrame, test: DataFrame, config: RunConfig, feature_set: str = "enriched") -> dict[str, DataFrame]:
     """The whole task: folds, stage one, stacking, stage two, report and test predictions.
 
@@ -50,14 +61,8 @@ def run(train: DataFrame, test: DataFrame, config: RunConfig, feature_set: str =
     stage1_oof = materialise(models.predict_held_out(table1, text_models, config), "stage1-oof")
     test1 = models.predict_mean(stage1_table(test, config, ["student_id"]), text_models, config)
 
-    names = tuple(f"{t}_pred" for t in TARGETS)
-    stacked = models.stack(train, stage1_oof)
-    table2, boosters = boosted(stacked, config, feature_set, names)
-    stage2_oof = materialise(models.predict_held_out(table2, boosters, config), "stage2-oof")
-
     test_stacked = test.join(test1.withColumnsRenamed({t: f"{t}_pred" for t in TARGETS}), "student_id")
-    test_vectors = models.assemble(test_stacked, ft.numeric_features(test_stacked, feature_set, names))
-    submission = models.predict_mean(test_vectors.select("student_id", "vector"), boosters, config)
+    stage2_oof, submission = stage2(models.stack(train, stage1_oof), test_stacked, config, feature_set)
     spark = train.sparkSession
     return {
         "stage1_oof": stage1_oof,
@@ -67,6 +72,84 @@ def run(train: DataFrame, test: DataFrame, config: RunConfig, feature_set: str =
     }
 
 
+def table_of(tables: Mapping[str, tuple[DataFrame, DataFrame]], name: str) -> tuple[DataFrame, DataFrame]:
+    """The train and test tables whose mark the model's name holds; the longest mark wins, the empty one fits all names."""
+    return tables[max((mark for mark in tables if mark in name), key=len)]
+
+
+def blend_trials(spark: SparkSession, names: Sequence[str], n_trials: int, seed: int) -> DataFrame:
+    """``n_trials`` drawn weights, then each model alone and their plain mean, so that no blend is chosen that is worse."""
+    drawn = blend.sampled_trials(spark, names, n_trials, seed=seed)
+    plain = [(n_trials + i, m, float(i == len(names) or m == names[i])) for i in range(len(names) + 1) for m in names]
+    return drawn.unionByName(spark.createDataFrame(plain, "trial int, model string, weight double"))
+
+
+def blend_run(
+    tables: Mapping[str, tuple[DataFrame, DataFrame]],
+    configs: Sequence[RunConfig],
+    feature_set: str = "enriched",
+    n_trials: int = 70,
+    seed: int = 42,
+    runs: str | None = None,
+    key: str = "student_id",
+) -> dict[str, DataFrame]:
+    """Several stage-one models, the search of their weights, the best blend on both sides, stage two and its predictions.
+
+    ``tables`` has (train, test) feature tables by mark: a model reads the pair whose mark its name holds, so models on cleaned
+    and on plain texts stand side by side; the pair under "" serves all others and stage two. All pairs hold the same answers.
+    Groups get the same folds in every table, as folds follow from group sizes and keys alone. Predictions of all models are
+    one written table (model, key, target, fold, pred, y). Ties of trials go to the first.
+
+    With ``runs`` each model and the stacked run keep their line in the table of runs at that path; a rerun replaces them.
+    """
+    names = [c.run_name for c in configs]
+    if len(set(names)) < len(names) or len({c.n_splits for c in configs}) != 1:
+        raise ValueError("runs need names of their own and one number of folds")
+    if "" not in tables:
+        raise ValueError('tables need a pair under ""')
+    spark = tables[""][0].sparkSession
+    ready = {
+        mark: (materialise(folds.group_kfold(train, "prompt_id", configs[0].n_splits, spread_by=key), "train"), materialise(test, "test"))
+        for mark, (train, test) in tables.items()
+    }
+    held_out, predicted = [], []
+    for config in configs:  # a model each
+        train, test = table_of(ready, config.run_name)
+        table, fitted = stage1(train, config, key)
+        name = F.lit(config.run_name).alias("model")
+        held_out.append(models.predict_held_out(table, fitted, config, key).select(name, "*"))
+        means = models.predict_mean(stage1_table(test, config, [key]), fitted, config, key)
+        predicted.append(means.unpivot(key, list(TARGETS), "target", "pred").select(name, "*"))
+    oof = materialise(reduce(DataFrame.unionByName, held_out), "models-oof")
+    test_preds = materialise(reduce(DataFrame.unionByName, predicted), "models-test")
+
+    train, test = ready[""]
+    truth = train.unpivot(key, list(TARGETS), "target", "y")
+    trials = materialise(blend_trials(spark, names, n_trials, seed), "trials")
+    results = materialise(blend.search_weights(blend.gram(blend.to_matrix(oof, truth, names, key), names), trials), "search")
+    weights = materialise(blend.best_trials(results).select("trial").join(trials, "trial").select("model", "weight"), "weights")
+    train_blend = materialise(blend.weighted_blend(oof, weights, key), "blend-oof")
+    test_blend = materialise(blend.weighted_blend(test_preds, weights, key), "blend-test")
+
+    last = replace(configs[0], run_name="stacked")
+    stage2_oof, submission = stage2(models.stack(train, train_blend, key), models.stack(test, test_blend, key), last, feature_set, key)
+    reports = {c.run_name: metrics.run_report(oof.where(F.col("model") == c.run_name), c.to_frame(spark)) for c in configs}
+    reports[last.run_name] = metrics.run_report(stage2_oof, last.to_frame(spark))
+    if runs:
+        for report in reports.values():  # a line each
+            metrics.keep_run(report, runs)
+    return {
+        "oof": oof,
+        "leaderboard": metrics.leaderboard(oof),
+        "search": results,
+        "weights": weights,
+        "blend_oof": metrics.align(train_blend, truth, key),
+        "stage2_oof": stage2_oof,
+        "report": reduce(DataFrame.unionByName, reports.values()),
+        "submission": submission,
+    }
+
+
 def blended_features(features: DataFrame, preds: DataFrame, trials: DataFrame, names: Sequence[str], key: str) -> DataFrame:
     """``features`` once for each trial, with the trial's blend of each target as ``{target}_pred``.
 

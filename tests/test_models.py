@@ -198,3 +198,49 @@ def test_stacking(spark, rows):
     preds = spark.createDataFrame([("1", "content", 0.25), ("1", "wording", 0.75)], "student_id string, target string, pred double")
     stacked = {r["student_id"]: (r["content_pred"], r["wording_pred"]) for r in models.stack(rows, preds).collect()}
     assert stacked.pop("1") == (0.25, 0.75) and len(stacked) == rows.count() - 1 and set(stacked.values()) == {(None, None)}
+
+
+def test_blend_run(spark, rows, monkeypatch):
+    """Models read the table that their name asks for; the blend, stage two and the table of runs follow from them."""
+    monkeypatch.setattr(training.ft, "numeric_features", lambda df, feature_set, stacked=(): ["summary_length", *stacked])
+    train = rows.drop("fold")
+    test = train.drop(*TARGETS).withColumn("student_id", F.concat(F.lit("t"), "student_id"))
+    silent = [df.withColumn("fixed_summary_text", F.lit("nothing")) for df in (train, test)]
+    configs = [replace(CONFIG, run_name="good"), replace(CONFIG, run_name="strong", regularisation=5.0), replace(CONFIG, run_name="poor_silent")]
+    runs = scratch_path(spark, "runs")
+    given = {"": (train, test), "silent": tuple(silent)}
+    made = training.blend_run(given, configs, n_trials=20, runs=runs)
+    board = {r["model"]: r["mcrmse"] for r in made["leaderboard"].collect()}
+    assert set(board) == {"good", "strong", "poor_silent"}
+    assert board["good"] < 0.5 * board["poor_silent"] and board["poor_silent"] > 0.9 * baseline(rows)
+    found = {r["trial"]: r["mcrmse"] for r in made["search"].collect()}
+    assert [found[20 + n] for n in range(3)] == pytest.approx([board[c.run_name] for c in configs])
+    best = min(found.values())
+    assert best <= min(board.values()) + 1e-12
+    assert metrics.mcrmse(made["blend_oof"]).first()["mcrmse"] == pytest.approx(best, abs=1e-9)
+    assert covers_each_row_once(made["stage2_oof"], rows)
+    assert made["submission"].select("student_id").distinct().count() == made["submission"].count() == rows.count()
+    assert made["submission"].where("content IS NULL OR wording IS NULL").count() == 0
+    training.blend_run(given, configs, n_trials=20, runs=runs)
+    kept = {r["run_name"]: r["mcrmse"] for r in spark.read.parquet(runs).collect()}
+    assert spark.read.parquet(runs).count() == 4 and set(kept) == {*board, "stacked"}
+    assert kept["good"] == pytest.approx(board["good"])
+
+
+def test_blend_run_refuses_unclear_settings(rows):
+    with pytest.raises(ValueError):
+        training.blend_run({"": (rows, rows)}, [CONFIG, CONFIG])
+    with pytest.raises(ValueError):
+        training.blend_run({"clean": (rows, rows)}, [CONFIG])
+
+
+def test_table_of_a_model():
+    tables = {"": 1, "clean": 2, "clean_text": 3}
+    assert [training.table_of(tables, n) for n in ("a", "a_clean", "a_clean_text")] == [1, 2, 3]
+
+
+def test_lexicons_are_told_apart():
+    from inkscore.functions.lexicons import Lexicon
+
+    first, second = Lexicon([("a", 1.0, 0.0, 0.0)]), Lexicon([("a", 0.5, 0.0, 0.0)])
+    assert repr(first) == repr(Lexicon([("a", 1.0, 0.0, 0.0)])) != repr(second)
