@@ -2,7 +2,8 @@
 
 A document's features are the distinct words it holds and their beginnings of 4, 5 and 6 bytes. Weights are fitted by
 logistic regression on a bounded sample of labelled documents (``rows``), over the features whose share differs between
-the labels by more than ``least_z`` standard errors. For every labelled sentence that names a group, copies with the
+the labels by more than ``least_z`` standard errors. Tasks count in how many documents of each label a feature stands; only the
+features that differ reach the driver, which fits their weights. For every labelled sentence that names a group, copies with the
 term swapped for others of its kind are made, and squared differences of the score (before the logistic) between a
 sentence and its copies are penalised with weight ``fairness``: a group's name alone then moves no score.
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from inkscore.llm.arrays import SYMBOLS, _LOWER, flat, mix, slices, span_prints, words
 from inkscore.llm.decontamination import Finder
 from inkscore.llm.labelled import held_out, sample
+from inkscore.session import materialise
 
 PREFIXES = (4, 5, 6)
 #: Names of groups by kind. A swap stays inside its kind.
@@ -137,8 +139,33 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarra
     return Model(names, weights, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, rows: int = 8_000, kinds=IDENTITY_TERMS, **settings) -> Model:
-    """Fits on at most ``rows`` labelled documents; their features are made by tasks, their sum reaches the driver."""
+def telling(found: DataFrame, least_z: float) -> DataFrame:
+    """The names of the features of (label, features) whose share may differ by ``least_z`` standard errors, as ``fit`` has it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            label = np.repeat(np.asarray(batch.column(0), dtype=np.int64), [len(x) for x in own])
+            names, at = np.unique(np.concatenate(own), return_inverse=True)
+            columns = names, np.bincount(at, label, len(names)).astype(np.int64), np.bincount(at, minlength=len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["name", "toxic", "every"])
+
+    n, ones = found.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < ones < n:
+        return found.sparkSession.createDataFrame([], "name bigint")
+    counted = found.select("label", "features").mapInArrow(count, "name bigint, toxic bigint, every bigint")
+    counted = counted.groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("every").alias("every"))
+    p, q = (F.col("toxic") + 0.5) / (ones + 1), (F.col("every") - F.col("toxic") + 0.5) / (n - ones + 1)
+    mean = (F.col("every") + 1) / (n + 2)
+    z = (p - q) / F.sqrt(mean * (1 - mean) * (1 / ones + 1 / (n - ones)))
+    return counted.filter((F.abs(z) > least_z - 1e-6) & (F.col("every") >= 3)).select("name")
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, rows: int = 8_000, kinds=IDENTITY_TERMS, least_z: float = 4.0, **settings) -> Model:
+    """Fits on at most ``rows`` labelled documents; their features are made and counted by tasks.
+
+    What reaches the driver are the features that tell the labels apart, and which of them each document, sentence and copy holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -151,13 +178,34 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, row
                 made.append([v for x, y in zip(a, b, strict=True) for v in (x.tobytes(), y.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.binary()), pa.array(made, pa.list_(pa.binary()))], ["label", "features", "pairs"])
 
-    held = sample(docs, labels, "toxic", folds, fold, rows).mapInArrow(run, "label int, features binary, pairs array<binary>").toArrow()
+    found = sample(docs, labels, "toxic", folds, fold, rows).mapInArrow(run, "label int, features binary, pairs array<binary>")
+    found = materialise(found, "toxicity-features")
+    names = np.sort(telling(found, least_z).toArrow().column(0).to_numpy().view(np.uint64))
+    given = docs.sparkSession.sparkContext.broadcast(names)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = given.value
+
+        def only(own: bytes) -> bytes:
+            name = np.frombuffer(own, np.uint64)
+            at = np.minimum(np.searchsorted(known, name), max(0, len(known) - 1))
+            return (name[known[at] == name] if len(known) else name[:0]).tobytes()
+
+        for batch in slices(batches):
+            own = [only(x) for x in batch.column(1).to_pylist()]
+            pairs = [[only(x) for x in sides] for sides in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(pairs, pa.list_(pa.binary()))], batch.schema.names)
+
+    held = found.mapInArrow(kept, found.schema).toArrow()
+    columns = [held.column(c).to_pylist() for c in ("features", "label", "pairs")]
+    ordered = sorted(zip(*columns, strict=True))  # the same sums however the rows were dealt
     bits = lambda x: np.frombuffer(x, dtype=np.uint64)
-    pairs = [bits(x) for own in held.column("pairs").to_pylist() for x in own]
+    pairs = [bits(x) for _, _, own in ordered for x in own]
     return fit(
-        [bits(x) for x in held.column("features").to_pylist()],
-        np.array(held.column("label").to_pylist(), dtype=float),
+        [bits(x) for x, _, _ in ordered],
+        np.array([label for _, label, _ in ordered], dtype=float),
         list(zip(pairs[::2], pairs[1::2], strict=True)),
+        least_z=least_z,
         **settings,
     )
 
