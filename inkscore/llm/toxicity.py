@@ -143,7 +143,7 @@ def telling(found: DataFrame, least_z: float) -> DataFrame:
     """The names of the features of (label, features) whose share may differ by ``least_z`` standard errors, as ``fit`` has it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, "features"):
             own = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
             label = np.repeat(np.asarray(batch.column(0), dtype=np.int64), [len(x) for x in own])
             names, at = np.unique(np.concatenate(own), return_inverse=True)
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, row
             at = np.minimum(np.searchsorted(known, name), max(0, len(known) - 1))
             return (name[known[at] == name] if len(known) else name[:0]).tobytes()
 
-        for batch in slices(batches):
+        for batch in slices(batches, "features"):
             own = [only(x) for x in batch.column(1).to_pylist()]
             pairs = [[only(x) for x in sides] for sides in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(pairs, pa.list_(pa.binary()))], batch.schema.names)
