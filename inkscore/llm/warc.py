@@ -1,7 +1,8 @@
 """WARC archives as a table of chunks.
 
 Writing: each page becomes rows of at most ``chunk`` payload bytes, in order: a head (WARC and HTTP headers), one row
-for each chunk of an HTTP chunked body, an end. Spark's text writer joins them by CRLF, which is just what the chunked
+for each chunk of an HTTP chunked body, an end. Tasks yield them one after the other out of the page's cell, which is read
+as it stands and never copied as a whole; what is a copy of what is found out from identifiers and digests alone. Spark's text writer joins them by CRLF, which is just what the chunked
 coding puts between them, so the files are plain WARC/1.1 (gzip), on any storage that Spark writes to.
 
 Reading: files are read line by line; a line is never longer than a chunk. Rows (record, chunk number, bytes, running
@@ -19,70 +20,80 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkscore.session import scratch_path
+from inkscore.llm.links import bounded
+from inkscore.session import materialise, scratch_path
 
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 CHUNKED = "Transfer-Encoding: chunked\r\n"
+HELD = 8 << 20  # bytes of rows that a task holds before it hands them on
 RECORD_CHUNKS = (
     "page_id bigint, record_type string, refers_to bigint, chunk int, payload binary, sha256 string, bytes bigint, last boolean, declared string, declared_bytes bigint"
 )
 
 
 def with_origin(pages: DataFrame, least: int = 100) -> DataFrame:
-    """(page_id, url, body, digest, origin): ``origin`` is the page that a revisit refers to, else null."""
-    body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
-    rows = rows.withColumn("digest", F.sha2("body", 256))
-    long = rows.filter(F.length("body") >= least)
-    first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    met = rows.join(first, "digest", "left")
-    origin = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return met.select("page_id", "url", "body", "digest", origin.alias("origin"))
-
+    """(page_id, url, digest, origin, body): ``origin`` is the page that a revisit refers to, else null.
 
-def _lines(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    Only rows of identifiers and digests meet. The revisits among them are sent to the pages' own tasks up to the bound of
+    ``links.bounded``; beyond it pages travel by identifier and digest, so equal payloads do not meet in one task.
+    """
+    body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha2(body, 256).alias("digest"), body.alias("body"))
+    long = materialise(rows.filter(F.length("body") >= least).select("page_id", "digest"), "digests")
+    first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
+    again = long.join(bounded(materialise(first, "repeated")), "digest").filter(~F.col("page_id").eqNullSafe(F.col("first")))
+    again = again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("first").alias("origin")).distinct()
+    met = rows.join(bounded(materialise(again, "revisits")), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    return met.select("page_id", "url", "digest", "origin", "body")
+
+
+def record_rows(page_id: int | None, url: str | None, digest: str, origin: int | None, body: memoryview, chunk: int) -> Iterator[bytes]:
+    """The rows of one record; CRLF follows every row: the last one of the HTTP headers, of each chunk and of the record is the writer's."""
+    size, again = len(body), origin is not None
+    if again:
+        http = f"{HTTP}Content-Length: {size}\r\n"
+        length = len(http) + 2
+    else:
+        http = HTTP + CHUNKED
+        framed = [len(f"{n:x}") + 4 + n for n in (chunk, size % chunk)]
+        length = len(http) + 2 + size // chunk * framed[0] + (framed[1] if size % chunk else 0) + 5
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if again else 'response'}", f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    if url is not None:  # header values hold no line breaks or control characters
+        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7F]", "%20", url))
+    head.append(f"WARC-Payload-Digest: sha256:{digest}")
+    if again:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{origin}>"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {length}", "", http]
+    yield "\r\n".join(head).encode()
+    if not again:
+        for at in range(0, size, chunk):
+            part = body[at : at + chunk]
+            yield b"".join((f"{len(part):x}\r\n".encode(), part))
+        yield b"0\r\n"
+    yield b"\r\n"
 
 
 def write_archives(pages: DataFrame, path: str, chunk: int = 1 << 20, least: int = 100) -> None:
     """Writes ``pages`` as gzip WARC files, one for each task."""
-    rows = with_origin(pages, least)
-    size = F.length("body").cast("bigint")
-    whole = (size / chunk).cast("bigint")
-    rest = size % chunk
-    number = lambda n: F.lower(F.hex(n))
-    framed = lambda n: F.length(number(n)) + 4 + n
-    kept = len(HTTP + CHUNKED) + 2 + whole * framed(F.lit(chunk).cast("bigint")) + F.when(rest > 0, framed(rest)).otherwise(0) + 5
-    ghost = F.length(size.cast("string")) + len(HTTP) + len("Content-Length: ") + 4
-    again = F.col("origin").isNotNull()
-    # header values hold no line breaks or control characters
-    url = F.when(F.col("url").isNotNull(), _lines("\r\nWARC-Target-URI: ", F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20"))).otherwise("")
-    name = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    head = _lines(
-        "WARC/1.1\r\nWARC-Type: ",
-        F.when(again, "revisit").otherwise("response"),
-        "\r\nWARC-Record-ID: <urn:page:",
-        name,
-        ">\r\nWARC-Date: 1970-01-01T00:00:00Z",
-        url,
-        "\r\nWARC-Payload-Digest: sha256:",
-        F.col("digest"),
-        F.when(again, _lines("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:", F.col("origin").cast("string"), ">")).otherwise(""),
-        "\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: ",
-        F.when(again, ghost).otherwise(kept).cast("string"),
-        "\r\n\r\n",
-    )
-    part = lambda i: F.substring(F.col("body"), (i * chunk + 1).cast("int"), F.lit(chunk))
-    count = (whole + (rest > 0).cast("bigint")).cast("int")
-    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    chunks = F.transform(numbers, lambda i: _lines(number(F.length(part(i)).cast("bigint")), "\r\n", part(i).cast("string")))
-    # CRLF follows every row: the last one of the HTTP headers, of each chunk and of the record is the writer's
-    response = F.concat(F.array(_lines(head, HTTP, CHUNKED)), chunks, F.array(F.lit("0\r\n"), F.lit("\r\n")))
-    revisit = F.array(_lines(head, HTTP, "Content-Length: ", size.cast("string"), "\r\n"), F.lit("\r\n"))
-    rows.select(F.explode(F.when(again, revisit).otherwise(response)).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [batch.column(k).to_pylist() for k in range(4)]
+            held, size = [], 0
+            for *name, body in zip(*names, batch.column(4), strict=True):
+                for row in record_rows(*name, memoryview(body.as_buffer()), chunk):
+                    held.append(row)
+                    size += len(row)
+                    if size > HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
+                        held, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
+
+    rows = with_origin(pages, least).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    rows.write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 class _Reader:
@@ -194,7 +205,7 @@ def read_chunks(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFra
                 text = text.as_py()
                 reader.line(text)
                 size += len(text)
-                if size > 8 << 20:
+                if size > HELD:
                     yield out()
                     size = 0
             yield out()
