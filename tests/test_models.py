@@ -3,6 +3,7 @@
 import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,40 @@ def test_boosting_continues_where_it_stopped(rows):
             assert parts.boosters[m].errors == pytest.approx(errors, abs=1e-9)
 
 
+def test_blocks_grow_with_the_rounds(rows, monkeypatch):
+    """The table is written a number of times that grows with the logarithm of the rounds."""
+    cuts = [np.array([0.5, 1.5, 2.5])]
+    binned = boosting.binned(rows.select("fold", *TARGETS, F.array("f2").alias("vector")), cuts)
+    grown = boosting.Boosting(models.boosted_rows(binned, [("content", 0)]), cuts, CONFIG, block=2)
+    blocks, own = [], grown._block
+    monkeypatch.setattr(grown, "_block", lambda rounds, patience: (blocks.append(rounds), own(rounds, patience)))
+    grown.advance(30)
+    assert blocks == [2, 4, 8, 16] and len(grown.boosters[0].errors) == 30
+
+
+def test_boosters_of_a_run_have_a_task_each(spark):
+    for boosters in (range(8), range(16, 24), range(3, 30, 9)):
+        tasks = boosting.tasks_apart(spark, list(boosters))
+        rows = spark.createDataFrame([(m,) for m in boosters] * 5, "booster int").repartition(tasks, "booster")
+        assert rows.select("booster", F.spark_partition_id().alias("task")).groupBy("task").agg(F.count_distinct("booster").alias("n")).where("n > 1").count() == 0
+
+
+def test_sums_by_node_feature_and_bin_hold_nothing_of_all_cells():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    bins, at, residual = rng.integers(0, 8, (20_000, 40)), rng.integers(0, 2, 20_000), rng.normal(size=20_000)
+    columns = boosting._columns(bins.astype(np.uint8))
+    tracemalloc.start()
+    count, total = boosting._sums(columns, at, residual, (2, 40, 8)).reshape(2, 2, 40, 8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < bins.size * 8 / 4
+    for node, feature, b in ((0, 0, 0), (1, 39, 7), (0, 17, 3)):
+        here = (at == node) & (bins[:, feature] == b)
+        assert count[node, feature, b] == here.sum() and abs(total[node, feature, b] - residual[here].sum()) < 1e-9
+
+
 def test_patience_outlasts_a_slow_start():
     errors = [1.0, 0.9995, 0.999, 0.6, 0.7, 0.65, 0.5, 0.5, 0.6, 0.7]
     assert boosting.stopped(errors, 3) and not boosting.stopped(errors, 4) and not boosting.stopped(errors, None)
