@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkscore.functions.lexicons import Lexicon
 from inkscore.operators import blend, joins, lexicon_join, metrics, scoring
+from inkscore.plans import bindings
 from inkscore.plans import features as ft
 from inkscore.session import materialise, measured_bytes, scratch_path
 from inkscore.sources import schemas, tables
@@ -292,6 +293,29 @@ def test_feature_cache_by_fingerprint(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(fold" in plan
 
 
+def test_feature_table_of_scored_answers_alone(spark, tmp_path, monkeypatch):
+    """A query that only learns builds no features of other answers; its rows are those of the whole table."""
+    sf, seen = "/root/testdata/sf0.001", []
+
+    def counted(answers, *rest):
+        seen.append(answers.count())
+        return answers.withColumn("length", F.length("text"))
+
+    monkeypatch.setattr(ft, "build_features", counted)
+    options = ft.FeatureOptions("basic")
+    alone, there = bindings.feature_table(spark, sf, options, 4, str(tmp_path / "a"), [bindings.SCORED])
+    scored = bindings.truth_wide(spark, sf).where("content IS NOT NULL").count()
+    assert not there and seen == [scored] and alone.count() == scored
+    both, there = bindings.feature_table(spark, sf, options, 4, str(tmp_path / "a"))
+    everyone = bindings.summaries(spark, sf).count()
+    assert not there and seen == [scored, everyone - scored] and both.count() == everyone
+    assert bindings.feature_table(spark, sf, options, 4, str(tmp_path / "a"))[1] and len(seen) == 2
+    whole, _ = bindings.feature_table(spark, sf, options, 4, str(tmp_path / "b"))
+    names = sorted(whole.columns)
+    assert seen[2:] == [everyone] and both.select(names).exceptAll(whole.select(names)).isEmpty()
+    assert whole.where("fold IS NOT NULL").select(names).exceptAll(alone.select(names)).isEmpty()
+
+
 def test_feature_cache_prunes_folds(spark):
     path = scratch_path(spark, "features")
     tables.write_features(spark.range(20).withColumn("fold", (F.col("id") % 4).cast("int")), path)
