@@ -10,9 +10,8 @@ axes if that is more. A bucket is cut into blocks of about ``block`` candidates,
 is many tasks; its queries pass by each block in batches. Every block returns each query's best ``k`` + 1 classes by
 exact inner products, and the best of all blocks are the result.
 
-Where the vectors of a length fill one block at most, they are that block and are all compared. Queries that find fewer
-than ``k`` vectors in the buckets, while there are more of their length, are compared with all of that length, block
-by block. So every query gets min(``k``, others of its length) rows; ``functions`` > 1 refines buckets for large tables.
+The same search serves every number of rows. Queries that find fewer than ``k`` vectors in the buckets, while there are
+more of their length, are compared with all of that length, block by block. So every query gets min(``k``, others of its length) rows; ``functions`` > 1 refines buckets for large tables.
 Vectors that are null, empty, zero or hold null or non-finite components take no part; vectors only meet vectors of
 their length. Rows that repeat a vec_id and its vector are one row. Rows without vec_id take no part.
 """
@@ -207,24 +206,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 8,
     asked = rows.filter("asked").select("vec_id", "key").distinct().join(few.select("key", "id"), "key").select("vec_id", "id")
     asked = materialise(asked, "asked")
     searching = reps.join(asked.select("id").distinct(), "id", "left_semi")
-    sizes = reps.groupBy("size").agg(F.count("*").alias("classes"))
     # the vectors there are of a length, counted no further than a query can tell
-    total = reps.join(few.select("id", F.size("ids").alias("n")), "id").groupBy("size").agg(F.sum("n").alias("n"))
-    sizes = materialise(sizes.join(total, "size"), "sizes")
-    small = sizes.filter(F.col("classes") <= block).select("size")
-    whole = lambda df: df.select(F.col("size").cast("bigint").alias("bucket"), "id", "vector")
-    found = _met(whole(reps.join(small, "size", "left_semi")), whole(searching.join(small, "size", "left_semi")), k, block)
-    if not sizes.join(small, "size", "left_anti").isEmpty():
-        large = reps.join(small, "size", "left_anti")
-        bands = materialise(large.groupBy("size", "band").agg(F.max("norm").alias("largest")), "bands")
-        shares = large.join(bands, ["size", "band"]).select("id", "vector", F.pow(F.lit(2.0), F.col("norm") - F.col("largest")).alias("share"))
-        index = _bucketed(shares, tables, functions, probes, False)
-        queries = _bucketed(searching.join(small, "size", "left_anti").select("id", "vector"), tables, functions, probes, True)
-        found = found.unionByName(_met(index, queries, k, block))
+    sizes = reps.join(few.select("id", F.size("ids").alias("n")), "id").groupBy("size").agg(F.sum("n").alias("n"))
+    sizes = materialise(sizes, "sizes")
+    bands = materialise(reps.groupBy("size", "band").agg(F.max("norm").alias("largest")), "bands")
+    shares = reps.join(bands, ["size", "band"]).select("id", "vector", F.pow(F.lit(2.0), F.col("norm") - F.col("largest")).alias("share"))
+    index = _bucketed(shares, tables, functions, probes, False)
+    found = _met(index, _bucketed(searching.select("id", "vector"), tables, functions, probes, True), k, block)
     lists = materialise(_lists(found, few, k), "lists")
     short = searching.join(lists, "id", "left").join(sizes, "size").filter(F.coalesce(F.size("near"), F.lit(0)) < F.least(F.lit(k + 1), "n"))
-    short = materialise(short.join(small, "size", "left_anti").select("id", "vector", "size"), "short")
+    short = materialise(short.select("id", "vector", "size"), "short")
     if not short.isEmpty():
+        whole = lambda df: df.select(F.col("size").cast("bigint").alias("bucket"), "id", "vector")
         rest = _met(whole(reps.join(short.select("size").distinct(), "size", "left_semi")), whole(short), k, block)
         lists = lists.join(short, "id", "left_anti").unionByName(_lists(rest, few, k))
     own = asked.join(lists, "id").withColumn("near", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("vec_id")), 1, k))

@@ -237,6 +237,14 @@ def test_every_query_gets_its_neighbours(spark):
         assert hits >= least * wanted
 
 
+def test_neighbours_do_not_depend_on_a_size_switch(spark):
+    """One search for every number of rows: what is found does not change where a table begins to fill more than a block."""
+    x = np.random.default_rng(11).normal(size=(600, 64))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    few = [sorted(map(tuple, cross_polytope.nearest(df, F.col("vec_id") % 20 == 0, tables=1, block=b).select("query_id", "vec_id").collect())) for b in (599, 600)]
+    assert few[0] == few[1] and len(few[0]) == 30 * 20
+
+
 def test_neutral_mentions_move_no_score():
     bad = [f"{g} are {w}" for g in ("women", "muslims") for w in ("scum", "trash", "idiots")] * 10
     good = [f"{g} are {w}" for g in ("men", "christians") for w in ("kind", "late", "here")] * 30
