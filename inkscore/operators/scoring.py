@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import tokens as tk
 
+TOKENS_AT_ONCE = 200_000
+
 
 def score_partitions(
     df: DataFrame,
@@ -53,10 +57,11 @@ def score_models(
     """(keys, model, pred): every row once per model of a settings table, all models in one pass over the rows.
 
     ``settings`` has a row per model (at most ``most_models``, checked): model, max_length (tokens that the model reads; 0 or
-    NULL for all), batch_size (rows that it gets at once; 0 or NULL for a whole Arrow batch) and whatever else ``load`` needs.
+    NULL for all), batch_size (rows that it gets at once, at most; 0 or NULL for a whole slice) and whatever else ``load`` needs.
     ``load`` gets such a row and runs once per task and model, on the executor; ``predict`` gets the token lists of a batch
     and returns as many numbers. A NULL text is not shown to a model and has the prediction NULL. Texts are cut into tokens
-    once, and only up to the longest length asked for; memory is bounded by an Arrow batch of them.
+    once, and only up to the longest length asked for. They become Python strings by slices of an Arrow batch with at most
+    ``TOKENS_AT_ONCE`` tokens (or one row), which bounds a task's memory however many rows a batch has and how long they are.
     """
     rows = [r.asDict() for r in settings.limit(most_models + 1).collect()]
     if len(rows) > most_models or len({r["model"] for r in rows}) < len(rows):
@@ -67,9 +72,20 @@ def score_models(
     schema = df.select(*keys).schema.add("model", "string").add("pred", "double")
     names = schema.fieldNames()
 
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows in slices of at most ``TOKENS_AT_ONCE`` tokens, or of one row."""
+        for batch in batches:
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(len(keys))), 0), dtype=np.int64)
+            ends, first = np.cumsum(sizes), 0
+            while first < len(sizes):
+                most = (ends[first - 1] if first else 0) + TOKENS_AT_ONCE
+                stop = min(max(first + 1, int(np.searchsorted(ends, most, side="right"))), len(sizes))
+                yield batch.slice(first, stop - first)
+                first = stop
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = [load(r) for r in rows]
-        for batch in batches:
+        for batch in slices(batches):
             cells = batch.column(len(keys)).to_pylist()
             shown = [n for n, cell in enumerate(cells) if cell is not None]
             for setting, model in zip(rows, loaded, strict=True):

@@ -293,6 +293,14 @@ def test_feature_cache_by_fingerprint(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(fold" in plan
 
 
+def test_models_are_shown_few_tokens_at_once(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "TOKENS_AT_ONCE", 50)
+    texts = spark.createDataFrame([(k, "w " * n if n is not None else None) for k, n in enumerate([30, 20, 1, 70, None, 0, 60, 10])], "id int, text string").coalesce(1)
+    settings = spark.createDataFrame([("m", 0, None)], "model string, max_length int, batch_size int")
+    made = scoring.score_models(texts, settings, lambda row: 0, lambda _, rows: [sum(map(len, rows))] * len(rows), "text", ["id"])
+    assert [r["pred"] for r in made.orderBy("id").collect()] == [50.0, 50.0, 1.0, 70.0, None, 0.0, 60.0, 10.0]
+
+
 def test_feature_table_of_scored_answers_alone(spark, tmp_path, monkeypatch):
     """A query that only learns builds no features of other answers; its rows are those of the whole table."""
     sf, seen = "/root/testdata/sf0.001", []
