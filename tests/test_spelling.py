@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkscore.operators import spelling as sp
+from inkscore.session import materialise
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -119,3 +120,11 @@ def test_spelling_errors_keep_punctuation_and_use_one_dictionary(spark):
     assert errors == {"1": 1, "2": 1, "3": 0}
     wide = sp.spelling_errors(docs, known.withColumn("pad", F.lit("x")))
     assert {r["student_id"]: r["spelling_errors"] for r in wide.collect()} == errors
+
+
+def test_texts_are_rewritten_by_many_tasks(spark):
+    """Small texts are not merged into one task ahead of the rewriting and the features, which cost more than their bytes."""
+    docs = spark.createDataFrame([(str(k), "teh cat") for k in range(400)], "student_id string, text string").coalesce(1)
+    table = spark.createDataFrame([("teh", "the")], "word string, correction string")
+    fixed = materialise(sp.apply_corrections(docs, table).withColumn("task", F.spark_partition_id()), "fixed")
+    assert fixed.where("fixed_summary_text = 'the cat'").count() == 400 and fixed.select("task").distinct().count() >= 4
