@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 
-from inkscore.llm import bpe, chat_windows, cross_polytope, decontamination, ngram_join, packing, paragraph_dedup, quality_mil, token_counts, toxicity, warc
+from inkscore import session
+from inkscore.llm import bpe, chat_windows, cross_polytope, decontamination, links, ngram_join, packing, paragraph_dedup, quality_mil, token_counts, toxicity, warc
 from pyspark.sql import functions as F
 
 DOCS = "doc_id bigint, text string, n_tokens string, score string, row string"
@@ -167,6 +169,41 @@ def test_repeated_passages_go(spark):
     assert got[1]["text"].split() == texts[1].split()[:90] + texts[1].split()[160:]
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 41, 64])
+def test_least_of_a_window_is_its_first(width):
+    values = np.random.default_rng(width).integers(0, 5, 3000).astype(np.uint64)
+    places = paragraph_dedup._least(values, width)
+    assert places.tolist() == [k + int(values[k : k + width].argmin()) for k in range(len(values) - width + 1)]
+
+
+def test_windows_of_a_batch_are_not_copied():
+    prints = np.random.default_rng(3).integers(0, 1 << 63, 100_000).astype(np.uint64)
+    tracemalloc.start()
+    try:
+        paragraph_dedup._anchors(prints, np.array([0, len(prints)]))
+        assert tracemalloc.get_traced_memory()[1] < 12_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_side_is_broadcast_by_its_bytes(spark):
+    few = spark.range(10).select("id", F.sequence(F.lit(1), F.lit(1000)).alias("starts"))
+    assert "BROADCAST" in links.bounded(few, 1_000_000)._jdf.queryExecution().toString().upper().split("== OPTIMIZED")[0]
+    assert "RESOLVEDHINT" not in links.bounded(few, 100_000)._jdf.queryExecution().toString().upper()
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield batch.from_arrays([[batch.nbytes]], ["n"])
+
+    before = spark.conf.get(session.BATCH_KEY)
+    texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("abcdefghij"), 500).alias("text"))
+    run = session.in_small_batches(lambda docs: session.materialise(docs.mapInArrow(sizes, "n bigint"), "sizes"))
+    assert run(texts).agg(F.max("n")).first()[0] < 5_000_000
+    assert spark.conf.get(session.BATCH_KEY) == before
+
+
 def test_archives_round_trip(spark):
     pages = [(1, "a b", "é" * 300), (2, None, "é" * 300), (3, "u", None), (4, "u", ""), (5, "u", "x\r\n\r\n" * 40), (6, "u", "x\r\n\r\n" * 40), (7, "u", "WARC/1.1\r\n\r\n" * 9), (8, "u", "\n" * 101), (9, "u", "s"), (10, "u", "s")]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, digest string")
