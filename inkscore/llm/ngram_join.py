@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from inkscore.llm.arrays import SPACES, flat, jaccard_reaches, mix, set_print, shingle_sets, slices, stream, word_prints
 from inkscore.llm.links import Links, bounded, components, joined_families, settle, shared
-from inkscore.session import materialise
+from inkscore.session import in_small_batches, materialise
 
 _SEEN = 500_000
 
@@ -167,6 +167,7 @@ def _texts(docs: DataFrame, classes: DataFrame):
     return get
 
 
+@in_small_batches
 def similar_components(docs: DataFrame, percent: int = 80, crowd: int = 24) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) for each row of (doc_id, text)."""
     bands = Bands(percent)
