@@ -8,10 +8,12 @@ number of times they were parsed are the dictionary, one per language; a repeate
 many documents hold it. Phrases are counted inside the dictionary's chunks, weighted, each in the chunk that owns its first
 word: so overlaps are counted once, and no phrase is lost, as a chunk reaches ``MOST - 1`` words beyond its own.
 
-A phrase is as frequent as ``at_least`` only if all its parts are. Words are counted first; then pairs of frequent words, as
-fingerprints; then the texts of frequent pairs and of triples of two frequent pairs; then fours of two frequent triples. What
-was frequent reaches the next count as a bitmap of ``1 << bits`` places (4 MB as set, whatever the corpus): fingerprints may
-agree there and let a rare phrase through to be counted, but none is lost, and all final counts are of texts, exact.
+A phrase is as frequent as ``at_least`` only if all its parts are. Words are counted first; then pairs of frequent words;
+then triples of two frequent pairs; then fours of two frequent triples. Each is counted once, as the numbers of its words: a
+word's number is its fingerprint with its language, and another fingerprint is taken for all if any two words agree in one, so
+counts are exact. No phrase's text is made until it is known to be frequent. What was frequent reaches the next count as a
+bitmap of ``1 << bits`` places (4 MB as set, whatever the corpus): places may agree there and let a rare phrase through to be
+counted, but none is lost.
 
 Scores are quotients of decimals of 38 digits. Null languages are ``und``, null texts empty; repeated rows count as often as
 they stand; an empty table has no phrases; other columns are not read.
@@ -19,14 +21,14 @@ they stand; an empty table has no phrases; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkscore.llm.arrays import SLICE, flat, mix, runs, slices, span_prints, words
+from inkscore.llm.arrays import SLICE, flat, mix, slices, span_prints, stream, words
 from inkscore.llm.bpe import ragged
 from inkscore.operators.joins import lookup_join
 from inkscore.session import materialise
@@ -34,7 +36,10 @@ from inkscore.session import materialise
 MOST = 4  # words of the longest phrase
 TRIGGER = 16
 LONGEST = 64
+PLACES = ["w1", "w2", "w3", "w4"][:MOST]
+TURN = 21
 U = np.uint64
+TABLES = tuple(stream(k, 256) for k in (1, 51, 52, 53))  # values of bytes in the words' numbers, the next if two words agree
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _PIECE_ENDS = np.zeros(256, dtype=bool)
@@ -76,8 +81,7 @@ class Tally:
 
     def _summed(self, table: pa.Table) -> pa.Table:
         keys = [c for c in self.names if c not in ("n", "print")]
-        more = [("print", "min")] if "print" in self.names and keys else []
-        keys = keys or ["print"]
+        more = [("print", "min")] if "print" in self.names else []
         made = table.group_by(keys, use_threads=False).aggregate([("n", "sum"), *more])
         made = made.rename_columns([c.removesuffix("_sum").removesuffix("_min") for c in made.column_names])
         return made.select(self.names)
@@ -124,9 +128,9 @@ def parse(docs: DataFrame) -> DataFrame:
 
 
 class Chunks:
-    """A batch of the dictionary as words: where each stands, whether a chunk owns it, and its fingerprint."""
+    """A batch of the dictionary as words: where each stands, whether a chunk owns it, and its number."""
 
-    def __init__(self, batch: pa.RecordBatch):
+    def __init__(self, batch: pa.RecordBatch, values: np.ndarray):
         self.lang = batch.column(0)
         self.data, offsets = flat(batch.column(1))
         self.starts, self.ends, first = words(self.data, offsets, _BLANKS)
@@ -141,55 +145,69 @@ class Chunks:
         kinds = self.lang.dictionary_encode()
         data, offsets = flat(kinds.dictionary)
         of_lang = span_prints(data, offsets[:-1], offsets[1:]) if len(data) else np.zeros(len(offsets) - 1, U)
-        self.of_lang = of_lang[np.asarray(kinds.indices)[self.chunk]]
-        self.prints = prints
+        self.ids = mix(span_prints(self.data, self.starts, self.ends, values) ^ of_lang[np.asarray(kinds.indices)[self.chunk]])
         self.n = np.asarray(batch.column(2))
 
     def phrase_prints(self, n: int) -> np.ndarray:
-        """The fingerprint of the ``n`` words from each word on, language included; too few words give anything."""
-        made = np.zeros(len(self.prints), U)
-        every = runs(self.prints, n)
-        made[: len(every)] = every
-        return mix(made ^ self.of_lang)
+        """What ``joint`` makes of the numbers of the ``n`` words from each word on; too few words give anything."""
+        made = self.ids.copy()
+        for k in range(1, n):
+            made[: max(0, len(made) - k)] ^= self.ids[k:] << U(TURN * k) | self.ids[k:] >> U(64 - TURN * k)
+        return made
 
     def standing(self, n: int) -> np.ndarray:
         """Words that ``n`` words of their chunk begin with, owned or not."""
         return self.left >= n
 
-    def text(self, at: np.ndarray, n: int) -> pa.Array:
-        return _texts(self.data, self.starts[at], self.ends[at + n - 1] - self.starts[at])
+    def numbers(self, at: np.ndarray) -> pa.Array:
+        return pa.array(self.ids[at].view(np.int64))
 
-    def rows(self, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        """Language and weight of phrases that begin at the given words."""
-        return self.lang.take(pa.array(self.chunk[at])), pa.array(self.n[self.chunk[at]])
+    def weights(self, at: np.ndarray) -> pa.Array:
+        return pa.array(self.n[self.chunk[at]])
 
 
-def _over(chunks: DataFrame, made: Callable[[Chunks], Iterator[list]], schema: str) -> DataFrame:
+def _over(chunks: DataFrame, made: Callable[[Chunks], list], schema: str, values: np.ndarray) -> DataFrame:
     """Rows that ``made`` gives for each batch of the dictionary, summed within a task."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally(names)
         for batch in slices(batches, "chunk"):
-            for columns in made(Chunks(batch)):
-                yield from tally.add(columns)
+            yield from tally.add(made(Chunks(batch, values)))
         yield from tally.drain()
 
     return chunks.mapInArrow(run, schema)
 
 
-def word_counts(chunks: DataFrame) -> DataFrame:
-    """(lang, phrase, f, print) of all words."""
+def word_counts(chunks: DataFrame, values: np.ndarray = TABLES[0]) -> DataFrame:
+    """(lang, phrase, f, print) of all words; ``print`` is the word's number by a table of ``values``."""
 
-    def made(c: Chunks) -> Iterator[list]:
+    def made(c: Chunks) -> list:
         at = np.flatnonzero(c.owned)
-        lang, n = c.rows(at)
-        yield [lang, c.text(at, 1), pa.array(c.phrase_prints(1)[at].view(np.int64)), n]
+        text = _texts(c.data, c.starts[at], c.ends[at] - c.starts[at])
+        return [c.lang.take(pa.array(c.chunk[at])), text, c.numbers(at), c.weights(at)]
 
-    rows = _over(chunks, made, "lang string, phrase string, print bigint, n bigint")
+    rows = _over(chunks, made, "lang string, phrase string, print bigint, n bigint", values)
     return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.min("print").alias("print"))
 
 
+def numbered(chunks: DataFrame, tables: Sequence[np.ndarray] = TABLES) -> tuple[DataFrame, np.ndarray]:
+    """The word counts, written once, and the first of the tables by which all words have different numbers."""
+    for values in tables:
+        counted = materialise(word_counts(chunks, values), "words")
+        if counted.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            return counted, values
+    raise ValueError("two words have one number by each table of values")
+
+
+def joint(columns: Sequence[str]) -> Column:
+    """The numbers of a phrase's words as one, each turned by its place; different phrases may agree."""
+    made = F.col(columns[0])
+    for k, c in enumerate(columns[1:], 1):
+        made = made.bitwiseXOR(F.shiftleft(c, TURN * k).bitwiseOR(F.shiftrightunsigned(c, 64 - TURN * k)))
+    return made
+
+
 def bitmap(prints: DataFrame, bits: int) -> np.ndarray:
     """The places of the fingerprints ``print`` among ``1 << bits``, as bits; at most (1 << bits) / 64 rows reach the driver."""
     slot = F.shiftrightunsigned("print", 64 - bits)
@@ -205,47 +223,37 @@ def _among(prints: np.ndarray, known: np.ndarray, bits: int) -> np.ndarray:
     return known[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
 
 
-def frequent(spark: SparkSession, chunks: DataFrame, counted: DataFrame, at_least: int, bits: int) -> DataFrame:
+def frequent(spark: SparkSession, chunks: DataFrame, counted: DataFrame, values: np.ndarray, at_least: int, bits: int) -> DataFrame:
     """(lang, phrase, words, f) of all phrases of up to ``MOST`` words that occur at least ``at_least`` times; written once."""
-    send = spark.sparkContext.broadcast
     often = F.col("f") >= at_least
-    of_words = send(bitmap(counted.filter(often), bits))
-
-    def pairs(c: Chunks) -> Iterator[list]:
-        known = _among(c.phrase_prints(1), of_words.value, bits) & c.standing(1)
-        at = np.flatnonzero(c.owned & c.standing(2) & known & np.append(known[1:], False))
-        yield [pa.array(c.phrase_prints(2)[at].view(np.int64)), c.rows(at)[1]]
-
-    found = _over(chunks, pairs, "print bigint, n bigint").repartition("print").groupBy("print").agg(F.sum("n").alias("f"))
-    of_pairs = send(bitmap(found.filter(often), bits))
-
-    def longer(n: int, shorter, texts_of: tuple[int, ...]) -> Callable[[Chunks], Iterator[list]]:
-        """Phrases of ``texts_of`` words of which all parts of ``n`` words are known."""
-
-        def made(c: Chunks) -> Iterator[list]:
-            known = _among(c.phrase_prints(n), shorter.value, bits) & c.standing(n)
-            for size in texts_of:
-                both = known if size == n else known & np.append(known[1:], False)
-                at = np.flatnonzero(c.owned & c.standing(size) & both)
-                lang, weight = c.rows(at)
-                yield [lang, c.text(at, size), pa.array(np.full(len(at), size, np.int32)), pa.array(c.phrase_prints(size)[at].view(np.int64)), weight]
-
-        return made
-
-    schema = "lang string, phrase string, words int, print bigint, n bigint"
-
-    def summed(rows: DataFrame) -> DataFrame:
-        sums = rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"), F.min("print").alias("print"))
-        return sums.filter(often)
-
-    short = materialise(summed(_over(chunks, longer(2, of_pairs, (2, 3)), schema)), "phrases")
-    of_triples = send(bitmap(short.filter("words = 3"), bits))
-    fours = summed(_over(chunks, longer(3, of_triples, (4,)), schema))
-    ones = counted.filter(often).select("lang", "phrase", F.lit(1).alias("words"), "f")
+    known = materialise(counted.filter(often), "frequent-words")
+    parts, sent = known.select("print"), []
+    whole = None
+    for size in range(2, MOST + 1):
+        sent.append(spark.sparkContext.broadcast(bitmap(parts, bits)))
+        columns = PLACES[:size]
+
+        def made(c: Chunks, size: int = size, shorter=sent[-1]) -> list:
+            """Phrases of which both parts of one word less are known."""
+            known = _among(c.phrase_prints(size - 1), shorter.value, bits) & c.standing(size - 1)
+            at = np.flatnonzero(c.owned & c.standing(size) & known & np.append(known[1:], False))
+            return [*(c.numbers(at + k) for k in range(size)), c.weights(at)]
+
+        rows = _over(chunks, made, ", ".join(f"{c} bigint" for c in [*columns, "n"]), values)
+        # most rows are the only one of their phrase in their task: they are dealt out before they are summed
+        found = materialise(rows.repartition(*columns).groupBy(*columns).agg(F.sum("n").alias("f")).filter(often), "phrases")
+        parts = found.select(joint(columns).alias("print"))
+        found = found.withColumn("words", F.lit(size))
+        whole = found if whole is None else whole.unionByName(found, allowMissingColumns=True)
+    for c in PLACES:  # frequent words stand in many phrases: the lookup spreads them
+        of = known.select(F.col("print").alias(c), F.col("phrase").alias(f"{c}_word"), *([F.col("lang")] if c == PLACES[0] else []))
+        whole = lookup_join(whole, of, c, "left", spread_by=[x for x in PLACES if x != c])
     names = ["lang", "phrase", "words", "f"]
-    made = materialise(ones.unionByName(short.select(names)).unionByName(fours.select(names)), "frequent")
-    for sent in (of_words, of_pairs, of_triples):
-        sent.destroy()
+    whole = whole.withColumn("phrase", F.concat_ws(" ", *[f"{c}_word" for c in PLACES]))
+    ones = known.withColumn("words", F.lit(1))
+    made = materialise(ones.select(names).unionByName(whole.select(names)), "frequent")
+    for x in sent:
+        x.destroy()
     return made
 
 
@@ -307,7 +315,7 @@ def phrases(docs: DataFrame, at_least: int = 30, subsumed_percent: int = 80, bes
     """The ``best`` collocations of each language with their counts, those of the parts of their worst cut, and score."""
     spark = docs.sparkSession
     chunks = parse(docs)
-    counted = materialise(word_counts(chunks), "words")
-    known = frequent(spark, chunks, counted, at_least, bits)
+    counted, values = numbered(chunks)
+    known = frequent(spark, chunks, counted, values, at_least, bits)
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     return ranked(known, totals, subsumed_percent, best)

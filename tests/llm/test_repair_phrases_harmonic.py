@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkscore.llm import bpe, collocations, harmonic, structure_repair
@@ -226,6 +227,35 @@ def test_phrases_equal_brute_force(spark):
     assert collocations.phrases(df.limit(0)).count() == 0
 
 
+def test_words_of_one_number_take_another_table(spark, monkeypatch):
+    made = [("en", "ab ba cd ab ba cd, ab ba. " * 6), ("de", "ab cd ba " * 9)]
+    df = spark.createDataFrame(made, "lang string, text string")
+    alike = np.repeat(collocations.TABLES[0][:1], 256)  # all words of one length have one number
+    chunks = collocations.parse(df)
+    assert collocations.numbered(chunks, (alike, collocations.TABLES[1]))[1] is collocations.TABLES[1]
+    with pytest.raises(ValueError):
+        collocations.numbered(chunks, (alike,))
+    monkeypatch.setattr(collocations.numbered, "__defaults__", ((alike, *collocations.TABLES),))
+    assert sorted(map(tuple, collocations.phrases(df, at_least=5, best=60).collect())) == expected_phrases(made, 5, 60)
+
+
+def test_phrase_prints_are_joint_numbers(spark):
+    batch = pa.RecordBatch.from_arrays([["en"], ["a b c d"], [1]], ["lang", "chunk", "n"])
+    c = collocations.Chunks(batch, collocations.TABLES[0])
+    names = collocations.PLACES[:3]
+    row = spark.createDataFrame([tuple(c.ids[:3].view(np.int64).tolist())], ", ".join(f"{x} bigint" for x in names))
+    for n in (1, 2, 3):
+        assert row.select(collocations.joint(names[:n])).first()[0] == int(c.phrase_prints(n).view(np.int64)[0])
+
+
+def test_phrases_are_counted_without_their_texts(spark, monkeypatch):
+    schemas, over = [], collocations._over
+    monkeypatch.setattr(collocations, "_over", lambda chunks, made, schema, *more: schemas.append(schema) or over(chunks, made, schema, *more))
+    df = spark.createDataFrame([("en", "one two three four " * 20)], "lang string, text string")
+    assert collocations.phrases(df, at_least=5).count() > 0
+    assert [x.count("string") for x in schemas] == [2, 0, 0, 0] and [x.count("bigint") - 1 for x in schemas[1:]] == [2, 3, 4]
+
+
 def test_a_parse_owns_each_word_once(spark):
     text = " ".join(f"w{rng.randint(0, 3000)}" for _ in range(3000)) + " " + "same " * 700
     chunks = collocations.parse(spark.createDataFrame([("en", text)] * 3, "lang string, text string"))
