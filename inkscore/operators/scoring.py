@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import tokens as tk
+from ..session import in_small_batches, materialise
 
 TOKENS_AT_ONCE = 200_000
 
@@ -45,6 +46,7 @@ def score_partitions(
     return slim.mapInPandas(run, schema)
 
 
+@in_small_batches
 def score_models(
     df: DataFrame,
     settings: DataFrame,
@@ -62,6 +64,7 @@ def score_models(
     and returns as many numbers. A NULL text is not shown to a model and has the prediction NULL. Texts are cut into tokens
     once, and only up to the longest length asked for. They become Python strings by slices of an Arrow batch with at most
     ``TOKENS_AT_ONCE`` tokens (or one row), which bounds a task's memory however many rows a batch has and how long they are.
+    The predictions are written once, while Arrow batches are small.
     """
     rows = [r.asDict() for r in settings.limit(most_models + 1).collect()]
     if len(rows) > most_models or len({r["model"] for r in rows}) < len(rows):
@@ -98,4 +101,4 @@ def score_models(
                 label = pa.array([setting["model"]] * len(cells), pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], label, pa.array(preds, pa.float64())], names)
 
-    return slim.mapInArrow(run, schema)
+    return materialise(slim.mapInArrow(run, schema), "scored")

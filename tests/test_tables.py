@@ -374,3 +374,10 @@ def test_stream_equals_batch(spark, answers, prompts):
 def test_materialise_reads_what_it_wrote(spark):
     df = spark.range(5).withColumn("x", F.col("id") * 2)
     assert sorted(map(tuple, materialise(df, "t").collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_models_get_small_batches_of_long_words(spark):
+    texts = spark.range(0, 3000, 1, 1).select(F.col("id").cast("string").alias("student_id"), F.repeat(F.lit("abcdefghij"), 500).alias("text"))
+    settings = spark.createDataFrame([("whole", 0, None)], "model string, max_length int, batch_size int")
+    made = scoring.score_models(texts, settings, lambda s: None, lambda m, batch: [len(batch)] * len(batch), "text", ["student_id"])
+    assert made.agg(F.count("*"), F.max("pred") < 1000).first()[:] == (3000, True)
