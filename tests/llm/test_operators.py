@@ -333,3 +333,27 @@ def test_stages_keep_the_columns(spark, tmp_path):
             docs = spark.createDataFrame(out.collect(), out.schema)
         sizes.append(out.count())
     assert sizes == [18, 15, 15, 14, 14]
+
+
+def test_only_texts_cut_last_are_searched_again(spark, monkeypatch):
+    run, lone = prose(70), prose(60).split()
+    texts = [prose(60) + " " + run, prose(90) + " " + run, prose(300), prose(200)]
+    texts += [" ".join(lone), " ".join(lone[:30]) + " " + run + " " + " ".join(lone[30:])]  # a cut makes neighbours
+    written, write = [], paragraph_dedup.materialise
+    monkeypatch.setattr(paragraph_dedup, "materialise", lambda df, label: written.append((label, made := write(df, label))) or made)
+    got = {r["row"]["doc_id"]: r["n_cut"] for r in paragraph_dedup.without_repeats(frame(spark, texts + texts[:1])).collect()}
+    assert [got[k] for k in range(6)] == [0, 70, 0, 0, 0, 130]
+    docs = [made.select("doc").distinct().count() for label, made in written if label == "anchors"]
+    assert docs == [6, 2, 0]  # the last text is one repeated paragraph and goes; document 5 has no window left
+
+
+def test_two_bands_meet_once(spark, monkeypatch):
+    base = prose(100)
+    texts = near(40, base, 0.03)
+    given, group = [], paragraph_dedup.shared
+    monkeypatch.setattr(paragraph_dedup, "shared", lambda keys: given.append(keys) or group(keys))
+    docs = frame(spark, texts).withColumn("doc", F.col("doc_id"))
+    paragraph_dedup.repeated_paragraphs(docs, crowd=2).count()
+    assert len(given) == 2
+    per_id = given[1].groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
+    assert per_id.count() and per_id.filter("n > 120 or n != keys").isEmpty()
