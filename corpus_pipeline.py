@@ -2,7 +2,8 @@
 
 toxic documents go, one document of each group of near copies stays, repeated paragraphs are cut, documents that hold
 benchmark windows go, and what is left is packed into sequences. All stages but the last return the columns they got.
-Null texts and empty tables pass through; columns of any other name are kept as they are.
+Null texts and empty tables pass through; columns of any other name are kept as they are. Steps that hand texts to Python
+end inside their stage, while Arrow batches are small: a worker keeps its widest batch's memory through all later stages.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from pyspark.sql import functions as F
 
 from inkscore.llm import decontamination, ngram_join, packing, paragraph_dedup
 from inkscore.llm import toxicity as classifier
-from inkscore.session import materialise
+from inkscore.session import materialise, small_batches
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below one half; labels of the documents given teach it."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classifier.score(docs, classifier.train(docs, labels)).filter("score < 0.5").select("row.*")
+    with small_batches(spark):
+        return materialise(classifier.score(docs, classifier.train(docs, labels)).filter("score < 0.5").select("row.*"), "not-toxic")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +45,14 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def benchmark_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of any benchmark item."""
-    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    with small_batches(spark):
+        return materialise(decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "without-windows")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and place."""
-    return packing.pack_documents(docs)
+    with small_batches(spark):
+        return packing.pack_documents(docs)
 
 
 STAGES = [

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from inkscore.llm.arrays import SYMBOLS, flat, runs, slices, span_prints, words, _LOWER
 from inkscore.llm.bpe import ragged
+from inkscore.session import text_once
 
 SEPARATED = bytes(32 if SYMBOLS[b] else b + 32 if 65 <= b <= 90 else b for b in range(256))
 SHINGLE = 5
@@ -216,5 +217,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block: int = 200_000) -> DataFrame:
     """The rows of ``docs`` without any window of the benchmark, with their own columns."""
-    kept = find_windows(docs.select(F.struct("*").alias("_row"), F.col("text")), benchmark, size, block)
-    return kept.filter(F.size("items") == 0).select("_row.*")
+    rows, whole = text_once(docs)
+    kept = find_windows(rows, benchmark, size, block).filter(F.size("items") == 0)
+    return kept.select(whole.alias("row")).select("row.*")

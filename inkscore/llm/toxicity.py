@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from inkscore.llm.arrays import SYMBOLS, _LOWER, flat, mix, slices, span_prints, words
 from inkscore.llm.decontamination import Finder
 from inkscore.llm.labelled import held_out, sample
-from inkscore.session import materialise
+from inkscore.session import materialise, text_once
 
 PREFIXES = (4, 5, 6)
 #: Names of groups by kind. A swap stays inside its kind.
@@ -213,7 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, row
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All rows and columns of ``docs`` as a struct ``row``, and ``score``."""
     given = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.lit(0.0).alias("score"))
+    rows, whole = text_once(docs)
+    rows = rows.withColumn("score", F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(given.value.names)
@@ -221,7 +222,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = given.value.scores(*flat(batch.column(1)), finder)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], batch.schema.names)
 
-    return rows.mapInArrow(run, rows.schema).drop("text")
+    return rows.mapInArrow(run, rows.schema).select(whole.alias("row"), "score")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:

@@ -357,3 +357,26 @@ def test_two_bands_meet_once(spark, monkeypatch):
     assert len(given) == 2
     per_id = given[1].groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
     assert per_id.count() and per_id.filter("n > 120 or n != keys").isEmpty()
+
+
+def test_stages_end_in_small_batches(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = frame(spark, [prose(30) for _ in range(6)])
+    spark.createDataFrame([(k, 1, 0) for k in range(3)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(12))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "decontamination"):
+        out = stages[name](spark, docs, str(tmp_path))
+        assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.columns == docs.columns and out.exceptAll(docs).isEmpty() and docs.exceptAll(out).isEmpty()
+
+
+def test_a_text_travels_once(spark):
+    docs = frame(spark, [*ODD, "a"])
+    rows, whole = session.text_once(docs)
+    assert "text" not in rows.schema["row"].dataType.fieldNames()
+    assert rows.select(whole.alias("row")).select("row.*").exceptAll(docs).isEmpty()
+    bytes_ = docs.withColumn("text", F.col("text").cast("binary"))
+    rows, whole = session.text_once(bytes_)
+    assert rows.select(whole.alias("row")).select("row.*").schema == bytes_.schema
