@@ -46,21 +46,20 @@ def dictionary(base: DataFrame, prompts: DataFrame) -> DataFrame:
     return materialise(augment_vocabulary(base, prompts), "dictionary")
 
 
-def checked_words(text: Column) -> Column:
-    """Distinct lower-cased whitespace words, without numbers and lone ASCII marks."""
-    words = F.array_distinct(tk.spaced_words(F.lower(text)))
-    return F.filter(
-        words,
-        lambda w: ~F.regexp_like(w, F.lit(NUMBER_PATTERN)) & ~F.regexp_like(w, F.lit(r"^[!-/:-@\[-`{-~]$")),
-    )
+def is_checked(word: Column) -> Column:
+    """Whether a lower-cased whitespace word is neither a number nor a lone ASCII mark."""
+    return ~F.regexp_like(word, F.lit(NUMBER_PATTERN)) & ~F.regexp_like(word, F.lit(r"^[!-/:-@\[-`{-~]$"))
 
 
 def spelling_errors(docs: DataFrame, vocabulary: DataFrame, key: str = "student_id", text: str = "text") -> DataFrame:
-    """(key, spelling_errors): distinct words missing in the dictionary; punctuation stays attached."""
-    pairs = docs.select(key, F.explode_outer(checked_words(F.col(text))).alias("word"))
+    """(key, spelling_errors): distinct words missing in the dictionary; punctuation stays attached.
+
+    Only words that are missing are looked at for numbers and lone marks, which are never errors.
+    """
+    pairs = docs.select(key, F.explode_outer(F.array_distinct(tk.spaced_words(F.lower(F.col(text))))).alias("word"))
     known = vocabulary.select("word", F.lit(True).alias("known"))
     flagged = lookup_join(pairs, known, "word", "left", spread_by=key)
-    missing = F.col("word").isNotNull() & F.col("known").isNull()
+    missing = F.col("word").isNotNull() & F.col("known").isNull() & is_checked(F.col("word"))
     return flagged.groupBy(key).agg(F.count_if(missing).alias("spelling_errors"))
 
 

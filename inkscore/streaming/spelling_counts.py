@@ -15,15 +15,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import spelling
+from ..session import spread
 
 BatchWriter = Callable[[DataFrame, int], None]
 
 
-def batch_writer(dictionary: DataFrame, path: str) -> BatchWriter:
-    """Writes the counts of a batch to ``path``; ``dictionary`` is a written table, passages included."""
+def batch_writer(dictionary: DataFrame, path: str, key: str = "student_id") -> BatchWriter:
+    """Writes the counts of a batch to ``path``; ``dictionary`` is a written table, passages included.
+
+    A batch may have fewer files than the cluster has task slots, so its answers are dealt to all of them by ``key``, which
+    also keeps the words of an answer together.
+    """
 
     def write(answers: DataFrame, number: int) -> None:
-        counted = spelling.spelling_errors(answers, dictionary)
+        dealt = spread(answers, key, rows=answers.count())
+        counted = spelling.spelling_errors(dealt, dictionary, key)
         counted.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write

@@ -129,3 +129,11 @@ def test_stream_with_a_repeated_batch(spark, docs):
     spelling_counts.start(answers, goes_on, state).awaitTermination()
     latest = {r["student_id"]: r["spelling_errors"] for r in spelling_counts.read_counts(spark, sink).collect()}
     assert len(latest) == 64 and latest["same"] == 1
+
+
+def test_a_batch_is_dealt_to_all_slots(spark, tmp_path):
+    answers = spark.range(400).select(F.col("id").cast("string").alias("student_id"), F.concat(F.lit("known 12 , word"), "id").alias("text")).coalesce(1)
+    spelling_counts.batch_writer(spark.createDataFrame([("known", 5)], "word string, freq bigint"), str(tmp_path))(answers, 0)
+    made = spark.read.parquet(f"{tmp_path}/batch=0")
+    assert made.count() == 400 and made.filter("spelling_errors != 1").isEmpty()
+    assert made.select(F.input_file_name()).distinct().count() == spark.sparkContext.defaultParallelism
