@@ -40,6 +40,7 @@ PLACES = ["w1", "w2", "w3", "w4"][:MOST]
 TURN = 21
 U = np.uint64
 TABLES = tuple(stream(k, 256) for k in (1, 51, 52, 53))  # values of bytes in the words' numbers, the next if two words agree
+_LANG = stream(54, 1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _PIECE_ENDS = np.zeros(256, dtype=bool)
@@ -145,6 +146,7 @@ class Chunks:
         kinds = self.lang.dictionary_encode()
         data, offsets = flat(kinds.dictionary)
         of_lang = span_prints(data, offsets[:-1], offsets[1:]) if len(data) else np.zeros(len(offsets) - 1, U)
+        of_lang = mix(of_lang + _LANG)  # a language's number is not that of the word of its name
         self.ids = mix(span_prints(self.data, self.starts, self.ends, values) ^ of_lang[np.asarray(kinds.indices)[self.chunk]])
         self.n = np.asarray(batch.column(2))
 

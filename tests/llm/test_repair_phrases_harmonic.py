@@ -239,6 +239,13 @@ def test_words_of_one_number_take_another_table(spark, monkeypatch):
     assert sorted(map(tuple, collocations.phrases(df, at_least=5, best=60).collect())) == expected_phrases(made, 5, 60)
 
 
+def test_words_that_are_names_of_languages_have_numbers_of_their_own(spark):
+    made = [("en", "en de en fr, de en " * 6), ("de", "de en fr de, en " * 9), ("fr", "fr de und en " * 7), (None, "und fr en und " * 8)]
+    df = spark.createDataFrame(made, "lang string, text string")
+    assert collocations.numbered(collocations.parse(df))[1] is collocations.TABLES[0]  # words are counted once
+    assert sorted(map(tuple, collocations.phrases(df, at_least=5, best=60).collect())) == expected_phrases(made, 5, 60)
+
+
 def test_phrase_prints_are_joint_numbers(spark):
     batch = pa.RecordBatch.from_arrays([["en"], ["a b c d"], [1]], ["lang", "chunk", "n"])
     c = collocations.Chunks(batch, collocations.TABLES[0])
