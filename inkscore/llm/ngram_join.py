@@ -152,7 +152,7 @@ def _index_around(texts: DataFrame, bands: Bands) -> DataFrame:
 
 def _texts(docs: DataFrame, classes: DataFrame):
     """(id, text) of given classes: rows of the classes' first documents, whose class is made anew from the text."""
-    reps = classes.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    reps = materialise(classes.groupBy("id").agg(F.min("doc_id").alias("doc_id")), "first-documents")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -160,7 +160,7 @@ def _texts(docs: DataFrame, classes: DataFrame):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(1)], ["id", "text"])
 
     def get(ids: DataFrame) -> DataFrame:
-        wanted = bounded(materialise(reps.join(ids, "id", "left_semi").select("doc_id").distinct(), "wanted"))
+        wanted = bounded(materialise(reps.join(ids, "id", "left_semi").select("doc_id"), "wanted"))
         rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
         return materialise(rows.mapInArrow(run, "id bigint, text string").join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
 

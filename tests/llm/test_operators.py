@@ -128,6 +128,42 @@ def groups(sets):
     return [find(x) for x in range(len(sets))]
 
 
+def expected_components(edges):
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return sorted((x, find(x)) for e in {x for a, b in edges if a != b for x in (a, b)} for x in [e])
+
+
+@pytest.mark.parametrize("coalesce, held", [(False, 1 << 20), (True, 100), (False, 7)])
+def test_components_of_paths_stars_and_cliques(spark, monkeypatch, coalesce, held):
+    name = list(range(-400, 400))
+    rng.shuffle(name)
+    edges = [(name[k], name[k + 1]) for k in range(150)] + [(name[200], name[k]) for k in range(201, 330)] + [(name[a], name[b]) for a in range(340, 352) for b in range(340, 352)]
+    edges += [(name[rng.randint(360, 700)], name[rng.randint(360, 700)]) for _ in range(260)] + [(5, 5)] + [(1 << 62, -(1 << 62))]
+    edges += edges[:40]
+    written, write = [], links.materialise
+    monkeypatch.setattr(links, "materialise", lambda df, label: written.append(label) or write(df, label))
+    monkeypatch.setattr(links, "_EDGES", held)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, coalesce)
+    try:
+        got = links.components(spark.createDataFrame(edges, "a bigint, b bigint"))
+        assert sorted(map(tuple, got.collect())) == expected_components(edges)
+        assert links.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    finally:
+        spark.conf.set(key, before)
+    assert written == ["edges", "components"] * 2 if held == 1 << 20 else 4 <= len(written) <= 14  # what one task holds takes one pass
+
+
 @pytest.mark.parametrize("crowd", [4, 24])
 def test_components_of_similar_documents(corpus, crowd):
     texts, docs = corpus
