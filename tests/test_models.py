@@ -279,3 +279,53 @@ def test_lexicons_are_told_apart():
 
     first, second = Lexicon([("a", 1.0, 0.0, 0.0)]), Lexicon([("a", 0.5, 0.0, 0.0)])
     assert repr(first) == repr(Lexicon([("a", 1.0, 0.0, 0.0)])) != repr(second)
+
+
+def grown_plainly(bins, label, config, rounds, n_bins):
+    """Trees by sums over all rows on every level."""
+    columns, residual, out = boosting._columns(bins), label.copy(), []
+    for _ in range(rounds):
+        tree = boosting._empty_tree(config.max_depth)
+        for level in range(config.max_depth):
+            shape = 2**level, bins.shape[1], n_bins
+            sums = boosting._sums(columns, boosting.walk(columns, tree, shape[0]), residual, shape)
+            boosting._put(tree, level, config.max_depth, boosting._best_cuts(sums, shape, config.min_instances, config.l2), config.step_size)
+        residual = residual - boosting.grown(bins, [tree])
+        out.append(tree)
+    return out
+
+
+@pytest.mark.parametrize("wide, depth, rounds", [(7, 3, 90), (6, 1, 5), (1, 4, 5)])
+def test_trees_read_only_the_smaller_children(wide, depth, rounds, monkeypatch):
+    """The same trees as from sums over all rows; a level reads half of the rows at most, the first one none but at first."""
+    rng = np.random.default_rng(7)
+    bins = np.minimum(rng.integers(0, 12, (600, wide)), rng.integers(1, 12, wide)).astype(np.uint8)
+    if wide > 6:
+        bins[:, 5] = bins[:, 2]  # equal gains go to the first feature
+    label, config = bins[:, 0] * 0.5 + (bins[:, -1] > 3) * rng.normal(size=600), RunConfig(max_depth=depth)
+    reads, own = [], boosting.Columns.sums
+
+    def counted(self, rows, *weights):
+        reads.append(len(label) if rows is None else len(rows))
+        return own(self, rows, *weights)
+
+    monkeypatch.setattr(boosting.Columns, "sums", counted)
+    grower = boosting.Grower(boosting.Columns(bins, 40), label.copy(), config)
+    made = [grower.grow() for _ in range(rounds)]
+    want = grown_plainly(bins, label, config, rounds, 40)
+    for a, b in zip(made, want, strict=True):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and np.allclose(a.value, b.value, atol=1e-9)
+    assert np.allclose(grower.residual, label - boosting.grown(bins, want))
+    assert sum(reads) <= len(label) * (rounds * depth / 2 + 1 + rounds // boosting._SUMMED_ANEW)
+
+
+def test_a_block_of_rounds_is_grown_once(rows, tmp_path, monkeypatch):
+    """Spark must not run a block a second time to learn how its trees are to be sorted."""
+    table = vectors_of(rows)
+    cuts = boosting.cut_points(table.select(F.get("vector", F.lit(0)).alias("f0"), F.get("vector", F.lit(1)).alias("f1")), ["f0", "f1"])
+    long = models.boosted_rows(boosting.binned(table.select("fold", *TARGETS, "vector"), cuts), [("content", 0)])
+    grown = boosting.Boosting(long, cuts, CONFIG)
+    plan, own = [], type(long).collect
+    monkeypatch.setattr(type(long), "collect", lambda df: (plan.append(df._jdf.queryExecution().executedPlan().toString()), own(df))[1])
+    grown.advance(3)
+    assert len(grown.boosters[0].errors) == 3 and plan and not any("rangepartitioning" in p for p in plan)
